@@ -1,26 +1,59 @@
-"""A corpus pipeline made of the operators: filter, deduplicate, redact, mix, encode."""
+"""A corpus pipeline made of the operators: filter, deduplicate, redact, mix, encode.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm.secrets import redact
+from ledgerloom.llm import bpe, mixing, quality, secrets, simhash
 from ledgerloom.llm.shared import pin, read
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It learns from the labelled documents of the corpus, held-out rows aside."""
+    known = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.keep_good(docs, quality.train(known, read(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (sets of five-word shingles, similarity 0.8 or more), that with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the secrets found in them; n_chars is counted anew where a text changed."""
-    from pyspark.sql import functions as F
+    """All documents, with what any rule finds replaced; n_chars is counted anew."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of documents whose tokens meet the target shares of sources, languages and topics."""
+    return mixing.mix(docs).filter("sampled").select(docs.columns)
+
 
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document, and whether they decode to its text."""
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    return bpe.digests(decoded)
 
 
-STAGES = [("secret scans", secret_scans)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mixing_weights),
+    ("BPE encoding and decoding", bpe_encoding),
+]
+#: SQL has neither the classifier nor the fingerprints; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = pin(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = pin(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

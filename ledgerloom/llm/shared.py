@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +48,27 @@ def drop_pinned(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom_llm.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            z.write(root.parent / "__init__.py", "ledgerloom/__init__.py")
+            for f in sorted(root.glob("*.py")):
+                z.write(f, f"ledgerloom/llm/{f.name}")
+        spark.sparkContext.addPyFile(str(path))
+        atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
+        _SHIPPED.add(app)
+
+
 def bound_batches(spark: SparkSession) -> None:
+    """To be called before Python code runs on executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
