@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import modelling, screening, simulation, statistics, texts  # noqa: F401  (they register)
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "scenario_summary"
