@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Latin letters with marks, and the letters they fold to.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ"
@@ -18,10 +19,14 @@ def fold(c: Column) -> Column:
     return F.translate(c, MARKED, FOLDED)
 
 
-@F.pandas_udf("string")
-def fold_any(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks, for any script."""
-    return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
+def fold_any(c: Column) -> Column:
+    """Compatibility decomposition without combining marks, for any script: the only function here that leaves the JVM, in Arrow batches."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, StringType())(c)
 
 
 def squeeze(c: Column) -> Column:
