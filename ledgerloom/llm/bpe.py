@@ -157,8 +157,9 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", column: str = "text")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds decoded, the text of the ids."""
+    """Adds decoded, the text of the ids; a column of this name is replaced."""
     bound_batches(df.sparkSession)
+    df = df.drop("decoded")
     schema = StructType([*df.schema.fields, StructField("decoded", StringType())])
     at = df.columns.index(ids)
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import packed, read
 
 SWEEPS = 24
 WORD = r"[^ \t-\r]+"
@@ -60,7 +60,7 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], sweeps: int
 
 
 def with_cells(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
-    """Adds tokens, topic and the cell's keys _source, _lang and _topic."""
+    """Adds tokens, topic and the cell's keys _source, _lang and _topic to row, text, source and lang."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = lambda c, k: F.when(c.isin(sorted(set(targets[k]) - {OTHER})), c).otherwise(OTHER)
     out = docs.withColumns({"tokens": F.regexp_count(text, F.lit(WORD)).cast("long"), "topic": topic(text)})
@@ -68,9 +68,9 @@ def with_cells(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFra
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, salt: str = "mix") -> DataFrame:
-    """Adds tokens, topic, probability and sampled to documents."""
+    """Adds tokens, topic, probability and sampled to documents; columns of these names are replaced."""
     keys = ["_source", "_lang", "_topic"]
-    rows = with_cells(docs, targets)
+    rows = with_cells(docs.select(packed(docs, ("tokens", "topic", "probability", "sampled")), "doc_id", "text", "source", "lang"), targets)
     found = {tuple(r[k] for k in keys): r["n"] for r in rows.groupBy(*keys).agg(F.sum("tokens").alias("n")).collect()}
     raked = rake(found, [targets[k] for k in ("source", "lang", "topic")])
     rates = {k: v / found[k] for k, v in raked.items()}
@@ -78,7 +78,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, salt: s
     table = docs.sparkSession.createDataFrame([(*k, v / most) for k, v in rates.items()], "_source string, _lang string, _topic string, _p double")
     # There are no more cells than the targets name.
     out = rows.join(F.broadcast(table), keys, "left").withColumn("probability", F.coalesce("_p", F.lit(0.0)))
-    return out.withColumn("sampled", unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), salt) < F.col("probability")).drop(*keys, "_p")
+    sampled = unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), salt) < F.col("probability")
+    return out.select("row.*", "tokens", "topic", "probability", sampled.alias("sampled"))
 
 
 def document_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

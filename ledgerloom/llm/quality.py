@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, read, utf8
+from .shared import bound_batches, packed, read, utf8
 
 #: Labelled rows that are used at most.
 SAMPLE = 20_000
@@ -208,25 +208,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, np.array(got["quality"].to_pylist(), dtype=np.float64))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns named, and score, of each row."""
+def score(docs: DataFrame, model: Model, without: tuple[str, ...] = ()) -> DataFrame:
+    """row, all columns but those named as a struct, and score."""
     bound_batches(docs.sparkSession)
-    schema = docs.select(keep).schema.add("score", "double")
+    rows = docs.select(packed(docs, without), utf8().alias("_bytes"))
+    schema = rows.select("row").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = pa.array(model.score(_matrix(b.column(b.num_columns - 1))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], ["row", "score"])
 
-    return docs.select(*keep, utf8().alias("_bytes")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read(spark, sf_dir, "labels"))
-    return score(docs, model, ["doc_id"]).select("doc_id", (_fold() == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model, ("text",)).select("row.doc_id", "score").select("doc_id", (_fold() == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """Rows that the classifier accepts."""
-    return score(docs, model, docs.columns).filter(F.col("score") >= THRESHOLD).select(docs.columns)
+    return score(docs, model).filter(F.col("score") >= THRESHOLD).select("row.*")

@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import packed, read
 
 
 @dataclass(frozen=True)
@@ -201,10 +201,14 @@ def _spans(rule: Rule, k: int, text: Column) -> Column:
 
 
 def scan(df: DataFrame, column: str = "text", rules=RULES) -> DataFrame:
-    """Adds `found`: all spans of all rules, as (start, kind number, end) in order."""
+    """Adds `found`: all spans of all rules, as (start, kind number, end) in order. A column of this name is replaced."""
+    return _found(df.select(packed(df, ("found",)), F.col(column).alias("_column")), rules).select("row.*", "found")
+
+
+def _found(df: DataFrame, rules) -> DataFrame:
+    """row, _column and found, of row and _column."""
     index = Index(rules)
-    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    out = df.withColumn("_text", text).withColumn("_lower", F.lower("_text"))
+    out = df.withColumn("_text", F.coalesce(F.col("_column").cast("string"), F.lit(""))).withColumn("_lower", F.lower("_text"))
     names = [f"_p{i}" for i in range(-(-len(index.grams) // 60))]
     out = out.withColumns(dict(zip(names, index.postings(F.col("_text"), F.col("_lower")), strict=True)))
     words = [F.col(n) for n in names]
@@ -215,7 +219,7 @@ def scan(df: DataFrame, column: str = "text", rules=RULES) -> DataFrame:
         if rule.gate:
             maybe = maybe & F.col("_text").rlike(rule.gate)
         lists.append(F.when(maybe, _spans(rule, k, F.col("_text"))).otherwise(none))
-    return out.withColumn("found", F.array_sort(F.concat(*lists))).drop("_text", "_lower", *names)
+    return out.select("row", "_column", F.array_sort(F.concat(*lists)).alias("found"))
 
 
 def _told(spans: Column, rules) -> Column:
@@ -229,12 +233,13 @@ def redact(df: DataFrame, column: str = "text", mark: str = "[SECRET]", rules=RU
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substring(F.col(column), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        piece = F.array(F.substring("_column", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(column), acc["at"] + 1, F.length(F.col(column))))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("_column", acc["at"] + 1, F.length("_column")))
     clean = F.aggregate(F.col("found"), state, step, rest)
-    return scan(df, column, rules).withColumn(column, F.when(F.size("found") > 0, clean).otherwise(F.col(column))).drop("found")
+    rows = _found(df.select(packed(df), F.col(column).alias("_column")), rules)
+    return rows.select(F.col("row").withField(f"`{column}`", F.when(F.size("found") > 0, clean).otherwise(F.col("_column"))).alias("row")).select("row.*")
 
 
 def document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

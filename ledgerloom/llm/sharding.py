@@ -23,7 +23,7 @@ from hashlib import blake2b
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import packed, read
 
 #: Slots of the ring, a power of two. It bounds what the driver sees and what is broadcast.
 RING = 1 << 14
@@ -77,14 +77,14 @@ def _open(points: list[tuple[int, int]], room: list[int]) -> list[int]:
 
 
 def assign_shards(df: DataFrame, key: Column, tie: list[Column], shards: int, vnodes: int = 128, load_factor: float | None = None) -> DataFrame:
-    """Adds shard and slot (gapless from 0 in each shard).
+    """Adds shard and slot (gapless from 0 in each shard); columns of these names are replaced.
 
     load_factor: a shard takes at most this times the mean number of rows; None fills
     all evenly, so that no two shards differ by more than one row.
     tie: columns that order rows of equal keys; rows equal in all of them are interchangeable.
     """
     ring = F.shiftrightunsigned(F.col("_h"), 64 - RING.bit_length() + 1).cast("int")
-    rows = df.withColumn("_h", key).withColumn("_at", ring)
+    rows = df.select(packed(df, ("shard", "slot")), key.alias("_h"), *(t.alias(f"_t{i}") for i, t in enumerate(tie))).withColumn("_at", ring)
     counts = {r["_at"]: r["count"] for r in rows.groupBy("_at").count().collect()}
     total = sum(counts.values())
     even = [total // shards + (s < total % shards) for s in range(shards)]
@@ -93,10 +93,10 @@ def assign_shards(df: DataFrame, key: Column, tie: list[Column], shards: int, vn
     parts = place(counts, even, ring_points(shards, vnodes))
     plan = df.sparkSession.createDataFrame(parts, "_slot int, _lo long, _hi long, shard int, _base long")
     # The ring's plan has RING + shards rows at most.
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_at").orderBy("_h", *tie)).cast("long") - 1)
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_at").orderBy("_h", *(f"_t{i}" for i in range(len(tie))))).cast("long") - 1)
     on = (F.col("_at") == F.col("_slot")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     placed = ranked.join(F.broadcast(plan), on)
-    return placed.withColumn("slot", F.col("_base") + F.col("_rank") - F.col("_lo")).drop("_h", "_at", "_rank", "_slot", "_lo", "_hi", "_base")
+    return placed.select("row.*", "shard", (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("slot"))
 
 
 def documents_to_shards(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:

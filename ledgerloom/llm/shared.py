@@ -78,5 +78,10 @@ def utf8(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
 
 
+def packed(df: DataFrame, without: tuple[str, ...] = ()):
+    """All columns in one struct named row, so that no name of theirs can meet one of ours; `without`: names that the result replaces."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in without)).alias("row")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .shared import bound_batches, pin, read, utf8
+from .shared import bound_batches, packed, pin, read, utf8
 
 SEED = 42
 #: Reference patterns for each block and for the whole fingerprint.
@@ -227,9 +227,13 @@ def radius_for(similarity: float, bits: int) -> int:
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id (of rows that share it, one stays)."""
-    found = near_duplicates(docs, 5, WIDE, radius_for(similarity, 64 * WIDE), WIDE_CUTS, 1, distinct=True)
+    found = near_duplicates(docs.select("doc_id", "text"), 5, WIDE, radius_for(similarity, 64 * WIDE), WIDE_CUTS, 1, distinct=True)
     stays = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
-    stays = stays.filter("_stays").select(F.col("doc_id").alias("_id"), "_rows")
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")))
-    once, again = kept.filter("_rows = 1"), kept.filter("_rows > 1").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(docs.columns)
+    stays = pin(stays.filter("_stays").select(F.col("doc_id").alias("_id"), "_rows"), "simhash-stays")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("_own"))
+    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id")))
+    if not stays.filter("_rows > 1").limit(1).count():
+        return kept.select("row.*")
+    # Of rows that share a doc_id, the one with the smallest text stays.
+    again = kept.filter("_rows > 1").groupBy("_own").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
+    return kept.filter("_rows = 1").select("row.*").unionByName(again.select("row.*"))
