@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import bound_batches, read, utf8
+from .shared import bound_batches, lean, read, utf8
 from .words import Encoded, splitter
 
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 #: Bytes of text in one row of a block.
 ROW = 2 << 20
 #: Buckets of the word table for each shuffle partition.
@@ -150,9 +150,9 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", column: str = "text")
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
         return pa.table({key: pa.array(keys, pa.int64()), "ids": ids})
 
-    words = rows.mapInArrow(split, "block long, bucket int, words binary").repartition(tasks, "bucket")
-    parts = words.mapInArrow(table, "block long, words binary, ids binary")
-    texts = rows.mapInArrow(pack, "block long, keys array<long>, texts binary")
+    words = rows.mapInArrow(lean(split), "block long, bucket int, words binary").repartition(tasks, "bucket")
+    parts = words.mapInArrow(lean(table), "block long, words binary, ids binary")
+    texts = rows.mapInArrow(lean(pack), "block long, keys array<long>, texts binary")
     return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(place, f"{key} long, ids array<int>")
 
 
@@ -171,7 +171,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [b"".join(map(piece, flat[i:j].tolist())).decode(errors="replace") for i, j in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def document_ids(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import bound_batches, read, utf8
+from .shared import bound_batches, lean, read, utf8
 
 UNIT = 192
 #: Blocks in a row at least and at most, and rows of blocks at most, of a picture of up to 65,535 pixels each way.
@@ -285,7 +285,7 @@ def store(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame
                 texts = [t.as_buffer().to_pybytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array([encode(pad(t)) for t in texts], pa.binary())], [key, "n_bytes", "media"])
 
-    return df.select(key, utf8(column).alias("_bytes")).mapInArrow(run, schema)
+    return df.select(key, utf8(column).alias("_bytes")).mapInArrow(lean(run), schema)
 
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, feature string"
@@ -311,7 +311,7 @@ def load(stored: DataFrame, key: str = "doc_id") -> DataFrame:
             made = zip(*(one(m.as_buffer().to_pybytes()) for m in b.column(2)), strict=True) if b.num_rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names)
 
-    return stored.select(key, "n_bytes", "media").mapInArrow(run, schema)
+    return stored.select(key, "n_bytes", "media").mapInArrow(lean(run), schema)
 
 
 def document_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, packed, read, utf8
+from .shared import bound_batches, lean, packed, read, utf8
 
 #: Labelled rows that are used at most.
 SAMPLE = 20_000
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), x], ["doc_id", "quality", "x"])
 
     # `known` has `sample` rows at most.
-    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "quality", utf8().alias("_bytes")).mapInArrow(run, "doc_id long, quality int, x array<double>")
+    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "quality", utf8().alias("_bytes")).mapInArrow(lean(run), "doc_id long, quality int, x array<double>")
     got = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("r.*", "doc_id").toArrow().sort_by("doc_id")
     x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array(got["quality"].to_pylist(), dtype=np.float64))
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model, without: tuple[str, ...] = ()) -> DataF
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], ["row", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that an Arrow batch to a Python worker has at most, so that long texts can't fill a worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,6 +77,27 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that gives its memory back to the system when it ends, so that idle workers stay small."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import pyarrow
+
+        pyarrow.set_memory_pool(pyarrow.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def utf8(col: str = "text"):
     """The column's UTF-8 bytes, none for null."""
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .shared import bound_batches, packed, pin, read, utf8
+from .shared import bound_batches, lean, packed, pin, read, utf8
 
 SEED = 42
 #: Reference patterns for each block and for the whole fingerprint.
@@ -103,7 +103,7 @@ def fingerprints(df: DataFrame, size: int, words: int = 1, distinct: bool = Fals
             made = [fingerprint(hashes(t.as_buffer().to_pybytes(), size, distinct), words) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(made, target.field(1).type)], schema=target)
 
-    return df.select(key, utf8(column).alias("_bytes")).mapInArrow(run, schema)
+    return df.select(key, utf8(column).alias("_bytes")).mapInArrow(lean(run), schema)
 
 
 def _patterns(bits: int, seed: int) -> list[int]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .shared import bound_batches, new_path, read, utf8
+from .shared import bound_batches, lean, new_path, read, utf8
 from .words import Encoded, splitter
 
 CHUNK = 1 << 16
@@ -134,7 +134,7 @@ def write(df: DataFrame, folder: str, path: str, planes: str = "bit") -> None:
         if ids:
             yield row()
 
-    rows.select("doc_id", "_bytes").mapInArrow(run, CHUNKS).write.option("compression", "none").parquet(folder)
+    rows.select("doc_id", "_bytes").mapInArrow(lean(run), CHUNKS).write.option("compression", "none").parquet(folder)
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +163,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 cols = [[r["part"]] * k, [r["chunk"]] * k, r["number"], r["doc_id"], r["start"], r["n"], r["run"], crcs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["part", "chunk", "number", "doc_id", "start", "n", "run", "crc"])
 
-    found = stored.mapInArrow(runs, "part long, chunk long, number long, doc_id long, start long, n long, run long, crc long")
+    found = stored.mapInArrow(lean(runs), "part long, chunk long, number long, doc_id long, start long, n long, run long, crc long")
     # A document's runs are as many as the chunks that it reaches over.
     each = found.groupBy("part", "number", "doc_id", "start", "n").agg(F.array_sort(F.collect_list(F.struct("chunk", "run", "crc"))).alias("runs"))
 
@@ -177,7 +177,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 out.append(crc)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    whole = each.select(F.col("part").cast("int"), "doc_id", "start", "n", "runs").mapInArrow(joined, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    whole = each.select(F.col("part").cast("int"), "doc_id", "start", "n", "runs").mapInArrow(lean(joined), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return whole.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, pin, read
+from .shared import bound_batches, lean, pin, read
 
 PIVOTS, BLOCK, QUERIES, CHUNK = 24, 8192, 512, 512
 EXACT = 2.0**53
@@ -116,7 +116,7 @@ def search(df: DataFrame, k: int, every: int) -> DataFrame:
                 cols = zip(*out, strict=True) if out else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["query_id", "score", "vec_id"])
 
-    part = met.mapInArrow(run, "query_id long, score long, vec_id long")
+    part = met.mapInArrow(lean(run), "query_id long, score long, vec_id long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 

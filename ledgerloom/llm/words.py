@@ -18,7 +18,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Characters whose classes are the same in all Unicode versions of the last decades.
 PLAIN = re.compile("[\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*")
 #: Words encoded so far that a worker keeps at most.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Splitter:
@@ -34,15 +34,11 @@ class Splitter:
         self.marks = specials
         self.normal = self.tokenizer.normalizer
         self.pre = self.tokenizer.pre_tokenizer
-        # Words are normal already, and normal forms of normal forms could differ.
-        self.alone = Tokenizer.from_file(path)
-        self.alone.no_padding()
-        self.alone.no_truncation()
-        if self.normal is not None:
-            self.alone.normalizer = normalizers.Sequence([])
         if self.normal is None:
             parts = r"'(?:[stmd]|re|ve|ll)| ?{L}+| ?{N}+| ?[^{S}{X}]+|[{S}]+(?![^{S}])|[{S}]+"
         else:
+            # Words are normal already, and normal forms of normal forms could differ.
+            self.tokenizer.normalizer = normalizers.Sequence([])
             parts = r"'(?:[stmd]|re|ve|ll)|{L}+|{N}|[^{S}{X}]+"
         put = lambda letter, digit, space, both: parts.replace("{L}", letter).replace("{N}", digit).replace("{S}", space).replace("{X}", both)
         self.ascii = re.compile(put("[A-Za-z]", "[0-9]", "\\t-\\r ", "A-Za-z0-9")).findall
@@ -56,14 +52,16 @@ class Splitter:
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii(text if self.normal is None else text.lower())
+        if PLAIN.fullmatch(text):
+            # Composed already; white space, which normal forms squeeze, is in no word.
+            return self.latin(text if self.normal is None else text.lower())
         if self.normal is not None:
             text = self.normal.normalize_str(text)
-        if PLAIN.fullmatch(text):
-            return self.latin(text)
         return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.alone.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of each word."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def pieces(self) -> list[bytes]:
         """The bytes that each id stands for."""
