@@ -23,16 +23,14 @@ def pearson(x: str, y: str) -> Column:
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """n and rho of each group."""
     by = list(by)
-    ranked = average_ranks(average_ranks(df.select(*by, x, y).dropna(subset=[x, y]), x, "_rx", by), y, "_ry", by)
+    ranked = average_ranks(df.select(*by, x, y).dropna(subset=[x, y]), {x: "_rx", y: "_ry"}, by)
     aggs = [F.count(F.lit(1)).alias("n"), pearson("_rx", "_ry").alias("rho")]
     return ranked.groupBy(*by).agg(*aggs) if by else ranked.agg(*aggs)
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """x, y, rho of each pair, all from one pass over ranked rows."""
-    ranked = df.select(columns).dropna()
-    for c in columns:
-        ranked = average_ranks(ranked, c, f"_r_{c}")
+    ranked = average_ranks(df.select(columns).dropna(), {c: f"_r_{c}" for c in columns})
     pairs = list(combinations(columns, 2))
     one = ranked.agg(*(pearson(f"_r_{a}", f"_r_{b}").alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
     return one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(pairs)))))
@@ -47,7 +45,7 @@ def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def within_groups(df: DataFrame, x: str, y: str, group: str, least: int = 3) -> DataFrame:
     """Correlation of ranks centred in their groups, of groups with `least` rows and variation on both sides."""
-    ranked = average_ranks(average_ranks(df.select(group, x, y).dropna(), x, "_rx", [group]), y, "_ry", [group])
+    ranked = average_ranks(df.select(group, x, y).dropna(), {x: "_rx", y: "_ry"}, [group])
     w = Window.partitionBy(group)
     n = F.count(F.lit(1)).over(w)
     fit = (n >= least) & (F.min(x).over(w) < F.max(x).over(w)) & (F.min(y).over(w) < F.max(y).over(w))

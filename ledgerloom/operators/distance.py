@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import gaps, running_counts
+from .order import bucketed, gaps, running_counts
 
 
 def ecdf(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
@@ -19,15 +19,8 @@ def ecdf(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
 
 def two_samples(df: DataFrame, column: str, first: Column) -> DataFrame:
     """The values of both samples, with both distribution functions at them (right-continuous). first: which rows are of the first one."""
-    runs = {}
-    for name, mask in (("a", first), ("b", ~first)):
-        runs[name] = df.withColumn("_w", mask)
     both = df.select(F.col(column), first.alias("_f"))
     counts = both.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count_if("_f").alias("na"), F.count_if(~F.col("_f")).alias("nb"))
-    from pyspark.sql import Window
-
-    from .order import bucketed
-
     cut = bucketed(counts, column)
     inner = Window.partitionBy("_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
     sums = cut.groupBy("_bucket").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"))
@@ -35,7 +28,7 @@ def two_samples(df: DataFrame, column: str, first: Column) -> DataFrame:
     offsets = sums.select("_bucket", *(F.coalesce(F.sum(f"s{x}").over(ahead), F.lit(0)).alias(f"o{x}") for x in "ab"))
     total = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     out = cut.withColumns({f"r{x}": F.sum(f"n{x}").over(inner) for x in "ab"}).join(F.broadcast(offsets), "_bucket").crossJoin(F.broadcast(total))
-    return out.select(column, *((F.col(f"r{x}") + F.col(f"o{x}")).cast("double").__truediv__(F.nullif(F.col(f"t{x}"), F.lit(0))).alias(f"f{x}") for x in "ab"))
+    return out.select(column, *(((F.col(f"r{x}") + F.col(f"o{x}")) / F.nullif(F.col(f"t{x}"), F.lit(0))).alias(f"f{x}") for x in "ab"))
 
 
 def distances(df: DataFrame, column: str, first: Column) -> DataFrame:

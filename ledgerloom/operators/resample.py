@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
 from .rng import uniform
 
 
-def numbered(df: DataFrame, cluster: str) -> DataFrame:
-    """Clusters with gapless numbers from 0 in their order. One row a cluster: their count is what the draws range over."""
-    return df.select(cluster).distinct().withColumn("ordinal", F.row_number().over(Window.orderBy(cluster)) - 1)
-
-
 def draws(df: DataFrame, cluster: str, reps: int, seed: str) -> DataFrame:
     """rep, slot and the cluster drawn: as many slots as there are clusters, for each replicate."""
-    clusters = numbered(df, cluster)
+    clusters = numbered(df.select(cluster).distinct(), cluster, "ordinal")
     size = clusters.agg(F.count(F.lit(1)).alias("g"))
     slots = clusters.select(F.col("ordinal").alias("slot")).crossJoin(F.broadcast(size))
     # The replicates are a fixed short list, not a table.
     slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    hit = slots.withColumn("ordinal", F.floor(uniform(seed, F.col("rep"), F.col("slot")) * F.col("g")).cast("int"))
+    hit = slots.withColumn("ordinal", F.floor(uniform(seed, F.col("rep"), F.col("slot")) * F.col("g")).cast("long"))
     return hit.join(clusters, "ordinal").select("rep", "slot", cluster)
 
 
@@ -39,5 +33,3 @@ def intervals(reps: DataFrame, names: list[str], needed: int, by: list[str] = ()
     n, v = F.count("value"), F.col("value")
     return wide.groupBy(*by, "statistic").agg(n.alias("usable"), *(F.when(n >= needed, F.percentile(v, F.lit(p))).alias(k) for k, p in (("low", 0.025), ("high", 0.975))))
 
-
-Statistic = Callable[[str], Column]

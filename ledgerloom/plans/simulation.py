@@ -44,7 +44,7 @@ def cluster_bootstrap_corr(spark, d):
     rows = cohort(spark, d).select("entity", "q", "total")
     times = resample.draws(rows, "entity", REPS, "corr").groupBy("rep", "entity").agg(F.count(F.lit(1)).alias("_times"))
     drawn = rows.join(times, "entity").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    ranked = average_ranks(average_ranks(drawn, "q", "rq", ["rep"]), "total", "rt", ["rep"])
+    ranked = average_ranks(drawn, {"q": "rq", "total": "rt"}, ["rep"])
     reps = ranked.groupBy("rep").agg(pearson("q", "total").alias("pearson"), pearson("rq", "rt").alias("spearman"))
     return rounded(resample.intervals(reps, ["pearson", "spearman"], 18).drop("_"))
 

@@ -33,7 +33,7 @@ def test_constants_and_short_columns_have_no_shape(spark):
 
 
 def test_average_ranks_share_places(spark):
-    got = {r["x"]: r["r"] for r in order.average_ranks(values(spark, [1.0, 1.0, 2.0, 5.0, 5.0, 5.0]), "x", "r").collect()}
+    got = {r["x"]: r["r"] for r in order.average_ranks(values(spark, [1.0, 1.0, 2.0, 5.0, 5.0, 5.0]), {"x": "r"}).collect()}
     assert got == {1.0: 1.5, 2.0: 3.0, 5.0: 5.0}
 
 
