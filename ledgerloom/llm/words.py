@@ -17,8 +17,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters whose classes are the same in all Unicode versions of the last decades.
 PLAIN = re.compile("[\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*")
-#: Words encoded so far that a worker keeps at most.
-CACHE = 200_000
+#: Words encoded so far that a task keeps at most, and that a worker keeps from task to task (about 200 bytes each).
+CACHE, WORKER_CACHE = 200_000, 800_000
 
 
 class Splitter:
@@ -89,15 +89,21 @@ def splitter(path: str) -> Splitter:
 class Encoded(dict):
     """Words met so far with their ids as bytes; `learn` encodes the new ones of a list together."""
 
-    def __init__(self, split: Splitter, kind: str):
-        self.split, self.kind = split, kind
+    def __init__(self, split: Splitter, kind: str, most: int = CACHE):
+        self.split, self.kind, self.most = split, kind, most
 
     def learn(self, words) -> None:
         import numpy as np
 
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE and self:
+        if len(self) + len(new) > self.most and self:
             self.clear()
             new = list(words)
         for w, ids in zip(new, self.split.encode(new), strict=True):
             self[w] = np.array(ids, self.kind).tobytes()
+
+
+@lru_cache(maxsize=1)
+def worker_words(path: str, kind: str) -> Encoded:
+    """Words that this worker has encoded in this and earlier tasks."""
+    return Encoded(splitter(path), kind, WORKER_CACHE)
