@@ -87,9 +87,11 @@ def cumulative_milestones(spark, d):
     return cohort(spark, d).select("procedure_code", F.col("t1").alias("m1"), (F.col("t1") + F.col("t2")).alias("m2"), (F.col("t1") + F.col("t2") + F.col("t3")).alias("m3"))
 
 
-@query("descriptive_block", f"{COHORT_SQL}{_long([*OUTCOMES, 'q', 'amount'])} SELECT variable, {_block()} FROM long GROUP BY 1")
+# Amounts are described in thousands: six decimals of a variance then are within a double's digits.
+@query("descriptive_block", f"{COHORT_SQL}, cohort_k AS (SELECT *, amount / 1000 AS amount_k FROM cohort){_long([*OUTCOMES, 'q', 'amount_k']).replace('FROM cohort', 'FROM cohort_k')} SELECT variable, {_block()} FROM long GROUP BY 1")
 def descriptive_block(spark, d):
-    return rounded(describe.long(cohort(spark, d), [], [*OUTCOMES, "q", "amount"]).groupBy("variable").agg(*describe.block()))
+    c = cohort(spark, d).withColumn("amount_k", F.col("amount") / 1000)
+    return rounded(describe.long(c, [], [*OUTCOMES, "q", "amount_k"]).groupBy("variable").agg(*describe.block()))
 
 
 @query("skew_kurtosis", f"{COHORT_SQL}{_long([*OUTCOMES, 'q'])} SELECT variable, count(value) AS n, {_r('skewness(value)', 'skewness')}, {_r('kurtosis(value)', 'excess_kurtosis')} FROM long GROUP BY 1")
@@ -157,9 +159,10 @@ def segment_profile(spark, d):
     return _profile(cohort(spark, d), "government")
 
 
-@query("amount_by_group", f"{COHORT_SQL} SELECT government, {_block('amount')} FROM cohort GROUP BY 1")
+@query("amount_by_group", f"{COHORT_SQL} SELECT government, {_block('amount_k')} FROM (SELECT government, amount / 1000 AS amount_k FROM cohort) GROUP BY 1")
 def amount_by_group(spark, d):
-    return rounded(cohort(spark, d).groupBy("government").agg(*describe.block("amount")))
+    c = cohort(spark, d).withColumn("amount_k", F.col("amount") / 1000)
+    return rounded(c.groupBy("government").agg(*describe.block("amount_k")))
 
 
 @query("entity_cluster_profile", f"{COHORT_SQL} SELECT count(*) AS clusters, count(*) FILTER (n = 1) AS singletons, max(n) AS largest, count(*) FILTER (n > 1) AS repeated FROM (SELECT entity, count(*) AS n FROM cohort GROUP BY 1)")
