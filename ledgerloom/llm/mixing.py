@@ -6,9 +6,10 @@ most (sources + 1) * (languages + 1) * (topics + 1) cells whatever the input; on
 go to the driver. The cells' weights are raked: scaled to the source shares, to the
 language shares, to the topic shares, and again, SWEEPS times. Shares of values that no
 row has are dropped and the rest scaled up. A document's probability is its cell's raked
-weight over the cell's weight, scaled so that the largest is 1; a document is sampled if
-a number in [0, 1) made of its id is below it. So the sample depends on the rows alone,
-and no document is taken twice.
+weight over the cell's weight, times the share `budget` of all tokens that the sample is
+to hold, and 1 at most: no document is taken twice, so a cell with fewer tokens than its
+target asks for is taken whole. A document is sampled if a number in [0, 1) made of its
+id is below its probability. So the sample depends on the rows alone.
 
 The tokens of a document are its words, [^ \\t-\\r]+. Null texts and texts without words
 have no tokens; they get the probability of their cell, and cells without any tokens the
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .shared import packed, read
 
 SWEEPS = 24
+#: Share of all tokens that a sample is to hold.
+BUDGET = 0.7
 WORD = r"[^ \t-\r]+"
 OTHER = "other"
 
@@ -67,15 +70,13 @@ def with_cells(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFra
     return out.withColumns({"_source": named(F.col("source"), "source"), "_lang": named(F.col("lang"), "lang"), "_topic": named(F.col("topic"), "topic")})
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, salt: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, salt: str = "mix") -> DataFrame:
     """Adds tokens, topic, probability and sampled to documents; columns of these names are replaced."""
     keys = ["_source", "_lang", "_topic"]
     rows = with_cells(docs.select(packed(docs, ("tokens", "topic", "probability", "sampled")), "doc_id", "text", "source", "lang"), targets)
     found = {tuple(r[k] for k in keys): r["n"] for r in rows.groupBy(*keys).agg(F.sum("tokens").alias("n")).collect()}
     raked = rake(found, [targets[k] for k in ("source", "lang", "topic")])
-    rates = {k: v / found[k] for k, v in raked.items()}
-    most = max(rates.values(), default=0.0) or 1.0
-    table = docs.sparkSession.createDataFrame([(*k, v / most) for k, v in rates.items()], "_source string, _lang string, _topic string, _p double")
+    table = docs.sparkSession.createDataFrame([(*k, min(1.0, v / found[k] * budget)) for k, v in raked.items()], "_source string, _lang string, _topic string, _p double")
     # There are no more cells than the targets name.
     out = rows.join(F.broadcast(table), keys, "left").withColumn("probability", F.coalesce("_p", F.lit(0.0)))
     sampled = unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), salt) < F.col("probability")
@@ -87,7 +88,7 @@ def document_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), F.col("sampled").cast("int").alias("sampled"))
 
 
-def oracle_sql(targets: dict[str, dict[str, float]] = TARGETS, salt: str = "mix", sweeps: int = SWEEPS) -> str:
+def oracle_sql(targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, salt: str = "mix", sweeps: int = SWEEPS) -> str:
     """The same in DuckDB's SQL."""
     names = {k: ", ".join(f"'{x}'" for x in v if x != OTHER) for k, v in targets.items()}
     shares = {k: ", ".join(f"('{x}', CAST({p!r} AS DOUBLE))" for x, p in v.items()) for k, v in targets.items()}
@@ -110,6 +111,6 @@ def oracle_sql(targets: dict[str, dict[str, float]] = TARGETS, salt: str = "mix"
             f" CROSS JOIN (SELECT sum(share) AS live FROM t{i} WHERE x IN (SELECT k{i} FROM w{s})) l)"
         )
     last = f"w{3 * sweeps}"
-    steps.append(f"p AS MATERIALIZED (SELECT w.k0, w.k1, w.k2, w.w / n.n / (SELECT max(a.w / b.n) FROM {last} a JOIN n b USING (k0, k1, k2)) AS p FROM {last} w JOIN n USING (k0, k1, k2))")
+    steps.append(f"p AS MATERIALIZED (SELECT w.k0, w.k1, w.k2, least(1.0, w.w / n.n * {budget!r}) AS p FROM {last} w JOIN n USING (k0, k1, k2))")
     draw = f"CAST(CAST('0x' || substr(md5('{salt}|' || doc_id), 1, 12) AS BIGINT) AS DOUBLE) / {float(1 << 48)!r}"
     return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(coalesce(p.p, 0), 6) AS probability, CAST({draw} < coalesce(p.p, 0) AS INTEGER) AS sampled FROM celled LEFT JOIN p USING (k0, k1, k2)"

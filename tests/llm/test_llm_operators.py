@@ -276,6 +276,14 @@ def test_raking_meets_the_margins():
             assert sum(v for c, v in got.items() if c[at] == k) / total == pytest.approx(share, abs=1e-9)
 
 
+def test_a_rare_cell_is_taken_whole_and_starves_no_other(spark, none):
+    """One tabular document, whose target share is far beyond its tokens."""
+    docs = [(i, "word " * 50, "en", f"src{i % 20}", 1, 0, 0.0, "f", "r") for i in range(2000)] + [(9999, "a | b", "en", "src1", 1, 0, 0.0, "f", "r")]
+    got = mixing.mix(spark.createDataFrame(docs, none.schema))
+    assert got.filter("doc_id = 9999").first()["probability"] == 1.0
+    assert 0.6 < got.filter("sampled").count() / 2001 < 0.8
+
+
 def test_mix_of_odd_rows(spark, odd, none):
     got = mixing.mix(odd)
     assert got.count() == odd.count() and got.filter("sampled AND probability = 0").count() == 0

@@ -50,10 +50,9 @@ def mixed(docs):
     for d in docs:
         sums[cell(d)] += len(re.findall(r"[^ \t-\r]+", d[1]))
     raked = mixing.rake(sums, [mixing.TARGETS[k] for k in ("source", "lang", "topic")])
-    rate = {k: v / sums[k] for k, v in raked.items()}
-    most = max(rate.values())
+    rate = {k: min(1.0, v / sums[k] * mixing.BUDGET) for k, v in raked.items()}
     u = lambda i: int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:12], 16) / 2**48
-    return [d for d in docs if u(d[0]) < rate.get(cell(d), 0.0) / most]
+    return [d for d in docs if u(d[0]) < rate.get(cell(d), 0.0)]
 
 
 def test_pipeline_rows(spark):
