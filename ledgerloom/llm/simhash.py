@@ -11,6 +11,12 @@ the Hamming distances to PIVOTS reference patterns; fingerprints that agree in a
 - blocks of 20 bits, cells of one block, for fingerprints of many words and a wider
   radius: `recall()` tells the share of pairs that meet.
 
+For sets of shingles (the pipeline) a link is a pair of exact Jaccard similarity, counted
+from the texts of what fingerprints propose. `completed()` then finds the pairs that
+fingerprints miss: sets of similarity t share one of the first n - ceil(t * n) + 1
+shingles in an order common to all sets, so cells of those lose no link. Shingles that a
+sample finds frequent come last in that order, so that common passages make no large cells.
+
 Pairs of a cell are discarded by the largest difference of their distances to pivots of
 whole words (it can't exceed the radius), and the survivors verified by their distance.
 
@@ -31,13 +37,13 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -151,24 +157,35 @@ def _verified(pairs: DataFrame, nodes: DataFrame, words: int, radius: int) -> Da
     return pairs.join(x, "a").join(y, "b").filter(real <= radius).drop("_a", "_b")
 
 
-def linked(nodes: DataFrame, words: int, radius: int, cuts: list[tuple[int, int, int]], share: int) -> DataFrame:
-    """id, label of all nodes (id, fp): equal labels for nodes that links of radius bits or fewer connect."""
+def linked(nodes: DataFrame, words: int, radius: int, cuts: list[tuple[int, int, int]], share: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """id, label of all nodes (id, fp): equal labels for nodes that links connect. A link is a pair of radius bits or fewer that `check`, if given, leaves."""
     cells = _cells(nodes, words, cuts, share)
     heads = cells.groupBy("k").agg(F.min(F.struct("id", "w", "d")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = cells.alias("c").join(heads, "k").filter(F.col("c.id") != F.col("h.id"))
     stars = stars.filter(_near("c", "h", words, radius)).select(F.col("h.id").alias("a"), F.col("c.id").alias("b")).distinct()
-    found = components(_verified(stars, nodes, words, radius), "simhash-stars").withColumnRenamed("node", "id")
+    stars = _verified(stars, nodes, words, radius)
+    if check:  # one head of each node; its other pairs come up below, unless they are connected by then
+        stars = check(stars.groupBy("b").agg(F.min("a").alias("a")))
+    found = components(stars, "simhash-stars").withColumnRenamed("node", "id")
     nodes = pin(nodes.join(found, "id", "left").select("id", "fp", F.coalesce("label", "id").alias("label")), "simhash-starred")
+    pairs = _verified(_across(_cells(nodes, words, cuts, share, "label"), _near("x", "y", words, radius)), nodes, words, radius)
+    return _relabelled(nodes, check(pairs) if check else pairs, "simhash-joined")
+
 
-    cells = _cells(nodes, words, cuts, share, "label")
+def _across(cells: DataFrame, near: Column) -> DataFrame:
+    """Pairs (a, b) and their labels (la, lb) of near members of a cell that have different labels. Pairs inside a cell's largest label aside, all pairs of unlike labels meet."""
     held = cells.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = held.groupBy("k").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("k", F.col("top.label").alias("top"))
     inside = cells.join(mixed, "k")
     x, y = inside.filter(F.col("label") != F.col("top")).alias("x"), inside.alias("y")
-    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y", words, radius))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    edges = _verified(pairs, nodes, words, radius).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    joined = components(edges, "simhash-joined").select(F.col("node").alias("label"), F.col("label").alias("last"))
+    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.label") != F.col("y.label")) & near)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+
+
+def _relabelled(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """id, label of nodes (id, label), once links between labels (la, lb) join them."""
+    edges = links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    joined = components(edges, name).select(F.col("node").alias("label"), F.col("label").alias("last"))
     return nodes.join(joined, "label", "left").select("id", F.coalesce("last", "label").alias("label"))
 
 
@@ -225,9 +242,134 @@ def radius_for(similarity: float, bits: int) -> int:
     return round(bits * angle + 2 * math.sqrt(bits * angle * (1 - angle)))
 
 
+#: Bits of the filter over ids whose texts a check needs.
+FILTER_BITS = 1 << 23
+#: Documents whose shingles are counted to tell frequent ones, and how many of these are told at most.
+SAMPLE, FREQUENT = 4000, 50_000
+
+
+def _line(text: bytes) -> tuple[int, bytes]:
+    """A text's words, as hashes() sees them, and their name."""
+    from xxhash import xxh64_intdigest
+
+    line = b" ".join(text.lower().split())
+    name = xxh64_intdigest(line, SEED)
+    return name - (name >> 63 << 64), line
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sets of hashes; of two empty sets 1."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def alike(docs: DataFrame, size: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """A check of pairs (a, b, ...) of _line() names: leaves those whose sets of shingles have the Jaccard similarity, counted exactly from their texts."""
+    bound_batches(docs.sparkSession)
+    source = docs.select(utf8("text").alias("_bytes"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = pin(pairs, "simhash-pairs")
+        at = F.pmod(F.col("id"), F.lit(FILTER_BITS))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        held = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {FILTER_BITS}) & 63 as int))")).alias("m")).collect()
+        mask = np.zeros(FILTER_BITS // 64, np.int64)
+        for r in held:
+            mask[r["w"]] = r["m"]
+
+        def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = mask.view(np.uint64)
+            for b in batches:
+                got = (_line(t.as_buffer().to_pybytes()) for t in b.column(0))
+                got = [(i, t) for i, t in got if int(bits[i % FILTER_BITS >> 6]) >> (i & 63) & 1]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([t for _, t in got], pa.binary())], names=["id", "line"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y = ([hashes(t.as_buffer().to_pybytes(), size, True) for t in b.column(c)] for c in ("_x", "_y"))
+                keep = pa.array([jaccard(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
+                yield b.select(names).filter(keep)
+
+        names = pairs.columns
+        texts = source.mapInArrow(lean(needed), "id long, line binary").groupBy("id").agg(F.first("line").alias("line"))
+        texts = pin(texts, "simhash-texts")
+        x, y = (texts.select(F.col("id").alias(c), F.col("line").alias(n)) for c, n in (("a", "_x"), ("b", "_y")))
+        return pin(pairs.join(x, "a").join(y, "b").select(*names, "_x", "_y").mapInArrow(lean(run), pairs.schema), "simhash-alike")
+
+    return check
+
+
+def frequent(docs: DataFrame, size: int) -> np.ndarray:
+    """Hashes of shingles that several documents of a sample have, sorted. They only order shingles: no result depends on them."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(t.as_buffer().to_pybytes(), size, True).view(np.int64))], names=["k"])
+
+    some = docs.select(utf8("text").alias("_bytes")).sample(min(1.0, SAMPLE / max(1, docs.count())), SEED)
+    counts = some.mapInArrow(lean(run), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    top = counts.orderBy(F.desc("n"), "k").limit(FREQUENT).select("k").toArrow().column(0).to_numpy()
+    return np.sort(top.view(np.uint64))
+
+
+def prefix(h: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
+    """So many of a set's shingles, in one order for all sets, that two sets with the similarity have one of them in common: an overlap of ceil(similarity * n) can't avoid n - ceil(similarity * n) + 1 of n."""
+    h = np.sort(h)
+    rare = ~np.isin(h, last)
+    return np.concatenate([h[rare], h[~rare]])[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] if len(h) else h
+
+
+def set_prints(docs: DataFrame, size: int, words: int, similarity: float) -> DataFrame:
+    """doc_id, id (of _line()), and of each row's set of shingles its fp, size n and prefix."""
+    last = frequent(docs, size)
+    schema = docs.select(F.col("doc_id").cast("long").alias("doc_id")).schema.add("id", "long").add("fp", ArrayType(LongType())).add("n", "integer").add("prefix", ArrayType(LongType()))
+    target = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("fp", pa.list_(pa.int64())), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [_line(t.as_buffer().to_pybytes()) for t in b.column(1)]
+            sets = [hashes(t, size, True) for _, t in lines]
+            columns = [b.column(0).cast(pa.int64()), [i for i, _ in lines], [fingerprint(h, words) for h in sets], [len(h) for h in sets], [prefix(h, similarity, last).view(np.int64) for h in sets]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return docs.select("doc_id", utf8("text").alias("_bytes")).mapInArrow(lean(run), schema)
+
+
+def completed(nodes: DataFrame, found: DataFrame, similarity: float, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id, label once all pairs of nodes (id, n, prefix) that the check leaves are linked; found: id, label that are known."""
+    w = Window.partitionBy("k")
+    cells = nodes.select("id", "n", F.explode("prefix").alias("k"))
+    cells = cells.withColumns({"h": F.min(F.struct("id", "n")).over(w), "_m": F.count(F.lit(1)).over(w)}).filter("_m > 1").drop("_m")
+    cells = pin(cells.join(found, "id"), "simhash-prefixes")
+    sized = lambda p, q: F.least(p, q) >= similarity * F.greatest(p, q) - 1e-9
+    heads = cells.filter((F.col("id") != F.col("h.id")) & sized(F.col("n"), F.col("h.n"))).select(F.col("h.id").alias("a"), F.col("id").alias("b"), F.col("label").alias("lb"))
+    stars = heads.distinct().join(found.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").filter("la <> lb")
+    stars = stars.groupBy("b").agg(F.min(F.struct("a", "la", "lb")).alias("s")).select("s.a", "b", "s.la", "s.lb")
+    found = pin(_relabelled(found, check(stars), "simhash-prefix-stars"), "simhash-prefix-starred")
+    pairs = _across(cells.select("id", "n", "k").join(found, "id"), sized(F.col("x.n"), F.col("y.n")))
+    # Labels come as a set with the pair, which the check keeps, so that mirrored pairs are one.
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
+    return _relabelled(found, check(pairs), "simhash-prefix-joined")
+
+
+def similar_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of those linked) of each row. A link is a pair whose sets of shingles have the Jaccard similarity; fingerprints find most, prefixes all others."""
+    prints = pin(set_prints(docs, size, WIDE, similarity), "simhash-prints")
+    nodes = pin(prints.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "simhash-nodes")
+    check = alike(docs, size, similarity)
+    found = pin(linked(nodes.select("id", "fp"), WIDE, radius_for(similarity, 64 * WIDE), WIDE_CUTS, 1), "simhash-found")
+    found = pin(completed(nodes.select("id", "n", "prefix"), found, similarity, check), "simhash-completed")
+    labels = pin(nodes.select("id", "first").join(found, "id"), "simhash-labels")
+    heads = pin(labels.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-heads")
+    known = pin(labels.join(heads, "label").select("id", "component_id"), "simhash-known")
+    return prints.join(known, "id").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id (of rows that share it, one stays)."""
-    found = near_duplicates(docs.select("doc_id", "text"), 5, WIDE, radius_for(similarity, 64 * WIDE), WIDE_CUTS, 1, distinct=True)
+    found = similar_sets(docs.select("doc_id", "text"), 5, similarity)
     stays = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
     stays = pin(stays.filter("_stays").select(F.col("doc_id").alias("_id"), "_rows"), "simhash-stays")
     rows = docs.select(packed(docs), F.col("doc_id").alias("_own"))
