@@ -359,7 +359,7 @@ def similar_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     prints = pin(set_prints(docs, size, WIDE, similarity), "simhash-prints")
     nodes = pin(prints.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "simhash-nodes")
     check = alike(docs, size, similarity)
-    found = pin(linked(nodes.select("id", "fp"), WIDE, radius_for(similarity, 64 * WIDE), WIDE_CUTS, 1), "simhash-found")
+    found = pin(linked(nodes.select("id", "fp"), WIDE, radius_for(similarity, 64 * WIDE), WIDE_CUTS, 1, check), "simhash-found")
     found = pin(completed(nodes.select("id", "n", "prefix"), found, similarity, check), "simhash-completed")
     labels = pin(nodes.select("id", "first").join(found, "id"), "simhash-labels")
     heads = pin(labels.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-heads")

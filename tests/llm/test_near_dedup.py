@@ -46,6 +46,13 @@ def pair(rng, n, new):
     return [" ".join(words), " ".join(words[: n + 4 - new] + fresh(rng, new))]
 
 
+def test_pairs_below_the_threshold_stay(spark):
+    rng = random.Random(5)
+    texts = [t for _ in range(60) for t in pair(rng, 400, 60)]  # 340 of 460 shingles: 0.739
+    assert all(0.7 < jaccard(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert kept(spark, texts) == set(range(120))
+
+
 def test_no_similar_pair_is_missed(spark):
     rng = random.Random(6)
     texts = [t for n in (4, 5, 9, 20, 50, 200, 1000) for _ in range(12) for t in pair(rng, n - n // 9, max(1, n // 9) if n > 9 else 0)]
@@ -60,3 +67,14 @@ def test_no_similar_pair_is_missed(spark):
     got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows(docs), SCHEMA)).select("doc_id").collect()}
     assert sum(jaccard(a, b) >= 0.8 for a, b in zip(texts[:-40:2], texts[1:-40:2], strict=True)) > 80
     assert got == want
+
+
+def test_pipeline_rows_by_exact_similarity(spark, monkeypatch):
+    import test_pipeline
+
+    def one_of_each(docs):
+        stay = first_of_groups([t or "" for _, t, *_ in docs])
+        return [d for at, d in enumerate(docs) if at in stay]
+
+    monkeypatch.setattr(test_pipeline, "one_of_each", lambda docs: one_of_each(sorted(docs)))
+    test_pipeline.test_pipeline_rows(spark)
