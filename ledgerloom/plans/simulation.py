@@ -130,12 +130,12 @@ def precision_metrics(spark, d):
 
 @query("convergence_decision")
 def convergence_decision(spark, d):
-    """Sizes tried, replicates that meet all tolerances, and whether a size is accepted. A tenth of the replicates may fail."""
-    parts = None
-    for n in (500, 2000):
-        m = simulate.precision(_simulated(spark, d, f"size{n}", MODEL, n, 6), n).withColumn("size", F.lit(n))
+    """Sizes tried, replicates that meet all tolerances, whether a size agrees with all larger ones, is accepted, and is the smallest accepted. A tenth of the replicates may fail."""
+    parts, sizes, reps = None, [500, 2000], 6
+    for n in sizes:
+        m = simulate.precision(_simulated(spark, d, f"size{n}", MODEL, n, reps), n).withColumn("size", F.lit(n))
         parts = m if parts is None else parts.unionByName(m)
-    return spark.createDataFrame(simulate.decide(parts), "size int, passing int, replicates int, accepted boolean")
+    return spark.createDataFrame(simulate.decide(parts.persist(), sizes, reps), "size int, passing int, replicates int, stable boolean, accepted boolean, recommended boolean")
 
 
 _PAIRED = _sim_sql("paired", MODEL, 1000, 5)
