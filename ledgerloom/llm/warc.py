@@ -56,6 +56,13 @@ def header(kind: Column, page: Column, url: Column, sha1: Column, length: Column
     return F.concat(F.concat_ws(END, *lines), F.lit(END + END)).cast("binary")
 
 
+def stored(held: DataFrame) -> DataFrame:
+    """One row for each payload (digest, payload, n). Fails if a digest doesn't stand for one payload alone; the check is part of the payload's value, so that no plan can leave it out."""
+    same = (F.min("n") == F.max("n")) & (F.min("sha1") == F.max("sha1")) & (F.min("other") == F.max("other"))
+    checked = F.when(same, F.max("payload")).otherwise(F.raise_error(F.lit("two payloads under one digest")).cast("binary"))
+    return held.groupBy("digest").agg(checked.alias("payload"), F.max("n").alias("n"))
+
+
 def write(pages: DataFrame, folder: str, least: int = 0) -> None:
     """pages: page_id, url, html."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -63,10 +70,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> None:
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload").cast("long")})
     held = rows.withColumns({"sha1": F.sha1("payload"), "other": F.xxhash64("payload")})
 
-    # One row for each payload, with the checks that its digest stands for it alone.
-    same = (F.min("n") == F.max("n")) & (F.min("sha1") == F.max("sha1")) & (F.min("other") == F.max("other"))
-    store = held.groupBy("digest").agg(F.max("payload").alias("payload"), F.max("n").alias("n"), F.assert_true(same, "two payloads under one digest").alias("ok"))
-    store.select("digest", "payload", "n").write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    stored(held).write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
     # Headers: digests only, never payloads, go by the shuffle.
     thin = held.select("page_id", "url", "digest", "n", "sha1")
