@@ -1,19 +1,21 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are split into words, which the tokenizer encodes independently. Documents are
-gathered in blocks of about BLOCK bytes of text. Each block sends its distinct words,
-dealt by a hash into buckets, to the bucket's task; there each distinct word of the
-bucket is encoded once, however many blocks ask for it, and the word table's part that a
-block needs goes back to it. The block then puts ids in the place of words. So what is
-shuffled is each block's distinct words and its texts, compressed, and no word occurrence.
-
-Decoding looks ids up in the table of pieces, one for each id of the vocabulary, and
-joins the pieces' bytes.
-
-A block has at most BLOCK bytes of text or one text; tasks hold one block and its words.
-If a block is made again in another order after a loss, words that its table lacks are
-encoded on the spot. Null texts count as empty; empty texts have no ids. Repeated rows,
-null and equal keys are each kept. An empty table gives an empty result.
+Texts are split once into words, which the tokenizer encodes independently. Documents
+are gathered in blocks; a block numbers its different words, and keeps of its documents
+the word's number at each position. These, and the blocks' words dealt by a hash into
+buckets, are written to the shared folder. In a bucket each distinct word is encoded once,
+however many blocks ask for it (a task keeps CACHE words at a time), and the word table's
+part that a block needs goes back to it, where ids are joined to positions by the words'
+numbers. So what is shuffled is each block's different words, their ids and numbers, and no
+text. There is a row for each block and bucket that has one of its words; blocks are large
+(BLOCK) so that these rows are.
+
+Decoding joins the table of pieces, one for each id of the vocabulary, and puts the pieces
+at the documents' ids together. The table is broadcast: the vocabulary bounds it.
+
+Tasks hold one block at a time, and a text of any length. Null texts count as empty; empty
+texts have no ids. Repeated rows, null and equal keys are each kept. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import bound_batches, lean, read, utf8
+from .shared import bound_batches, lean, packed, pin, read, trim, utf8
 from .words import Encoded, splitter
 
-BLOCK = 16 << 20
+#: Bytes of text and different words after which a block ends.
+BLOCK, WORDS = 16 << 20, 300_000
 #: Bytes of text in one row of a block.
 ROW = 2 << 20
-#: Buckets of the word table for each shuffle partition.
-SPREAD = 2
 #: Words that are encoded in one go.
 GO = 20_000
 
@@ -46,24 +47,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[bytes]]]:
-    """(block, keys, texts) in pieces of about ROW bytes."""
-    base = TaskContext.get().partitionId() << 24
-    block, held, keys, texts, size = 0, 0, [], [], 0
-    for b in batches:
-        for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            t = t.as_buffer().to_pybytes()
-            keys.append(key)
-            texts.append(t)
-            size += len(t) + 16
-            if size >= ROW:
-                yield base | block, keys, texts
-                held += size
-                keys, texts, size = [], [], 0
-                if held >= BLOCK:
-                    block, held = block + 1, 0
-    if keys:
-        yield base | block, keys, texts
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, byte by byte of all, compressed."""
+    import zstandard
+
+    flat = np.concatenate([np.array([*map(len, arrays)], "<u4"), *(np.asarray(a, "<u4") for a in arrays)])
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    flat = np.ascontiguousarray(flat.T).reshape(-1).view("<u4")
+    ends = np.cumsum([n, *flat[:n].astype(np.int64)])
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _packed_strings(items: list[bytes]) -> bytes:
@@ -82,96 +88,111 @@ def _strings(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+MADE = "block long, bucket int, keys array<long>, data binary, words binary"
+
+
 def encode(df: DataFrame, path: str, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key and ids, an array of int, of each row."""
     spark = df.sparkSession
     bound_batches(spark)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = SPREAD * tasks
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("long").alias(key), utf8(column).alias("_bytes"))
+    names = [c.split()[0] for c in MADE.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+
+    def made(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = splitter(path)
-
-        def told(block: int, seen: set[str]) -> pa.RecordBatch:
-            dealt: list[list[bytes]] = [[] for _ in range(buckets)]
-            for w in map(str.encode, seen):
-                dealt[zlib.crc32(w) % buckets].append(w)
-            full = [n for n, words in enumerate(dealt) if words]
-            packs = [_packed_strings(sorted(dealt[n])) for n in full]
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(packs, pa.binary())], ["block", "bucket", "words"])
-
-        at, seen = None, set()
-        for block, _, texts in _blocks(batches):
-            if block != at and seen:
-                yield told(at, seen)
-                seen = set()
-            at = block
-            for t in texts:
-                seen.update(s.words(t.decode()))
-        if seen:
-            yield told(at, seen)
+        """Rows of documents (keys; their numbers of words, and the words' numbers in the block) and, for each block, rows of its words (their numbers, and the words)."""
+        s, base = splitter(path), TaskContext.get().partitionId() << 24
+        block, held, size, numbers = 0, 0, 0, Numbers()
+        keys: list[int | None] = []
+        at: list[np.ndarray] = []
+
+        def documents() -> pa.RecordBatch:
+            return made([base | block], [None], [keys], [_packed(np.array([*map(len, at)]), *([np.concatenate(at)] if at else []))], [None])
+
+        def table() -> Iterator[pa.RecordBatch]:
+            dealt: list[list[tuple[int, bytes]]] = [[] for _ in range(buckets)]
+            for n, w in enumerate(map(str.encode, numbers)):
+                dealt[zlib.crc32(w) % buckets].append((n, w))
+            for b, words in enumerate(dealt):
+                if words:
+                    yield made([base | block], [b], [None], [_packed(np.array([n for n, _ in words]))], [_packed_strings([w for _, w in words])])
+
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = t.as_buffer().to_pybytes()
+                words = s.words(t.decode())
+                keys.append(k)
+                at.append(np.fromiter(map(numbers.__getitem__, words), "<u4", len(words)))
+                size += len(t) + 16
+                if size >= ROW:
+                    yield documents()
+                    held, size, keys, at = held + size, 0, [], []
+                    if held >= BLOCK or len(numbers) >= WORDS:
+                        yield from table()
+                        block, held, numbers = block + 1, 0, Numbers()
+        if keys:
+            yield documents()
+        if numbers:
+            yield from table()
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Encoded(splitter(path), "<u4")
+        """The word table's part that each block asks for: the words' numbers there, how many ids each has, and the ids."""
+        known = Encoded(splitter(path))
         for b in batches:
-            for block, data in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                data = data.as_py()
-                words = _strings(data)
+            for block, numbers, words in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 ids = []
+                words = [w.decode() for w in _strings(words.as_py())]
                 for i in range(0, len(words), GO):
-                    some = [w.decode() for w in words[i : i + GO]]
-                    known.learn(some)
-                    ids += map(known.__getitem__, some)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([_packed_strings(ids)], pa.binary())], ["block", "words", "ids"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, keys, texts in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([_packed_strings(texts)], pa.binary())], ["block", "keys", "texts"])
+                    known.learn(words[i : i + GO])
+                    ids += map(known.__getitem__, words[i : i + GO])
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                data = _packed(*_unpacked(numbers.as_py(), 1), np.array([len(x) // 4 for x in ids]), flat)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([data], pa.binary())], ["block", "ids"])
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        s, known = splitter(path), {}
-        for words, ids in zip(right["words"], right["ids"], strict=True):
-            known |= zip(map(bytes.decode, _strings(words.as_py())), _strings(ids.as_py()), strict=True)
-        keys, out = [], []
-        for some, texts in zip(left["keys"], left["texts"], strict=True):
+        """Joins ids back by the words' numbers, in the order of positions."""
+        parts = [_unpacked(d.as_py(), 3) for d in right["ids"]]
+        empty = [np.zeros(0, "<u4")]
+        numbers, many, flat = (np.concatenate([p[i] for p in parts] or empty).astype(np.int64) for i in range(3))
+        start, length = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        start[numbers], length[numbers] = np.cumsum(many) - many, many
+        keys, ends, out = [], [np.zeros(1, np.int64)], empty[:]
+        for some, data in zip(left["keys"], left["data"], strict=True):
             keys += some.as_py()
-            for t in _strings(texts.as_py()):
-                words = s.words(t.decode())
-                try:
-                    out.append(b"".join(map(known.__getitem__, words)))
-                except KeyError:
-                    new = [w for w in set(words) if w not in known]
-                    known |= {w: np.array(i, "<u4").tobytes() for w, i in zip(new, s.encode(new), strict=True)}
-                    out.append(b"".join(map(known.__getitem__, words)))
-        ends = np.cumsum([0, *(len(x) // 4 for x in out)])
-        flat = np.frombuffer(b"".join(out), "<i4")
+            words, at = _unpacked(data.as_py(), 2) if len(some) else empty * 2
+            n = length[at]
+            after = np.concatenate([[0], np.cumsum(n)])
+            out.append(flat[np.repeat(start[at] - after[:-1], n) + np.arange(after[-1])])
+            ends.append(ends[-1][-1] + after[np.cumsum(words, dtype=np.int64)])
         # Lists of 32-bit offsets hold up to 2^31 ids; a block has fewer.
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        flat = np.concatenate(out).astype(np.int32)
+        del parts, out, numbers, many, start, length
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(flat))
+        trim()
         return pa.table({key: pa.array(keys, pa.int64()), "ids": ids})
 
-    words = rows.mapInArrow(lean(split), "block long, bucket int, words binary").repartition(tasks, "bucket")
-    parts = words.mapInArrow(lean(table), "block long, words binary, ids binary")
-    texts = rows.mapInArrow(lean(pack), "block long, keys array<long>, texts binary")
+    split_once = pin(rows.mapInArrow(lean(split), MADE), "bpe-blocks")
+    asked = split_once.filter("bucket IS NOT NULL").select("block", "data", "words", "bucket").repartition(buckets, "bucket")
+    parts = asked.select("block", "data", "words").mapInArrow(lean(table), "block long, ids binary")
+    texts = split_once.filter("bucket IS NULL").select("block", "keys", "data")
     return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(place, f"{key} long, ids array<int>")
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds decoded, the text of the ids; a column of this name is replaced."""
-    bound_batches(df.sparkSession)
-    df = df.drop("decoded")
-    schema = StructType([*df.schema.fields, StructField("decoded", StringType())])
-    at = df.columns.index(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = splitter(path).pieces().__getitem__
-        for b in batches:
-            col = b.column(at)
-            flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_pylist()
-            texts = [b"".join(map(piece, flat[i:j].tolist())).decode(errors="replace") for i, j in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the pieces' bytes in hexadecimal digits, in the order of ids. Its size is the vocabulary's."""
+    return spark.createDataFrame([(True, [p.hex() for p in splitter(path).pieces()])], "_known boolean, _pieces array<string>")
 
-    return df.mapInArrow(lean(run), schema)
+
+def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """Adds decoded, the text of the ids; a column of this name is replaced. Each document joins the table of pieces, and each of its ids the piece at its place; ids that the vocabulary lacks have none, null ids no text. Bytes that are no UTF-8 become U+FFFD."""
+    rows = df.select(packed(df, ("decoded",)), F.isnotnull(ids).alias("_known"))
+    joined = rows.join(F.broadcast(pieces(df.sparkSession, path)), "_known", "left")
+    text = F.array_join(F.transform(F.col(f"row.{ids}"), lambda i: F.get("_pieces", i)), "")
+    return joined.select("row.*", F.make_valid_utf8(F.unhex(text).cast("string")).alias("decoded"))
 
 
 def document_ids(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:

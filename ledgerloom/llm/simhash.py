@@ -1,33 +1,33 @@
-"""SimHash near-duplicates, their candidates found by pivot distance tables.
+"""SimHash near-duplicates, with pivot distance tables.
 
 A text's fingerprint is made of words of 64 bits; each bit says whether over half of the
-text's shingle hashes have that bit set. Equal fingerprints are one node. To find the
-links between nodes, each fingerprint is cut into blocks. For each block a table holds
-the Hamming distances to PIVOTS reference patterns; fingerprints that agree in a block
-(or in several) agree in all its coordinates, and meet in the cell named by them:
-
-- four blocks of 16 bits, cells of two blocks, for links of 2 bits or fewer: two differing
-  bits leave at least two blocks untouched, so no link is lost.
-- blocks of 20 bits, cells of one block, for fingerprints of many words and a wider
-  radius: `recall()` tells the share of pairs that meet.
-
-For sets of shingles (the pipeline) a link is a pair of exact Jaccard similarity, counted
-from the texts of what fingerprints propose. `completed()` then finds the pairs that
-fingerprints miss: sets of similarity t share one of the first n - ceil(t * n) + 1
-shingles in an order common to all sets, so cells of those lose no link. Shingles that a
-sample finds frequent come last in that order, so that common passages make no large cells.
-
-Pairs of a cell are discarded by the largest difference of their distances to pivots of
-whole words (it can't exceed the radius), and the survivors verified by their distance.
+text's shingle hashes have that bit set. For each fingerprint a table holds its Hamming
+distances to PIVOTS reference fingerprints. By the triangle inequality two fingerprints
+within a radius have no coordinates further apart than the radius, so a pair that meets
+is discarded by its largest coordinate difference, and the survivors are verified.
+
+Pairs meet in cells:
+
+- `document_groups` (links of 2 bits or fewer): four blocks of 16 bits, a cell for each two
+  blocks; two differing bits leave two blocks untouched, so no link is lost.
+- `similar_sets` (the pipeline; links of a Jaccard similarity): two sets of similarity t have
+  one of the first n - ceil(t * n) + 1 shingles in common, in any order that is the same for
+  all sets, so cells of those lose no link. Shingles that a sample finds frequent come last
+  in that order, and cells that still hold many unlike sets are dissolved: their shingles go
+  to the end of the order too, and the sets that had them get other cells. Sets of FEW or
+  more shingles are held against each other by fingerprints of several words, whose radius
+  is that of the similarity and SIGMAS standard deviations more (one pair in 10^11 is
+  beyond it); what is left is verified by the similarity itself, counted from the texts.
 
 A cell of m near-duplicates would give m * m pairs. So links are found in two steps: all
 members are held against the smallest of their cell, and components made of that. Then,
 in cells that still hold several components, members outside the cell's largest are held
-against all members of other components. A link can only be left out if both ends are
-known to be connected already, so components are whole.
+against members of other components. A link can only be left out if both ends are known
+to be connected already, so components are whole.
 
-Components: the smallest label spreads over links, with label jumping, so rounds are
-about the logarithm of a component's diameter. Each round is a table in the shared folder.
+Components: while there are more than EDGES edges, each node is contracted into the
+neighbour (or itself) that a hash of the round favours, which leaves a constant share of
+the nodes; what is left is solved in one task, whose input EDGES bounds.
 
 Nulls and empty texts have fingerprint zero and are linked like any other. Rows with
 equal doc_id are each kept. A component of null ids only has a null component_id. An
@@ -43,19 +43,19 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .shared import bound_batches, lean, packed, pin, read, utf8
+from .shared import bound_batches, drop_pinned, lean, packed, pin, read, utf8
 
 SEED = 42
-#: Reference patterns for each block and for the whole fingerprint.
-PIVOTS = 12
+#: Reference fingerprints.
+PIVOTS = 8
 #: Shingles whose bits are counted at a time.
 STEP = 1 << 14
-#: Words of a fingerprint that its rows in cells carry.
-SKETCH = 2
+#: Edges that one task solves at most.
+EDGES = 1 << 20
 
 
 def hashes(text: bytes, size: int, distinct: bool = False) -> np.ndarray:
@@ -112,149 +112,149 @@ def fingerprints(df: DataFrame, size: int, words: int = 1, distinct: bool = Fals
     return df.select(key, utf8(column).alias("_bytes")).mapInArrow(lean(run), schema)
 
 
-def _patterns(bits: int, seed: int) -> list[int]:
-    rng = np.random.default_rng(seed)
-    return [int.from_bytes(rng.bytes(8), "little") & ((1 << bits) - 1) for _ in range(PIVOTS)]
+def references(words: int) -> list[list[int]]:
+    """PIVOTS fingerprints of random bits, as signed numbers."""
+    return np.random.default_rng(1000 + words).integers(-(2**63), 2**63, (PIVOTS, words)).tolist()
 
 
-def block_coordinates(fp: list[Column], cuts: list[tuple[int, int, int]]) -> list[Column]:
-    """For each block (word, first bit, bits), its distances to the block's pivots, five or six bits each packed in one number."""
-    out = []
-    for n, (w, lo, bits) in enumerate(cuts):
-        part = F.shiftrightunsigned(fp[w], lo).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        each = (F.shiftleft(F.bit_count(part.bitwiseXOR(F.lit(p).cast("long"))).cast("long"), 5 * i) for i, p in enumerate(_patterns(bits, n)))
-        out.append(reduce(lambda a, b: a.bitwiseOR(b), each))
-    return out
+def distance(x: list[Column], y: list[Column]) -> Column:
+    return reduce(lambda p, q: p + q, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True)))
 
 
-def _cells(nodes: DataFrame, words: int, cuts: list[tuple[int, int, int]], share: int, *more: str) -> DataFrame:
-    """A row for each node and cell k that it is in, with its first words w and their distances d to pivots."""
-    fp = [F.col("fp")[w] for w in range(words)]
-    named = nodes.withColumns({f"_c{i}": c for i, c in enumerate(block_coordinates(fp, cuts))})
-    keys = [F.xxhash64(F.lit(n), *(F.col(f"_c{i}") for i in which)) for n, which in enumerate(combinations(range(len(cuts)), share))]
-    signed = [F.lit(p - (p >> 63 << 64)).cast("long") for p in _patterns(64, 1000)]
-    first = fp[:SKETCH]
-    d = F.array(*(F.bit_count(x.bitwiseXOR(p)).cast("tinyint") for x in first for p in signed))
-    return named.select("id", *more, F.array(*first).alias("w"), d.alias("d"), F.explode(F.array(*keys)).alias("k"))
-
-
-def _near(a: str, b: str, words: int, radius: int) -> Column:
-    """Whether pivots and first words leave a pair. Of more words than the sketch has, its share of the radius counts, and four standard deviations more."""
-    n, part = min(words, SKETCH), radius / (64 * words)
-    if words > n:
-        radius = math.ceil(64 * n * part + 4 * math.sqrt(64 * n * part * (1 - part)))
-    apart = (F.abs(F.col(f"{a}.d")[i] - F.col(f"{b}.d")[i]) <= radius for i in range(PIVOTS * n))
-    own = (F.bit_count(F.col(f"{a}.w")[i].bitwiseXOR(F.col(f"{b}.w")[i])) for i in range(n))
-    return reduce(lambda x, y: x & y, apart) & (reduce(lambda x, y: x + y, own) <= radius)
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, words: int, radius: int) -> DataFrame:
-    """Pairs (a, b, ...) of ids whose whole fingerprints are within the radius."""
-    if words <= SKETCH:
-        return pairs
-    x, y = (nodes.select(F.col("id").alias(c), F.col("fp").alias(f"_{c}")) for c in ("a", "b"))
-    real = reduce(lambda p, q: p + q, (F.bit_count(F.col("_a")[w].bitwiseXOR(F.col("_b")[w])) for w in range(words)))
-    return pairs.join(x, "a").join(y, "b").filter(real <= radius).drop("_a", "_b")
-
-
-def linked(nodes: DataFrame, words: int, radius: int, cuts: list[tuple[int, int, int]], share: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """id, label of all nodes (id, fp): equal labels for nodes that links connect. A link is a pair of radius bits or fewer that `check`, if given, leaves."""
-    cells = _cells(nodes, words, cuts, share)
-    heads = cells.groupBy("k").agg(F.min(F.struct("id", "w", "d")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = cells.alias("c").join(heads, "k").filter(F.col("c.id") != F.col("h.id"))
-    stars = stars.filter(_near("c", "h", words, radius)).select(F.col("h.id").alias("a"), F.col("c.id").alias("b")).distinct()
-    stars = _verified(stars, nodes, words, radius)
-    if check:  # one head of each node; its other pairs come up below, unless they are connected by then
-        stars = check(stars.groupBy("b").agg(F.min("a").alias("a")))
-    found = components(stars, "simhash-stars").withColumnRenamed("node", "id")
-    nodes = pin(nodes.join(found, "id", "left").select("id", "fp", F.coalesce("label", "id").alias("label")), "simhash-starred")
-    pairs = _verified(_across(_cells(nodes, words, cuts, share, "label"), _near("x", "y", words, radius)), nodes, words, radius)
-    return _relabelled(nodes, check(pairs) if check else pairs, "simhash-joined")
-
-
-def _across(cells: DataFrame, near: Column) -> DataFrame:
-    """Pairs (a, b) and their labels (la, lb) of near members of a cell that have different labels. Pairs inside a cell's largest label aside, all pairs of unlike labels meet."""
-    held = cells.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = held.groupBy("k").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("k", F.col("top.label").alias("top"))
-    inside = cells.join(mixed, "k")
-    x, y = inside.filter(F.col("label") != F.col("top")).alias("x"), inside.alias("y")
-    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.label") != F.col("y.label")) & near)
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+def table(fp: list[Column]) -> Column:
+    """The distances of a fingerprint to the references, as an array."""
+    return F.array(*(distance(fp, [F.lit(w).cast("long") for w in p]).cast("short") for p in references(len(fp))))
+
 
+def apart(x: Column, y: Column) -> Column:
+    """The largest difference of two tables' coordinates; no pair has a smaller distance."""
+    return F.greatest(*(F.abs(x[i] - y[i]) for i in range(PIVOTS)))
 
-def _relabelled(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """id, label of nodes (id, label), once links between labels (la, lb) join them."""
-    edges = links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    joined = components(edges, name).select(F.col("node").alias("label"), F.col("label").alias("last"))
-    return nodes.join(joined, "label", "left").select("id", F.coalesce("last", "label").alias("label"))
 
+def shared_cells(cells: DataFrame, name: str) -> DataFrame:
+    """The rows (k, id, ...) of cells with several members, and h, the cell's smallest id."""
+    heads = cells.groupBy("k").agg(F.min("id").alias("h"), F.max("id").alias("_m")).filter("h < _m").select("k", "h")
+    return pin(cells.join(heads, "k"), name)
 
-def recall(angle: float, words: int, bits: int, blocks: int) -> float:
-    """Share of pairs with this share of differing bits that have an equal block."""
-    return 1 - (1 - (1 - angle) ** bits) ** blocks
+
+def star_pairs(cells: DataFrame, near: Column) -> DataFrame:
+    """(a, b): each member b that is near a head, with the smallest such head."""
+    return cells.filter((F.col("id") != F.col("h")) & near).groupBy(F.col("id").alias("b")).agg(F.min("h").alias("a")).select("a", "b")
+
+
+def labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    return cells.drop("h").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def pairs_across(cells: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b, la, lb): near members of a cell (k, id, label, ...) that have different labels. Pairs inside a cell's largest label aside, all pairs of unlike labels meet."""
+    held = cells.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = held.groupBy("k").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("k", F.col("top.label").alias("top"))
+    inside = cells.join(mixed, "k").select("k", "top", F.struct(*(c for c in cells.columns if c != "k")).alias("m"))
+    x, y = (inside.select("k", F.col("top").alias(f"{c}top"), F.col("m").alias(c)) for c in "xy")
+    once = (F.col("y.label") == F.col("ytop")) | (F.col("x.id") < F.col("y.id"))
+    pairs = x.filter(F.col("x.label") != F.col("xtop")).join(y, "k").filter((F.col("x.label") != F.col("y.label")) & once & near(F.col("x"), F.col("y")))
+    side = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.label").alias("label"))
+    return pairs.select(F.least(side("x"), side("y")).alias("p"), F.greatest(side("x"), side("y")).alias("q")).distinct().select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.label").alias("la"), F.col("q.label").alias("lb"))
+
+
+def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        old = label.copy()
+        low = np.minimum(label[x], label[y])
+        for side in (label[x], label[y], x, y):  # heads and members alike take the smaller label
+            np.minimum.at(label, side, low)
+        label = label[label]
+        if (label == old).all():
+            return nodes, nodes[label]
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, label: the smallest node reachable, for every node of the edges (a, b)."""
-    both = pin(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
-    n = both.count()
-    files = max(1, math.ceil(n / 500_000))
-    labels = pin(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-0", files)
-    step = 0
-    while n:
-        step += 1
-        heard = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
-        spread = pin(labels.join(heard, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label")), f"{name}-{step}a", files)
-        far = spread.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        jumped = pin(spread.join(far, "label").select("node", "was", F.col("far").alias("label")), f"{name}-{step}b", files)
-        labels = jumped.select("node", "label")
-        if not jumped.filter(F.col("label") != F.col("was")).limit(1).count():
-            break
+    """node, label: a node that stands for all that are reachable, for every node of the edges (a, b)."""
+    bound_batches(edges.sparkSession)
+    live = pin(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-edges")
+    into: list[DataFrame] = []
+    while live.count() > EDGES:
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(into)), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
+        favoured = both.groupBy("a").agg(F.min(F.least(order("a"), order("b"))).alias("m"))
+        into.append(pin(favoured.select(F.col("a").alias("node"), F.col("m.v").alias("into")), f"{name}-{len(into)}"))
+        for c in "ab":
+            live = live.join(into[-1].select(F.col("node").alias(c), F.col("into").alias(f"_{c}")), c)
+        live = pin(live.select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct(), f"{name}-live")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if got:
+            for part in _sliced(*solve(*(np.concatenate(c) for c in zip(*got, strict=True)))):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["node", "label"])
+
+    labels = pin(live.coalesce(1).mapInArrow(lean(run), "node long, label long"), f"{name}-labels")
+    for level in reversed(into):
+        known = level.join(labels.select(F.col("node").alias("into"), "label"), "into", "left")
+        labels = pin(known.select("node", F.coalesce("label", "into").alias("label")), f"{name}-labels")
     return labels
 
 
-def near_duplicates(df: DataFrame, size: int, words: int, radius: int, cuts: list[tuple[int, int, int]], share: int, distinct: bool = False) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of those linked, directly or over others) of each row."""
-    prints = pin(fingerprints(df, size, words, distinct), "simhash-prints")
-    name = F.col("fp")[0] if words == 1 else F.xxhash64("fp")
-    nodes = pin(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("id", name), "simhash-nodes")
-    labels = pin(nodes.join(linked(nodes.select("id", "fp"), words, radius, cuts, share), "id"), "simhash-labels")
-    heads = pin(labels.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-heads")
-    known = pin(labels.join(heads, "label").select("fp", "component_id"), "simhash-known")
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+def _sliced(*columns: np.ndarray, rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    for i in range(0, len(columns[0]), rows):
+        yield [c[i : i + rows] for c in columns]
 
 
-def document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word shingles with repeats, one word of 64 bits, links at 2 bits or fewer, none lost."""
-    quarters = [(0, lo, 16) for lo in range(0, 64, 16)]
-    found = near_duplicates(read(spark, sf_dir, "documents"), 3, 1, 2, quarters, 2)
-    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+def relabelled(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """node, label, once links between labels (la, lb) join them. Nodes that had no label are their own."""
+    joined = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), name).withColumnRenamed("label", "last")
+    known = labels.join(joined.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    fresh = joined.join(labels, "node", "left_anti").select("node", F.col("last").alias("label"))
+    return pin(known.unionByName(fresh), f"{name}-known")
 
 
-#: For the pipeline: sets of five-word shingles, ten words of 64 bits, in blocks of 20 bits.
-WIDE = 10
-WIDE_CUTS = [(w, lo, 20) for w in range(WIDE) for lo in (0, 21, 42)]
+def linked(nodes: DataFrame, radius: int) -> DataFrame:
+    """node, label of all nodes (id: a fingerprint of one word) that have links: equal labels for nodes that links of radius (2 at most) bits connect."""
+    quarters = [F.shiftrightunsigned("id", lo).bitwiseAND(F.lit(0xFFFF).cast("long")) for lo in range(0, 64, 16)]
+    keys = [F.xxhash64(F.lit(n), *which) for n, which in enumerate(combinations(quarters, 2))]
+    cells = shared_cells(nodes.select("id", table([F.col("id")]).alias("t")).select(F.explode(F.array(*keys)).alias("k"), "id", "t"), "simhash-cells")
+    near = lambda x, y: (apart(x["t"], y["t"]) <= radius) & (distance([x["id"]], [y["id"]]) <= radius)
+    head = {"id": F.col("h"), "t": table([F.col("h")])}
+    labels = components(star_pairs(cells, near({"id": F.col("id"), "t": F.col("t")}, head)), "simhash-stars")
+    return relabelled(labels, pairs_across(labelled(cells, labels), near), "simhash-joined")
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits to expect of two sets with this Jaccard similarity, and two standard deviations more."""
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * angle + 2 * math.sqrt(bits * angle * (1 - angle)))
+def near_duplicates(df: DataFrame, size: int, radius: int = 2) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id of those linked, directly or over others) of each row."""
+    prints = pin(fingerprints(df, size), "simhash-prints")
+    nodes = pin(prints.groupBy(F.col("fp")[0].alias("id")).agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    labels = linked(nodes.select("id"), radius).withColumnRenamed("node", "id")
+    labels = nodes.join(labels, "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
+    heads = labels.groupBy("label").agg(F.min("first").alias("component_id"))
+    known = pin(labels.join(heads, "label").select("id", "component_id"), "simhash-known")
+    return prints.join(known, F.col("fp")[0] == F.col("id")).select("doc_id", "fp", "component_id")
 
 
-#: Bits of the filter over ids whose texts a check needs.
-FILTER_BITS = 1 << 23
-#: Documents whose shingles are counted to tell frequent ones, and how many of these are told at most.
-SAMPLE, FREQUENT = 4000, 50_000
+def document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles with repeats, one word of 64 bits, links at 2 bits or fewer, none lost."""
+    found = near_duplicates(read(spark, sf_dir, "documents"), 3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _line(text: bytes) -> tuple[int, bytes]:
-    """A text's words, as hashes() sees them, and their name."""
-    from xxhash import xxh64_intdigest
+#: Words of a fingerprint of a set, standard deviations that its radius has more than the similarity's angle, and shingles under which it decides nothing.
+WIDE, SIGMAS, FEW = 4, 7, 64
+#: Documents whose shingles are counted to tell frequent ones, and how many of these are told at most.
+SAMPLE, FREQUENT = 8000, 100_000
+#: Unlike sets that a cell may hold before it is dissolved, and how many times that is done.
+UNLIKE, DISSOLVE = 500, 4
+#: Ids that may be broadcast (8 bytes each).
+MOST_IDS = 1 << 18
 
-    line = b" ".join(text.lower().split())
-    name = xxh64_intdigest(line, SEED)
-    return name - (name >> 63 << 64), line
+
+def radius_for(similarity: float, bits: int, sigmas: float = SIGMAS) -> int:
+    """Differing bits to expect of two sets with this Jaccard similarity, and so many standard deviations more."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * angle + sigmas * math.sqrt(bits * angle * (1 - angle)))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -263,40 +263,40 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def alike(docs: DataFrame, size: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
-    """A check of pairs (a, b, ...) of _line() names: leaves those whose sets of shingles have the Jaccard similarity, counted exactly from their texts."""
+def _named(docs: DataFrame) -> DataFrame:
+    """id, the XXH64 of the text, and _bytes, the text."""
+    return docs.select("doc_id", utf8("text").alias("_bytes")).select("doc_id", F.xxhash64("_bytes").alias("id"), "_bytes")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and _bytes, once for each of the ids."""
+    ids = pin(ids.distinct(), "simhash-ids")
+    few = ids.count() <= MOST_IDS
+    found = _named(docs).select("id", "_bytes").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return found.groupBy("id").agg(F.first("_bytes").alias("_bytes"))
+
+
+def alike(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b, ...) of ids whose sets of shingles have the Jaccard similarity, counted from their texts."""
     bound_batches(docs.sparkSession)
-    source = docs.select(utf8("text").alias("_bytes"))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = pin(pairs, "simhash-pairs")
-        at = F.pmod(F.col("id"), F.lit(FILTER_BITS))
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        held = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {FILTER_BITS}) & 63 as int))")).alias("m")).collect()
-        mask = np.zeros(FILTER_BITS // 64, np.int64)
-        for r in held:
-            mask[r["w"]] = r["m"]
-
-        def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = mask.view(np.uint64)
-            for b in batches:
-                got = (_line(t.as_buffer().to_pybytes()) for t in b.column(0))
-                got = [(i, t) for i, t in got if int(bits[i % FILTER_BITS >> 6]) >> (i & 63) & 1]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([t for _, t in got], pa.binary())], names=["id", "line"])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, y = ([hashes(t.as_buffer().to_pybytes(), size, True) for t in b.column(c)] for c in ("_x", "_y"))
-                keep = pa.array([jaccard(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
-                yield b.select(names).filter(keep)
-
-        names = pairs.columns
-        texts = source.mapInArrow(lean(needed), "id long, line binary").groupBy("id").agg(F.first("line").alias("line"))
-        texts = pin(texts, "simhash-texts")
-        x, y = (texts.select(F.col("id").alias(c), F.col("line").alias(n)) for c, n in (("a", "_x"), ("b", "_y")))
-        return pin(pairs.join(x, "a").join(y, "b").select(*names, "_x", "_y").mapInArrow(lean(run), pairs.schema), "simhash-alike")
-
-    return check
+    names, schema = pairs.columns, pairs.schema
+    pairs = pin(pairs, "simhash-pairs")
+    texts = pin(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "simhash-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, x = None, None
+        for b in batches:
+            keep = []
+            for a, p, q in zip(b.column(names.index("a")).to_pylist(), b.column(len(names)), b.column(len(names) + 1), strict=True):
+                if a != name:  # pairs come in the order of a
+                    name, x = a, hashes(p.as_buffer().to_pybytes(), size, True)
+                keep.append(jaccard(x, hashes(q.as_buffer().to_pybytes(), size, True)) >= similarity)
+            yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
+
+    x, y = (texts.select(F.col("id").alias(c), F.col("_bytes").alias(n)) for c, n in (("a", "_x"), ("b", "_y")))
+    found = pin(pairs.join(y, "b").join(x, "a").select(*names, "_x", "_y").mapInArrow(lean(run), schema), "simhash-alike")
+    drop_pinned(texts)
+    return found
 
 
 def frequent(docs: DataFrame, size: int) -> np.ndarray:
@@ -314,68 +314,108 @@ def frequent(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
-def prefix(h: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
+def prefix_length(n: int, similarity: float) -> int:
     """So many of a set's shingles, in one order for all sets, that two sets with the similarity have one of them in common: an overlap of ceil(similarity * n) can't avoid n - ceil(similarity * n) + 1 of n."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def among(h: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of h the sorted array `last` holds."""
+    return last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
+
+
+def prefix(h: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
     h = np.sort(h)
-    rare = ~np.isin(h, last)
-    return np.concatenate([h[rare], h[~rare]])[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] if len(h) else h
+    rare = ~among(h, last)
+    return np.concatenate([h[rare], h[~rare]])[: prefix_length(len(h), similarity)]
 
 
-def set_prints(docs: DataFrame, size: int, words: int, similarity: float) -> DataFrame:
-    """doc_id, id (of _line()), and of each row's set of shingles its fp, size n and prefix."""
-    last = frequent(docs, size)
-    schema = docs.select(F.col("doc_id").cast("long").alias("doc_id")).schema.add("id", "long").add("fp", ArrayType(LongType())).add("n", "integer").add("prefix", ArrayType(LongType()))
-    target = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("fp", pa.list_(pa.int64())), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+def set_nodes(docs: DataFrame, size: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """One row for each text: id, first (its smallest doc_id), and of its set of shingles n, fp, t and prefix."""
+    schema = "doc_id long, id long, n int, fp array<long>, prefix array<long>"
+    kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [_line(t.as_buffer().to_pybytes()) for t in b.column(1)]
-            sets = [hashes(t, size, True) for _, t in lines]
-            columns = [b.column(0).cast(pa.int64()), [i for i, _ in lines], [fingerprint(h, words) for h in sets], [len(h) for h in sets], [prefix(h, similarity, last).view(np.int64) for h in sets]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
-
-    return docs.select("doc_id", utf8("text").alias("_bytes")).mapInArrow(lean(run), schema)
-
-
-def completed(nodes: DataFrame, found: DataFrame, similarity: float, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """id, label once all pairs of nodes (id, n, prefix) that the check leaves are linked; found: id, label that are known."""
-    w = Window.partitionBy("k")
-    cells = nodes.select("id", "n", F.explode("prefix").alias("k"))
-    cells = cells.withColumns({"h": F.min(F.struct("id", "n")).over(w), "_m": F.count(F.lit(1)).over(w)}).filter("_m > 1").drop("_m")
-    cells = pin(cells.join(found, "id"), "simhash-prefixes")
-    sized = lambda p, q: F.least(p, q) >= similarity * F.greatest(p, q) - 1e-9
-    heads = cells.filter((F.col("id") != F.col("h.id")) & sized(F.col("n"), F.col("h.n"))).select(F.col("h.id").alias("a"), F.col("id").alias("b"), F.col("label").alias("lb"))
-    stars = heads.distinct().join(found.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").filter("la <> lb")
-    stars = stars.groupBy("b").agg(F.min(F.struct("a", "la", "lb")).alias("s")).select("s.a", "b", "s.la", "s.lb")
-    found = pin(_relabelled(found, check(stars), "simhash-prefix-stars"), "simhash-prefix-starred")
-    pairs = _across(cells.select("id", "n", "k").join(found, "id"), sized(F.col("x.n"), F.col("y.n")))
-    # Labels come as a set with the pair, which the check keeps, so that mirrored pairs are one.
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
-    return _relabelled(found, check(pairs), "simhash-prefix-joined")
+            sets = [hashes(t.as_buffer().to_pybytes(), size, True) for t in b.column(2)]
+            made = [len(h) for h in sets], [fingerprint(h, WIDE) for h in sets], [prefix(h, similarity, last).view(np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=["doc_id", "id", "n", "fp", "prefix"])
+
+    prints = _named(docs).mapInArrow(lean(run), schema)
+    nodes = prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    return pin(nodes.withColumn("t", table([F.col("fp")[w] for w in range(WIDE)])), "simhash-nodes")
+
+
+def sized(x: Column, y: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-9
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, ...) that sizes, pivots and fingerprints leave. Pivots and fingerprints leave all pairs of small sets."""
+    x, y = (nodes.select(F.col("id").alias(c), F.struct("n", "fp", "t").alias(f"_{c}")) for c in "ab")
+    p, q = F.col("_a"), F.col("_b")
+    words = lambda c: [c["fp"][w] for w in range(WIDE)]
+    radius = radius_for(similarity, 64 * WIDE)
+    close = (apart(p["t"], q["t"]) <= radius) & (distance(words(p), words(q)) <= radius)
+    return pairs.join(x, "a").join(y, "b").filter(sized(p, q, similarity) & ((F.least(p["n"], q["n"]) < FEW) | close)).select(pairs.columns)
+
+
+def dissolved(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataFrame, size: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """Cells (k, id, n, label) in which no more unlike sets meet than need be. Shingles of cells with over UNLIKE labels go to the end of the order; sets that have one in their prefix get the next shingles instead. Other sets keep theirs, which the new order doesn't change."""
+    crowds = lambda c: c.groupBy("k").agg(F.approx_count_distinct("label").alias("m")).filter(F.col("m") > UNLIKE).select("k")
+    cells = pin(labelled(cells, labels), "simhash-labelled")
+    crowded, hit = None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = hashes(t.as_buffer().to_pybytes(), size, True)
+                for part in _sliced(h.view(np.int64), among(h, last)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), i)), *map(pa.array, part)], names=["id", "k", "late"])
+
+    for _ in range(DISSOLVE):
+        more = crowds(cells)
+        more = pin(more.join(crowded, "k", "left_anti") if crowded else more, "simhash-crowds")
+        if not more.limit(1).count():
+            break
+        new = cells.join(more, "k").select("id")
+        crowded = pin(crowded.unionByName(more), "simhash-crowded") if crowded else more
+        hit = pin((hit.unionByName(new) if hit else new).distinct(), "simhash-hit")
+        each = texts_of(docs, hit).mapInArrow(lean(run), "id long, k long, late boolean").join(crowded.withColumn("_c", F.lit(True)), "k", "left")
+        # One row a text, as long as the text itself. Hashes are ordered without sign, as prefix() has it.
+        rank = F.struct(F.col("_c").isNotNull().alias("crowded"), "late", F.expr("k ^ (-9223372036854775807L - 1)").alias("u"), "k")
+        whole = each.groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("all")).withColumn("n", F.size("all"))
+        first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
+        again = whole.select("id", "n", F.explode(F.slice("all", F.lit(1), first)).alias("s")).select(F.col("s.k").alias("k"), "id", "n")
+        rest = nodes.join(hit, "id", "left_anti").select(F.explode("prefix").alias("k"), "id", "n")
+        cells = pin(labelled(shared_cells(rest.unionByName(again), "simhash-refined"), labels), "simhash-labelled")
+    return cells
 
 
 def similar_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id of those linked) of each row. A link is a pair whose sets of shingles have the Jaccard similarity; fingerprints find most, prefixes all others."""
-    prints = pin(set_prints(docs, size, WIDE, similarity), "simhash-prints")
-    nodes = pin(prints.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "simhash-nodes")
-    check = alike(docs, size, similarity)
-    found = pin(linked(nodes.select("id", "fp"), WIDE, radius_for(similarity, 64 * WIDE), WIDE_CUTS, 1, check), "simhash-found")
-    found = pin(completed(nodes.select("id", "n", "prefix"), found, similarity, check), "simhash-completed")
-    labels = pin(nodes.select("id", "first").join(found, "id"), "simhash-labels")
-    heads = pin(labels.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-heads")
-    known = pin(labels.join(heads, "label").select("id", "component_id"), "simhash-known")
-    return prints.join(known, "id").select("doc_id", "component_id")
+    """id (of the text), first (its smallest doc_id) and label of each different text: equal labels for those that links connect. A link is a pair whose sets of shingles have the Jaccard similarity."""
+    last = frequent(docs, size)
+    nodes = set_nodes(docs, size, similarity, last)
+    cells = shared_cells(nodes.select(F.explode("prefix").alias("k"), "id", "n"), "simhash-cells")
+    stars = alike(docs, plausible(star_pairs(cells, F.lit(True)), nodes, similarity), size, similarity)
+    labels = components(stars, "simhash-stars")
+    cells = dissolved(docs, nodes, cells, labels, size, similarity, last)
+    pairs = alike(docs, plausible(pairs_across(cells, lambda x, y: sized(x, y, similarity)), nodes, similarity), size, similarity)
+    labels = relabelled(labels, pairs, "simhash-joined").withColumnRenamed("node", "id")
+    return nodes.select("id", "first").join(labels, "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id (of rows that share it, one stays)."""
-    found = similar_sets(docs.select("doc_id", "text"), 5, similarity)
-    stays = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
-    stays = pin(stays.filter("_stays").select(F.col("doc_id").alias("_id"), "_rows"), "simhash-stays")
-    rows = docs.select(packed(docs), F.col("doc_id").alias("_own"))
-    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id")))
-    if not stays.filter("_rows > 1").limit(1).count():
+    """One document of each group of near-duplicates (sets of five-word shingles of the similarity), the one with the smallest doc_id; of rows that share it, one. Groups without any doc_id keep one row too."""
+    head = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "id")).alias("h")
+    stays = similar_sets(docs.select("doc_id", "text"), 5, similarity).groupBy("label").agg(head).select("h.first", "h.id")
+    stays = pin(stays, "simhash-stays")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(utf8("text")).alias("_text"))
+    kept = rows.join(stays, (F.col("_text") == F.col("id")) & F.col("_own").eqNullSafe(F.col("first")))
+    again = docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again")
+    if not again.limit(1).count():
         return kept.select("row.*")
-    # Of rows that share a doc_id, the one with the smallest text stays.
-    again = kept.filter("_rows > 1").groupBy("_own").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
-    return kept.filter("_rows = 1").select("row.*").unionByName(again.select("row.*"))
+    known = F.col("_own").eqNullSafe(F.col("_again"))
+    one = kept.join(again, known, "left_semi").groupBy("_own", "_text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.join(again, known, "left_anti").select("row.*").unionByName(one.select("row.*"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
 from .shared import bound_batches, lean, new_path, read, utf8
-from .words import splitter, worker_words
+from .words import Encoded, splitter
 
 CHUNK = 1 << 16
 END = 2
@@ -89,7 +89,8 @@ def write(df: DataFrame, folder: str, path: str, planes: str = "bit") -> None:
     rows = rows.repartitionByRange("doc_id", "_crc").sortWithinPartitions("doc_id", "_crc", "_bytes")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
-        s, known = splitter(path), worker_words(path, "<u4")
+        s = splitter(path)
+        known = Encoded(s)
         end = np.array([END], "<u4").tobytes()
 
         def told(held):

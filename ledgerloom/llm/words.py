@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -17,8 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters whose classes are the same in all Unicode versions of the last decades.
 PLAIN = re.compile("[\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*")
-#: Words encoded so far that a task keeps at most, and that a worker keeps from task to task (about 200 bytes each).
-CACHE, WORKER_CACHE = 200_000, 800_000
+#: Words encoded so far that a task keeps at most (about 200 bytes each).
+CACHE = 200_000
 
 
 class Splitter:
@@ -32,6 +33,9 @@ class Splitter:
         specials = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.marks = specials
+        self.special_ids = {w: [self.tokenizer.token_to_id(w)] for w in specials}
+        self.model = self.tokenizer.model
+        self.shown = dict(enumerate(_byte_chars()))
         self.normal = self.tokenizer.normalizer
         self.pre = self.tokenizer.pre_tokenizer
         if self.normal is None:
@@ -60,8 +64,14 @@ class Splitter:
         return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of each word: of a special token its own, else the model's for the word's bytes, written as the vocabulary writes them."""
+        tokenize, own = self.model.tokenize, self.special_ids
+        return [own[w] if w in own else [t.id for t in tokenize(self._shown(w))] for w in words]
+
+    def _shown(self, word: str) -> str:
+        if word.isascii() and word.isprintable() and " " not in word:
+            return word
+        return word.encode().decode("latin-1").translate(self.shown)
 
     def pieces(self) -> list[bytes]:
         """The bytes that each id stands for."""
@@ -89,21 +99,13 @@ def splitter(path: str) -> Splitter:
 class Encoded(dict):
     """Words met so far with their ids as bytes; `learn` encodes the new ones of a list together."""
 
-    def __init__(self, split: Splitter, kind: str, most: int = CACHE):
-        self.split, self.kind, self.most = split, kind, most
+    def __init__(self, split: Splitter, most: int = CACHE):
+        self.split, self.most = split, most
 
     def learn(self, words) -> None:
-        import numpy as np
-
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most and self:
             self.clear()
             new = list(words)
         for w, ids in zip(new, self.split.encode(new), strict=True):
-            self[w] = np.array(ids, self.kind).tobytes()
-
-
-@lru_cache(maxsize=1)
-def worker_words(path: str, kind: str) -> Encoded:
-    """Words that this worker has encoded in this and earlier tasks."""
-    return Encoded(splitter(path), kind, WORKER_CACHE)
+            self[w] = array("I", ids).tobytes()

@@ -126,8 +126,8 @@ def test_links_of_two_bits_are_never_lost(spark):
                 q ^= 1 << b
             fps.add(q)
     signed = [p - (p >> 63 << 64) for p in fps]
-    nodes = spark.createDataFrame([(p, [p]) for p in signed], "id long, fp array<long>")
-    got = dict(listed(simhash.linked(nodes, 1, 2, [(0, lo, 16) for lo in range(0, 64, 16)], 2), "id", "label"))
+    nodes = spark.createDataFrame([(p,) for p in signed], "id long")
+    got = {p: p for p in signed} | dict(listed(simhash.linked(nodes, 2), "node", "label"))
     want = brute_components([(p, p % 2**64) for p in signed])
     groups = lambda labels: {frozenset(p for p in signed if labels[p] == x) for x in set(labels.values())}
     assert groups(got) == groups(dict(zip(signed, want, strict=True)))

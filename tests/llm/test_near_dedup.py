@@ -69,12 +69,35 @@ def test_no_similar_pair_is_missed(spark):
     assert got == want
 
 
-def test_pipeline_rows_by_exact_similarity(spark, monkeypatch):
-    import test_pipeline
-
-    def one_of_each(docs):
-        stay = first_of_groups([t or "" for _, t, *_ in docs])
-        return [d for at, d in enumerate(docs) if at in stay]
-
-    monkeypatch.setattr(test_pipeline, "one_of_each", lambda docs: one_of_each(sorted(docs)))
-    test_pipeline.test_pipeline_rows(spark)
+def test_components_of_any_size(spark, monkeypatch):
+    """Contraction rounds and the one task give the same groups."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(120)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    groups = lambda rows: {frozenset(n for n, x in rows if x == y) for y in {x for _, x in rows}}
+    whole = groups([tuple(r) for r in simhash.components(df, "t").collect()])
+    monkeypatch.setattr(simhash, "EDGES", 10)
+    assert groups([tuple(r) for r in simhash.components(df, "t").collect()]) == whole
+    assert frozenset(range(500, 621)) in whole and sum(map(len, whole)) == len({n for e in edges if e[0] != e[1] for n in e})
+
+
+def test_crowded_cells_lose_no_link(spark, monkeypatch):
+    """Many texts with common passages that no sample tells as frequent."""
+    monkeypatch.setattr(simhash, "UNLIKE", 4)
+    monkeypatch.setattr(simhash, "SAMPLE", 0)
+    rng = random.Random(9)
+    passages = [fresh(rng, 30) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        words = fresh(rng, rng.randint(5, 60)) + rng.choice(passages) + fresh(rng, rng.randint(0, 20))
+        texts += [" ".join(words), " ".join(words[: len(words) - rng.randint(0, 12)])]
+    assert kept(spark, texts) == first_of_groups(texts)
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    rng = random.Random(10)
+    a, b, c = (" ".join(fresh(rng, 30)) for _ in range(3))
+    data = [(None, a, "x"), (None, a, "y"), (1, b, "x"), (1, b, "y"), (1, c, "z"), (2, b + " more", "w"), (3, None, "n"), (4, "", "e")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, id string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (1, b), (1, c), (3, None)], key=str)

@@ -8,26 +8,18 @@ from collections import Counter
 
 import corpus_pipeline
 from test_llm_operators import brute_spans, texts_of, tokenizer
+from test_near_dedup import first_of_groups
 
-from ledgerloom.llm import mixing, quality, simhash
+from ledgerloom.llm import mixing, quality
 
 DATA = "/root/testdata/sf0.001"
 
 
 def one_of_each(docs):
-    fps = [simhash.fingerprint(simhash.hashes((t or "").encode(), 5, True), simhash.WIDE) for _, t, *_ in docs]
-    radius = simhash.radius_for(0.8, 64 * simhash.WIDE)
-    block = lambda p, c: p[c[0]] >> c[1] & ((1 << c[2]) - 1)
-    group = list(range(len(docs)))
-    for a in range(len(docs)):
-        for b in range(a):
-            if group[a] != group[b] and any(block(fps[a], c) == block(fps[b], c) for c in simhash.WIDE_CUTS) and sum(((x ^ y) % 2**64).bit_count() for x, y in zip(fps[a], fps[b], strict=True)) <= radius:
-                old = group[a]
-                group = [group[b] if g == old else g for g in group]
-    first = {}
-    for (i, *_), g in zip(docs, group, strict=True):
-        first[g] = min(first.get(g, i), i)
-    return [d for d, g in zip(docs, group, strict=True) if d[0] == first[g]]
+    """By exact similarity of five-word shingle sets, all pairs."""
+    docs = sorted(docs)
+    stay = first_of_groups([t or "" for _, t, *_ in docs])
+    return [d for at, d in enumerate(docs) if at in stay]
 
 
 def redacted(text):
