@@ -5,7 +5,9 @@ to PIVOTS pivot vectors. By the triangle inequality the distance of query and ca
 is at least the largest difference of their table rows, and as
 2 q.x = |q|^2 + |x|^2 - d^2, that gives the most that their product can be. A query's
 candidates are evaluated in order of that bound, in chunks, until the k-th best product
-found is above the bound of all that are left.
+found is above the bound of all that are left. Pivots are rows of the block that lie far from
+each other. Where bounds discard little (random vectors of many components), a block's
+first queries show it, and its other queries are answered by all products.
 
 Vectors are dealt into blocks of about BLOCK vectors by a hash of vec_id, and queries into
 blocks of about QUERIES; each block of queries meets each block of vectors once and
@@ -30,19 +32,21 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches, lean, pin, read
 
-PIVOTS, BLOCK, QUERIES, CHUNK = 24, 8192, 512, 512
+PIVOTS, BLOCK, QUERIES, CHUNK, PROBE = 24, 8192, 512, 512, 8
 EXACT = 2.0**53
 
 
-def _pivots(dim: int) -> np.ndarray:
-    rng = np.random.default_rng(dim)
-    v = rng.standard_normal((PIVOTS, dim))
-    return v / np.linalg.norm(v, axis=1, keepdims=True) * 256
+def pivots(x: np.ndarray) -> np.ndarray:
+    """PIVOTS rows of x, each the farthest from those before it."""
+    far, chosen = ((x - x.mean(0)) ** 2).sum(1), []
+    for _ in range(min(PIVOTS, len(x))):
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
 
 
-def table(x: np.ndarray) -> np.ndarray:
+def table(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Distances of each row to the pivots."""
-    p = _pivots(x.shape[1])
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * x @ p.T, 0))
 
 
@@ -75,6 +79,38 @@ def best(q: np.ndarray, qd: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray
     return list(zip(found_s.tolist(), found_i.tolist(), strict=True)), at
 
 
+def plain(q: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """The same for many queries, by all products."""
+    out = []
+    for i in range(0, len(q), 64):
+        part = q[i : i + 64]
+        safe = np.abs(part).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] < EXACT
+        scores = (part @ x.T).astype(np.int64) if safe else np.stack([_exact(r, x) for r in part])
+        for o, s in zip(own[i : i + 64], scores, strict=True):
+            others = ids != o
+            s, mine = s[others], ids[others]
+            if len(s) > k:  # all that tie with the k-th stay
+                few = s >= np.partition(s, len(s) - k)[len(s) - k]
+                s, mine = s[few], mine[few]
+            top = np.lexsort((mine, -s))[:k]
+            out.append(list(zip(s[top].tolist(), mine[top].tolist(), strict=True)))
+    return out
+
+
+def best_of_block(own: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """The k best of a block for each query, and how many candidates were evaluated. If over half of the candidates of PROBE queries had to be, bounds cost more than they save, and the block's other queries go by all products."""
+    p = pivots(x)
+    d, qd, norms = table(x, p), table(q, p), (x**2).sum(1)
+    out, seen = [], 0
+    for n, o in enumerate(own):
+        if n == PROBE and 2 * seen > PROBE * len(ids):
+            return out + plain(q[n:], own[n:], ids, x, k), seen + (len(own) - n) * len(ids)
+        found, many = best(q[n], qd[n], o, ids, x, d, norms, k)
+        out.append(found)
+        seen += many
+    return out, seen
+
+
 def _packed(rows: DataFrame, block: str, name: str) -> DataFrame:
     """One row for each block and length: its ids and vectors as bytes."""
 
@@ -111,8 +147,7 @@ def search(df: DataFrame, k: int, every: int) -> DataFrame:
                 raw = [b.column(c)[r].as_buffer() for c in range(1, 5)]
                 ids, own = (np.frombuffer(raw[i], np.int64) for i in (0, 2))
                 x, q = (np.frombuffer(raw[i], np.float64).reshape(-1, dim) for i in (1, 3))
-                d, qd, norms = table(x), table(q), (x**2).sum(1)
-                out = [(int(o), s, i) for n, o in enumerate(own) for s, i in best(q[n], qd[n], o, ids, x, d, norms, k)[0]]
+                out = [(int(o), s, i) for o, found in zip(own, best_of_block(own, q, ids, x, k)[0], strict=True) for s, i in found]
                 cols = zip(*out, strict=True) if out else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["query_id", "score", "vec_id"])
 

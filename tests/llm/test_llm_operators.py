@@ -252,7 +252,7 @@ def test_decodes_any_baseline_picture(parts, size, restart):
     h0, v0 = parts[0] if len(parts) > 1 else (1, 1)
     mx, my = -(-width // (8 * h0)), -(-height // (8 * v0))
     blocks = [[(rng.randint(-200, 200), [(0, 1), (1, -2)] if rng.random() < 0.5 else []) for _ in range(mx * my * (h * v if len(parts) > 1 else 1))] for h, v in parts]
-    image, _ = media.decode_dc(jpeg(width, height, parts, blocks, restart))
+    (image,) = media.decode(jpeg(width, height, parts, blocks, restart))
     want = np.zeros((my * v0, mx * h0), int)
     for k, (level, _) in enumerate(blocks[0]):
         m, b = divmod(k, h0 * v0)
@@ -261,6 +261,24 @@ def test_decodes_any_baseline_picture(parts, size, restart):
     assert (image == want).all()
 
 
+def test_damaged_media_have_null_values(spark, odd):
+    good = media.encode(media.pad(b"text"))
+    data = [(0, 4, good), (1, 4, None), (2, 4, b""), (3, 4, b"GIF89a"), (4, 4, good[:-40]), (5, 4, good.replace(b"\xff\xc0", b"\xff\xc2")), (6, 4, good)]
+    got = {r["doc_id"]: r for r in media.load(spark.createDataFrame(data, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[0]["payload_bytes"] == got[6]["payload_bytes"] == 192 and got[0]["feature"] == got[6]["feature"] != None  # noqa: E711
+    assert all(got[i]["payload_bytes"] is None and got[i]["feature"] is None for i in (1, 2, 3, 4, 5))
+
+
+def test_decoding_takes_linear_time():
+    import time
+
+    blocks = [[(random.Random(k).randint(-200, 200), [(0, 1)]) for k in range(30_720)]]
+    data = jpeg(8 * 256, 8 * 120, [(1, 1)], blocks)
+    t = time.perf_counter()
+    (image,) = media.decode(data)
+    assert image.shape == (120, 256) and time.perf_counter() - t < 2
+
+
 # 5: mixing
 
 
@@ -484,7 +502,7 @@ def test_search_stops_early_and_is_exact():
     centre = rng.normal(0, 200, (40, 3))
     x = np.floor(np.concatenate([c + rng.normal(0, 3, (200, 3)) for c in centre]))
     ids = np.arange(len(x))
-    d, norms = topk.table(x), (x**2).sum(1)
+    d, norms = topk.table(x, topk.pivots(x)), (x**2).sum(1)
     seen = 0
     for q in range(0, len(x), 400):
         got, n = topk.best(x[q], d[q], q, ids, x, d, norms, 5)
@@ -492,3 +510,15 @@ def test_search_stops_early_and_is_exact():
         assert got == sorted(((v, i) for i, v in enumerate(s.tolist()) if i != q), key=lambda t: (-t[0], t[1]))[:5]
         seen += n
     assert seen < 0.5 * len(x) * 20
+
+
+def test_blocks_by_bounds_and_by_all_products_agree():
+    rng = np.random.default_rng(12)
+    x = np.floor(rng.normal(0, 3, (700, 24)))  # many ties
+    ids = rng.permutation(700)
+    q, own = x[:60], ids[:60]
+    found, seen = topk.best_of_block(own, q, ids, x, 5)
+    assert seen > 0.5 * 60 * 700
+    for n, o in enumerate(own):
+        s = (x @ q[n]).astype(int)
+        assert found[n] == sorted(((v, i) for v, i in zip(s.tolist(), ids.tolist(), strict=True) if i != o), key=lambda t: (-t[0], t[1]))[:5]
