@@ -2,29 +2,35 @@ r"""Secret scans by trigram postings.
 
 Each rule's regex is parsed on the driver and turned into a Boolean query over trigrams
 that every match must hold: a conjunction of the trigrams of a literal, a disjunction
-over alternatives. Only trigrams of these queries are indexed. The posting list of a
-trigram is a bitmap over the rows, kept where the rows are: bit t of a row's `postings`
-says that trigram t occurs in its text, so intersecting and uniting posting lists is `&`
-and `|` on one word a row, and no text is ever shuffled to meet its candidates. Rows that
-a rule's query leaves are verified with the regex itself. A rule without a mandatory
-trigram is run over all rows.
+over alternatives. `Index.build` writes the inverted index: for each trigram of the
+queries and each block of keys (a key is a text's XXH64) the sorted posting list of the
+keys whose texts hold it. `Index.candidates` evaluates the queries on it, block by block:
+posting lists are intersected and united. Rows whose key is a candidate of a rule are
+verified with the regex itself, which also rejects rows that merely share a candidate's
+key. A rule without a mandatory trigram is run over all rows.
+
+A block holds about BLOCK keys, so no posting list is longer. Candidates are broadcast if
+they are few (MOST), else joined by a shuffle.
 
 Spans count code points, end exclusive. Found spans of a rule are its leftmost
 non-overlapping matches; matches whose `part` group has under `least` characters are
-dropped afterwards. Null texts count as empty; empty texts have no spans. Rows are kept
-as they come, repeated ones too. A text of any length is scanned whole.
+dropped afterwards. Positions are running sums over runs of RUN matches and then over the
+runs, so the time is in proportion to the text for any number of matches. Null texts count
+as empty; empty texts have no spans. Rows are kept as they come, repeated ones too. A text
+of any length is scanned whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from re import _constants as sre
 from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import packed, read
+from .shared import packed, pin, read
 
 
 @dataclass(frozen=True)
@@ -34,14 +40,12 @@ class Rule:
     part: int = 0
     least: int = 0
     any_case: bool = False
-    #: What every kept match holds, if that is stricter than regex; only to skip rows.
-    gate: str = ""
 
 
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24, gate=r"[0-9a-f]{24}"),
+    Rule("hex", r"[0-9a-f]{24,}"),  # the matches of [0-9a-f]+ that have 24 characters or more
 )
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -54,6 +58,8 @@ MORE = (
 RULES = BASE + MORE
 #: Exact strings that an expression is followed as before it is summed up in trigrams.
 MOST_EXACT = 16
+#: Keys in a block of the index, candidates that may be broadcast (16 bytes each), and matches in a run.
+BLOCK, MOST, RUN = 1 << 16, 1 << 18, 256
 
 
 # A query is True (no demand), a trigram, or ("and" | "or", frozenset of queries).
@@ -130,74 +136,74 @@ def _leaves(q) -> set[str]:
 
 
 class Index:
-    """The trigrams that the rules ask for, each with the number of its bitmap."""
+    """The inverted index of the trigrams that the rules ask for."""
 
     def __init__(self, rules=RULES):
         self.rules = rules
         self.queries = [trigram_query(r.regex, r.any_case) for r in rules]
         self.grams = sorted({(g, r.any_case) for r, q in zip(rules, self.queries, strict=True) for g in _leaves(q)})
-        self.bit = {g: i for i, g in enumerate(self.grams)}
-
-    def postings(self, text: Column, lower: Column) -> list[Column]:
-        """Words of 60 bitmaps each."""
-        words = []
-        for w in range(0, len(self.grams), 60):
-            bits = [F.when(F.contains(lower if low else text, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (g, low) in enumerate(self.grams[w : w + 60])]
-            word = bits[0]
-            for b in bits[1:]:
-                word = word.bitwiseOR(b)
-            words.append(word)
-        return words
-
-    def candidate(self, k: int, words: list[Column]) -> Column:
-        """Whether rule k's query holds in a row's bitmaps."""
-        return self._holds(self.queries[k], self.rules[k].any_case, words)
-
-    def _holds(self, q, low: bool, words: list[Column]) -> Column:
-        if q is True:
-            return F.lit(True)
+        self.at = {g: i for i, g in enumerate(self.grams)}
+
+    def build(self, texts: DataFrame) -> DataFrame:
+        """gram, block and keys, of texts (_key, _text): posting lists, stored in the shared folder."""
+        blocks = max(1, -(-texts.count() // BLOCK))
+        held = (F.when(F.contains("_lower" if low else "_text", F.lit(g)), F.lit(i)) for i, (g, low) in enumerate(self.grams))
+        rows = texts.withColumn("_lower", F.lower("_text")).select("_key", F.explode(F.array_compact(F.array(*held))).alias("gram"))
+        lists = rows.groupBy("gram", F.pmod("_key", F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_set("_key")).alias("keys"))
+        return pin(lists, "secrets-postings")
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """_key and _rules, of texts that some rule's query leaves: bit k for rule k."""
+        none = F.array().cast("array<long>")
+        lists = postings.groupBy("block").agg(*(F.coalesce(F.first(F.when(F.col("gram") == i, F.col("keys")), ignorenulls=True), none).alias(f"g{i}") for i in range(len(self.grams))))
+        found = [(k, self._holds(q, r.any_case)) for k, (q, r) in enumerate(zip(self.queries, self.rules, strict=True)) if q is not True]
+        each = F.array(*(F.struct(F.lit(1 << k).cast("long").alias("rule"), keys.alias("keys")) for k, keys in found))
+        keys = lists.select(F.explode(each).alias("e")).select("e.rule", F.explode("e.keys").alias("_key"))
+        return pin(keys.groupBy("_key").agg(F.bit_or("rule").alias("_rules")), "secrets-candidates")
+
+    def _holds(self, q, low: bool) -> Column:
+        """The keys in a block whose texts fulfil the query."""
         if isinstance(q, str):
-            return self._every([q], low, words)
-        plain = sorted(x for x in q[1] if isinstance(x, str))
-        rest = sorted((x for x in q[1] if not isinstance(x, str)), key=str)
-        if q[0] == "and":
-            parts = ([self._every(plain, low, words)] if plain else []) + [self._holds(x, low, words) for x in rest]
-        else:
-            parts = [self._holds(x, low, words) for x in (*plain, *rest)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p if q[0] == "and" else out | p
-        return out
-
-    def _every(self, grams: list[str], low: bool, words: list[Column]) -> Column:
-        masks: dict[int, int] = {}
-        for g in grams:
-            w, b = divmod(self.bit[g, low], 60)
-            masks[w] = masks.get(w, 0) | 1 << b
-        out = None
-        for w, m in masks.items():
-            now = words[w].bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long")
-            out = now if out is None else out & now
-        return out
+            return F.col(f"g{self.at[q, low]}")
+        meet = F.array_intersect if q[0] == "and" else F.array_union
+        return reduce(meet, (self._holds(x, low) for x in sorted(q[1], key=str)))
+
+
+def _in_runs(items: Column, start: Column, step, of: str) -> Column:
+    """What step(state, run) adds to `out` of the state for runs of RUN items; the state is a struct (at, out)."""
+    # A lambda's variable holds the items, so that they are made once and not for each run.
+    cut = lambda all_of: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_of) - 1, F.lit(0)) / RUN).cast("int")), lambda n: F.slice(all_of, n * RUN + 1, RUN))
+    runs = F.transform(F.array(items), cut)[0]
+    first = F.struct(start.alias("at"), F.array().cast(f"array<array<{of}>>").alias("out"))
+
+    def add(acc, run):
+        return F.transform(F.array(step(acc["at"], run)), lambda now: F.struct(now["at"].alias("at"), F.concat(acc["out"], F.array(now["out"])).alias("out")))[0]
+
+    return F.aggregate(runs, first, add)
 
 
 def _spans(rule: Rule, k: int, text: Column) -> Column:
     """(start, kind number, end) of each kept match. The text between matches and the matches, in turns, give the positions."""
-    regex = F.lit(("(?i)" if rule.any_case else "") + rule.regex)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    parts = F.regexp_extract_all(text, regex, F.lit(rule.part))
-    steps = F.arrays_zip(F.split(text, regex, -1).alias("gap"), found.alias("hit"), parts.alias("part"))
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    regex = ("(?i)" if rule.any_case else "") + rule.regex
+    gaps, hits = F.split(text, F.lit(regex), -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    part = (lambda h: F.length(F.regexp_extract(h, regex, rule.part))) if rule.part else F.length
+    sizes = F.transform(hits, lambda h: F.struct(F.length(h).alias("size"), part(h).alias("part")))
+    steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), sizes.alias("hit"))
+
+    def run(at, some):
+        def step(acc, x):
+            a = acc["at"] + x["gap"]
+            b = a + F.coalesce(x["hit"]["size"], F.lit(0))
+            keep = x["hit"].isNotNull() & (x["hit"]["part"] >= rule.least)
+            one = F.array(F.struct(a.alias("start"), F.lit(k).alias("kind"), b.alias("end")))
+            return F.struct(b.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    def step(acc, x):
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.coalesce(F.length(x["hit"]), F.lit(0))
-        keep = x["hit"].isNotNull() & (F.length(x["part"]) >= rule.least)
-        one = F.array(F.struct(a.alias("start"), F.lit(k).alias("kind"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(some, F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step)
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return F.flatten(_in_runs(steps, F.lit(0), run, SPAN)["out"])
+
+
+SPAN = "struct<start:int,kind:int,end:int>"
 
 
 def scan(df: DataFrame, column: str = "text", rules=RULES) -> DataFrame:
@@ -208,18 +214,15 @@ def scan(df: DataFrame, column: str = "text", rules=RULES) -> DataFrame:
 def _found(df: DataFrame, rules) -> DataFrame:
     """row, _column and found, of row and _column."""
     index = Index(rules)
-    out = df.withColumn("_text", F.coalesce(F.col("_column").cast("string"), F.lit(""))).withColumn("_lower", F.lower("_text"))
-    names = [f"_p{i}" for i in range(-(-len(index.grams) // 60))]
-    out = out.withColumns(dict(zip(names, index.postings(F.col("_text"), F.col("_lower")), strict=True)))
-    words = [F.col(n) for n in names]
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    text = F.coalesce(F.col("_column").cast("string"), F.lit(""))
+    rows = df.withColumns({"_text": text, "_key": F.xxhash64(text)})
+    known = index.candidates(index.build(rows.select("_key", "_text")))
+    rows = rows.join(F.broadcast(known) if known.count() <= MOST else known, "_key", "left")
     lists = []
-    for k, rule in enumerate(rules):
-        maybe = index.candidate(k, words)
-        if rule.gate:
-            maybe = maybe & F.col("_text").rlike(rule.gate)
-        lists.append(F.when(maybe, _spans(rule, k, F.col("_text"))).otherwise(none))
-    return out.select("row", "_column", F.array_sort(F.concat(*lists)).alias("found"))
+    for k, (rule, q) in enumerate(zip(rules, index.queries, strict=True)):
+        maybe = F.lit(True) if q is True else F.coalesce(F.col("_rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(False))
+        lists.append(F.when(maybe, _spans(rule, k, F.col("_text"))).otherwise(F.array().cast(f"array<{SPAN}>")))
+    return rows.select("row", "_column", F.array_sort(F.concat(*lists)).alias("found"))
 
 
 def _told(spans: Column, rules) -> Column:
@@ -229,15 +232,24 @@ def _told(spans: Column, rules) -> Column:
 
 def redact(df: DataFrame, column: str = "text", mark: str = "[SECRET]", rules=RULES) -> DataFrame:
     """Replaces what any rule finds with mark; overlapping spans give one mark. Other texts stay as they are, nulls too."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substring("_column", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def run(at, some):
+        """Of a run of spans: the text that it reaches over is cut out once, and cut up from there."""
+        to = F.greatest(at, F.array_max(F.transform(some, lambda s: s["end"])))
+
+        def cut(text):
+            def step(acc, s):
+                fresh = s["start"] >= acc["at"]
+                piece = F.array(F.substring(text, acc["at"] - at + 1, s["start"] - acc["at"]), F.lit(mark))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(some, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), step)
+
+        return F.transform(F.array(F.substring("_column", at + 1, to - at)), cut)[0]
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("_column", acc["at"] + 1, F.length("_column")))
-    clean = F.aggregate(F.col("found"), state, step, rest)
+    done = _in_runs(F.col("found"), F.lit(0), run, "string")
+    rest = lambda acc: F.concat(F.array_join(F.flatten(acc["out"]), ""), F.substring("_column", acc["at"] + 1, F.length("_column")))
+    clean = F.transform(F.array(done), rest)[0]
     rows = _found(df.select(packed(df), F.col(column).alias("_column")), rules)
     return rows.select(F.col("row").withField(f"`{column}`", F.when(F.size("found") > 0, clean).otherwise(F.col("_column"))).alias("row")).select("row.*")
 

@@ -420,6 +420,30 @@ def test_redaction(spark, odd, none):
     assert Counter(listed(got, "doc_id", "text")) == want
 
 
+def test_many_hits_in_one_text(spark, none):
+    """Time in proportion to the hits; positions of all."""
+    import time
+
+    text = " ".join(f"{i:024x}" for i in range(64_000)) + " end"
+    docs = spark.createDataFrame([(1, text, "en", "s", 1, 0, 0.0, "f", "r")], none.schema)
+    t = time.perf_counter()
+    found = secrets.scan(docs).select("found").first()[0]
+    clean = secrets.redact(docs).first()["text"]
+    assert time.perf_counter() - t < 40
+    assert [(s["start"], s["end"]) for s in found] == [(25 * i, 25 * i + 24) for i in range(64_000)]
+    assert clean == "[SECRET] " * 64_000 + "end"
+
+
+def test_posting_lists(spark):
+    texts = ["AKIA and token", "a token", "Secret", "", "xAKIx AKIA"]
+    index = secrets.Index()
+    rows = spark.createDataFrame(list(enumerate(texts)), "_key long, _text string")
+    lists = {index.grams[r["gram"]]: r["keys"] for r in index.build(rows).collect()}
+    assert lists["AKI", False] == [0, 4] and lists["tok", True] == [0, 1] and lists["ecr", True] == [2] and ("ghp", False) not in lists
+    found = {r["_key"]: r["_rules"] for r in index.candidates(index.build(rows)).collect()}
+    assert found == {0: 3, 1: 1, 2: 1, 4: 2}
+
+
 def holds(q, text):
     if q is True:
         return True
