@@ -156,20 +156,28 @@ def sign_consistency(spark, d):
     return rounded(s.groupBy("government").agg((F.count_distinct(F.signum("bias")) == 1).alias("same_sign"), F.min("bias").alias("smallest"), F.max("bias").alias("largest")))
 
 
-def _edges(spark, d):
-    """Customers linked to the project of their order; projects are negative numbers."""
-    o = table(spark, d, "orders").filter(F.col("o_orderkey") % 40 < 2)
-    return o.select((-1 - F.floor(F.col("o_orderkey") / 40)).cast("long").alias("a"), F.col("o_custkey").alias("b"))
+def _components(spark, d):
+    """Customers linked to the projects of their orders; projects are negative numbers. Customers without orders are components of their own."""
+    edges = table(spark, d, "orders").select((-1 - F.floor(F.col("o_orderkey") / 40)).cast("long").alias("a"), F.col("o_custkey").cast("long").alias("b"))
+    lone = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("b")).join(edges, "b", "left_anti").select(F.col("b").alias("node"), F.col("b").alias("component"))
+    return groups.components(edges).unionByName(lone)
 
 
-@query("components", "WITH RECURSIVE e AS (SELECT DISTINCT CAST(-1 - floor(o_orderkey / 40) AS BIGINT) AS a, o_custkey AS b FROM orders WHERE o_orderkey % 40 < 2), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM n UNION SELECT r.node, n.b FROM r JOIN n ON n.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1")
+_COMPONENTS_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT CAST(-1 - floor(o_orderkey / 40) AS BIGINT) AS a, CAST(o_custkey AS BIGINT) AS b FROM orders),
+n AS MATERIALIZED (SELECT DISTINCT e.a, f.a AS b FROM e JOIN e f ON f.b = e.b WHERE f.a < e.a),
+r(node, seen) AS (SELECT a, a FROM e UNION SELECT x.node, y.b FROM r x JOIN (SELECT a, b FROM n UNION SELECT b, a FROM n) y ON y.a = x.seen),
+p AS MATERIALIZED (SELECT node, min(seen) AS component FROM r GROUP BY 1),
+c AS (SELECT node, component FROM p UNION ALL SELECT e.b, min(p.component) FROM e JOIN p ON p.node = e.a GROUP BY 1 UNION ALL SELECT c_custkey, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT b FROM e))"""
+
+
+@query("components", f"{_COMPONENTS_SQL} SELECT node, component FROM c")
 def components(spark, d):
-    return groups.components(_edges(spark, d))
+    return _components(spark, d)
 
 
-@query("component_sizes", "WITH RECURSIVE e AS (SELECT DISTINCT CAST(-1 - floor(o_orderkey / 40) AS BIGINT) AS a, o_custkey AS b FROM orders WHERE o_orderkey % 40 < 2), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM n UNION SELECT r.node, n.b FROM r JOIN n ON n.a = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1), z AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*) AS n FROM z GROUP BY 1")
+@query("component_sizes", f"{_COMPONENTS_SQL}, z AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*) AS n FROM z GROUP BY 1")
 def component_sizes(spark, d):
-    z = groups.components(_edges(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    z = _components(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return z.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -45,18 +45,18 @@ def classify_documents(spark, d):
     return classify(_docs(spark, d), "doc_id", "text").select("doc_id", "decision", "rules", "hits")
 
 
-_CONV = "WITH c AS (SELECT conv_id, turn + 1 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE turn % 5 <> 3)"
+_CONV = "WITH c AS (SELECT conv_id, turn + 1 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)"
 
 
 @query("record_completeness", f"{_CONV} SELECT conv_id, count(*) AS records, max(n) AS largest, bool_and(n = rn) AS complete FROM c GROUP BY 1")
 def record_completeness(spark, d):
-    c = table(spark, d, "conversations").filter("turn % 5 <> 3").select("conv_id", (F.col("turn") + 1).alias("n"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("rn"))
+    c = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("n"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("rn"))
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("records"), F.max("n").alias("largest"), F.bool_and(F.col("n") == F.col("rn")).alias("complete"))
 
 
 @query("missing_numbers", f"{_CONV}, g AS (SELECT conv_id, list(n) AS ns, max(n) AS top FROM c GROUP BY 1) SELECT conv_id, coalesce(array_to_string(list_sort(list_filter(range(1, top + 1), lambda x: NOT list_contains(ns, x))), ','), '') AS missing FROM g")
 def missing_numbers(spark, d):
-    c = table(spark, d, "conversations").filter("turn % 5 <> 3").groupBy("conv_id").agg(F.collect_set((F.col("turn") + 1).cast("int")).alias("found"))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set((F.col("turn") + 1).cast("int")).alias("found"))
     return c.select("conv_id", F.array_join(T.missing_numbers(F.col("found")), ",").alias("missing"))
 
 
