@@ -246,7 +246,7 @@ WIDE, SIGMAS, FEW = 4, 7, 64
 #: Documents whose shingles are counted to tell frequent ones, and how many of these are told at most.
 SAMPLE, FREQUENT = 8000, 100_000
 #: Unlike sets that a cell may hold before it is dissolved, and how many times that is done.
-UNLIKE, DISSOLVE = 500, 4
+UNLIKE, DISSOLVE = 500, 2
 #: Ids that may be broadcast (8 bytes each).
 MOST_IDS = 1 << 18
 
