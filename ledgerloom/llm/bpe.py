@@ -37,8 +37,6 @@ from .words import Encoded, splitter
 BLOCK, WORDS = 16 << 20, 300_000
 #: Bytes of text in one row of a block.
 ROW = 2 << 20
-#: Words that are encoded in one go.
-GO = 20_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -144,11 +142,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", column: str = "text")
         known = Encoded(splitter(path))
         for b in batches:
             for block, numbers, words in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                ids = []
-                words = [w.decode() for w in _strings(words.as_py())]
-                for i in range(0, len(words), GO):
-                    known.learn(words[i : i + GO])
-                    ids += map(known.__getitem__, words[i : i + GO])
+                ids = [known.ids([w.decode()]) for w in _strings(words.as_py())]
                 flat = np.frombuffer(b"".join(ids), "<u4")
                 data = _packed(*_unpacked(numbers.as_py(), 1), np.array([len(x) // 4 for x in ids]), flat)
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([data], pa.binary())], ["block", "ids"])

@@ -32,8 +32,6 @@ from .words import Encoded, splitter
 
 CHUNK = 1 << 16
 END = 2
-#: Bytes of text that are split before their new words are encoded together.
-GO = 1 << 20
 INDEX = ("number", "doc_id", "start", "n", "run")
 CHUNKS = "part int, chunk int, n_ids int, planes string, ends array<int>, data binary, " + ", ".join(f"{c} array<long>" for c in INDEX)
 
@@ -92,22 +90,9 @@ def write(df: DataFrame, folder: str, path: str, planes: str = "bit") -> None:
         s = splitter(path)
         known = Encoded(s)
         end = np.array([END], "<u4").tobytes()
-
-        def told(held):
-            known.learn({w for _, words in held for w in words})
-            for key, words in held:
-                yield key, np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u4")
-
-        held, size = [], 0
         for b in batches:
             for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = t.as_buffer().to_pybytes()
-                held.append((key, s.words(t.decode())))
-                size += len(t)
-                if size >= GO:
-                    yield from told(held)
-                    held, size = [], 0
-        yield from told(held)
+                yield key, np.frombuffer(known.ids(s.words(t.as_buffer().to_pybytes().decode())) + end, "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, chunk, number, total = TaskContext.get().partitionId(), 0, 0, 0

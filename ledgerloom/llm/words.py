@@ -19,7 +19,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Characters whose classes are the same in all Unicode versions of the last decades.
 PLAIN = re.compile("[\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*")
 #: Words encoded so far that a task keeps at most (about 200 bytes each).
-CACHE = 200_000
+CACHE = 300_000
 
 
 class Splitter:
@@ -97,15 +97,17 @@ def splitter(path: str) -> Splitter:
 
 
 class Encoded(dict):
-    """Words met so far with their ids as bytes; `learn` encodes the new ones of a list together."""
+    """Words met so far with their ids as bytes of 32-bit numbers; a new word is encoded when it is asked for."""
 
     def __init__(self, split: Splitter, most: int = CACHE):
         self.split, self.most = split, most
 
-    def learn(self, words) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most and self:
+    def __missing__(self, word: str) -> bytes:
+        (ids,) = self.split.encode([word])
+        self[word] = out = array("I", ids).tobytes()
+        return out
+
+    def ids(self, words: list[str]) -> bytes:
+        if len(self) > self.most:
             self.clear()
-            new = list(words)
-        for w, ids in zip(new, self.split.encode(new), strict=True):
-            self[w] = array("I", ids).tobytes()
+        return b"".join(map(self.__getitem__, words))

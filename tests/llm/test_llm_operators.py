@@ -333,14 +333,16 @@ def test_ids_are_the_librarys(spark, odd, folder):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_splitter_on_random_texts(name):
-    from ledgerloom.llm.words import splitter
+    from ledgerloom.llm.words import Encoded, splitter
 
+    known = Encoded(splitter(bpe.tokenizer_path(name)), 50)
     t, s, rng = tokenizer(name), splitter(bpe.tokenizer_path(name)), random.Random(11)
     alphabet = ["a", "B", "'s", "'", "’", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", " ", "　", "1", "²", "½", "é", "ß", "ñ", "İ", "ſ", "Ω", "日", "🙂", "́", "!", "...", "<|endoftext|>", "\x00", "​", "ﬁ", "Å", "ǅ"]
     for _ in range(3000):
         x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
         ids = [i for w in s.encode(s.words(x)) for i in w] if x else []
         assert ids == t.encode(x, add_special_tokens=False).ids, repr(x)
+        assert np.frombuffer(known.ids(s.words(x)), "<u4").tolist() == ids, repr(x)
 
 
 def test_pieces_are_the_vocabularys_bytes():
