@@ -22,7 +22,10 @@ Pairs meet in cells:
 A cell of m near-duplicates would give m * m pairs. So links are found in two steps: all
 members are held against the smallest of their cell, and components made of that. Then,
 in cells that still hold several components, members outside the cell's largest are held
-against members of other components. A link can only be left out if both ends are known
+against members of other components. Before that, `similar_sets` holds the members of
+crowded cells against a few hubs, some turns over, since a crowd of near copies need not
+be near its smallest. Two sets meet only at places of the order that leave enough
+shingles for the overlap that the similarity asks for. A link can only be left out if both ends are known
 to be connected already, so components are whole.
 
 Components: while there are more than EDGES edges, each node is contracted into the
@@ -247,6 +250,8 @@ WIDE, SIGMAS, FEW = 4, 7, 64
 SAMPLE, FREQUENT = 8000, 100_000
 #: Unlike sets that a cell may hold before it is dissolved, and how many times that is done.
 UNLIKE, DISSOLVE = 500, 2
+#: Unlike sets beyond which a cell's members are first held against hubs, how many of its members are hubs, and how often that is done.
+CROWD, HUBS, ROUNDS = 32, 8, 3
 #: Ids that may be broadcast (8 bytes each).
 MOST_IDS = 1 << 18
 
@@ -351,6 +356,39 @@ def sized(x: Column, y: Column, similarity: float) -> Column:
     return F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-9
 
 
+def meeting(x: Column, y: Column, similarity: float) -> Column:
+    """Whether sets that share the shingle at places x.p and y.p of their orders can have the similarity if it is the first they share: no more shingles follow than the overlap needs."""
+    needed = similarity / (1 + similarity) * (x["n"] + y["n"]) - 1e-9
+    return sized(x, y, similarity) & (F.least(x["n"] - x["p"], y["n"] - y["p"]) >= needed)
+
+
+def placed(prefix: Column) -> Column:
+    """k, a prefix's shingle, and p, its place."""
+    return F.posexplode(prefix).alias("p", "k")
+
+
+def hub_pairs(cells: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(a, b, la, lb): members b of crowded cells and the cell's hubs a of another label. Hubs are members that a hash of the turn favours, so that cells of the same sets mostly have the same ones."""
+    order = F.xxhash64(F.lit(turn), "id")
+    crowded = cells.select("k", "label").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CROWD).select("k")
+    hubs = cells.join(crowded, "k").groupBy("k", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "id", "label", "n", "p")).alias("x")).select("k", "x")
+    members = cells.select("k", F.struct("id", "label", "n", "p").alias("y"))
+    met = members.join(hubs, "k").filter((F.col("x.label") != F.col("y.label")) & meeting(F.col("x"), F.col("y"), similarity))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+
+
+def by_hubs(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The labels, once links to hubs join them. A crowd of near copies becomes one label, or nearly so, without meeting pair by pair; what it leaves meets in pairs_across."""
+    for turn in range(ROUNDS):
+        held = pin(labelled(cells, labels), "simhash-held")
+        links = alike(docs, plausible(hub_pairs(held, turn, similarity), nodes, similarity), size, similarity)
+        drop_pinned(held)
+        if not links.limit(1).count():
+            break
+        labels = relabelled(labels, links, "simhash-hubs")
+    return labels
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b, ...) that sizes, pivots and fingerprints leave. Pivots and fingerprints leave all pairs of small sets."""
     x, y = (nodes.select(F.col("id").alias(c), F.struct("n", "fp", "t").alias(f"_{c}")) for c in "ab")
@@ -362,7 +400,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 
 def dissolved(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataFrame, size: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """Cells (k, id, n, label) in which no more unlike sets meet than need be. Shingles of cells with over UNLIKE labels go to the end of the order; sets that have one in their prefix get the next shingles instead. Other sets keep theirs, which the new order doesn't change."""
+    """Cells (k, id, n, p, label) in which no more unlike sets meet than need be. Shingles of cells with over UNLIKE labels go to the end of the order; sets that have one in their prefix get the next shingles instead. Other sets keep theirs, which the new order doesn't change."""
     crowds = lambda c: c.groupBy("k").agg(F.approx_count_distinct("label").alias("m")).filter(F.col("m") > UNLIKE).select("k")
     cells = pin(labelled(cells, labels), "simhash-labelled")
     crowded, hit = None, None
@@ -387,8 +425,8 @@ def dissolved(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataF
         rank = F.struct(F.col("_c").isNotNull().alias("crowded"), "late", F.expr("k ^ (-9223372036854775807L - 1)").alias("u"), "k")
         whole = each.groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("all")).withColumn("n", F.size("all"))
         first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
-        again = whole.select("id", "n", F.explode(F.slice("all", F.lit(1), first)).alias("s")).select(F.col("s.k").alias("k"), "id", "n")
-        rest = nodes.join(hit, "id", "left_anti").select(F.explode("prefix").alias("k"), "id", "n")
+        again = whole.select("id", "n", placed(F.transform(F.slice("all", F.lit(1), first), lambda s: s["k"])))
+        rest = nodes.join(hit, "id", "left_anti").select("id", "n", placed(F.col("prefix")))
         cells = pin(labelled(shared_cells(rest.unionByName(again), "simhash-refined"), labels), "simhash-labelled")
     return cells
 
@@ -397,11 +435,12 @@ def similar_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """id (of the text), first (its smallest doc_id) and label of each different text: equal labels for those that links connect. A link is a pair whose sets of shingles have the Jaccard similarity."""
     last = frequent(docs, size)
     nodes = set_nodes(docs, size, similarity, last)
-    cells = shared_cells(nodes.select(F.explode("prefix").alias("k"), "id", "n"), "simhash-cells")
+    cells = shared_cells(nodes.select("id", "n", placed(F.col("prefix"))), "simhash-cells")
     stars = alike(docs, plausible(star_pairs(cells, F.lit(True)), nodes, similarity), size, similarity)
     labels = components(stars, "simhash-stars")
+    labels = by_hubs(docs, nodes, cells, labels, size, similarity)
     cells = dissolved(docs, nodes, cells, labels, size, similarity, last)
-    pairs = alike(docs, plausible(pairs_across(cells, lambda x, y: sized(x, y, similarity)), nodes, similarity), size, similarity)
+    pairs = alike(docs, plausible(pairs_across(cells, lambda x, y: meeting(x, y, similarity)), nodes, similarity), size, similarity)
     labels = relabelled(labels, pairs, "simhash-joined").withColumnRenamed("node", "id")
     return nodes.select("id", "first").join(labels, "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
 
