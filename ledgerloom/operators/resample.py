@@ -1,35 +1,74 @@
-"""Bootstrap of whole clusters: clusters are drawn with replacement, rows follow by a join."""
+"""Bootstrap of whole clusters: clusters are drawn with replacement, rows count as often as their cluster was drawn.
+
+Copies are never made: equal rows of a cluster are one row with a weight, and each replicate
+sums weights by value, so its statistics are those of a weighted table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .describe import THRESHOLDS
 from .order import numbered
 from .rng import uniform
 
+#: Fewest clusters that may be resampled, and the share of replicates that an interval needs.
+MIN_CLUSTERS, USABLE = 20, 0.9
+
 
-def draws(df: DataFrame, cluster: str, reps: int, seed: str) -> DataFrame:
-    """rep, slot and the cluster drawn: as many slots as there are clusters, for each replicate."""
+def drawn(df: DataFrame, cluster: str, reps: int, seed: str) -> DataFrame:
+    """rep, the cluster and _times, how often the replicate drew it: as many draws a replicate as there are clusters. No rows for fewer than MIN_CLUSTERS."""
     clusters = numbered(df.select(cluster).distinct(), cluster, "ordinal")
-    size = clusters.agg(F.count(F.lit(1)).alias("g"))
+    size = clusters.agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") >= MIN_CLUSTERS)
     slots = clusters.select(F.col("ordinal").alias("slot")).crossJoin(F.broadcast(size))
     # The replicates are a fixed short list, not a table.
     slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    hit = slots.withColumn("ordinal", F.floor(uniform(seed, F.col("rep"), F.col("slot")) * F.col("g")).cast("long"))
-    return hit.join(clusters, "ordinal").select("rep", "slot", cluster)
+    hit = slots.select("rep", F.floor(uniform(seed, F.col("rep"), F.col("slot")) * F.col("g")).cast("long").alias("ordinal"))
+    return hit.groupBy("rep", "ordinal").agg(F.count(F.lit(1)).alias("_times")).join(clusters, "ordinal").select("rep", cluster, "_times")
+
+
+def weighted(df: DataFrame, cluster: str, reps: int, seed: str, columns: list[str]) -> DataFrame:
+    """rep, the columns and w, how many rows of the replicate have these values."""
+    rows = df.groupBy(cluster, *columns).agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(drawn(df, cluster, reps, seed), cluster).groupBy("rep", *columns).agg(F.sum(F.col("_n") * F.col("_times")).alias("w"))
+
 
+def sd(c: Column, w: Column) -> Column:
+    """Sample standard deviation; null for weights of one or none."""
+    n, s = F.sum(F.when(c.isNotNull(), w)), F.sum(w * c)
+    return F.when(n > 1, F.sqrt(F.greatest(F.sum(w * c * c) - s * s / n, F.lit(0.0)) / (n - 1)))
 
-def bootstrap(df: DataFrame, cluster: str, reps: int, seed: str, statistics: list[Column], by: list[str] = ()) -> DataFrame:
-    """The statistics of each replicate. Clusters drawn several times in a replicate count as often: draws are counted before rows join."""
-    times = draws(df, cluster, reps, seed).groupBy("rep", cluster).agg(F.count(F.lit(1)).alias("_times"))
-    rows = df.join(times, cluster).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return rows.groupBy("rep", *by).agg(*statistics)
 
+def totals(x: str = "total") -> list[Column]:
+    """describe.totals() of weighted rows."""
+    c, w = F.col(x).cast("double"), F.col("w")
+    n = F.sum(w)
+    over = [(F.sum(F.when(c > t, w).otherwise(0)) / n).alias(f"over_{t}") for t in THRESHOLDS]
+    order = [F.percentile(c, F.lit(p), w).alias(k) for k, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95))]
+    return [(F.sum(w * c) / n).alias("mean"), sd(c, w).alias("sd"), *order, *over]
 
-def intervals(reps: DataFrame, names: list[str], needed: int, by: list[str] = ()) -> DataFrame:
-    """Percentile intervals of each statistic over replicates in which it is defined; null if fewer than `needed`."""
+
+def correlation(x: str, y: str) -> Column:
+    """Of weighted rows without nulls; null for fewer than three or a constant side."""
+    a, b, w = F.col(x).cast("double"), F.col(y).cast("double"), F.col("w")
+    n = F.sum(w)
+    co = lambda p, q: F.sum(w * p * q) / n - F.sum(w * p) / n * (F.sum(w * q) / n)
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)) & (n >= 3)
+    return F.when(varies, co(a, b) / F.nullif(F.sqrt(co(a, a) * co(b, b)), F.lit(0.0)))
+
+
+def average_rank(x: str) -> Column:
+    """A weighted row's rank in its replicate, ties sharing the mean of their places."""
+    upto = F.sum("w").over(Window.partitionBy("rep").orderBy(x).rangeBetween(Window.unboundedPreceding, 0))
+    return upto - (F.sum("w").over(Window.partitionBy("rep", x)) - 1) / 2
+
+
+def intervals(reps: DataFrame, names: list[str], replicates: int, by: list[str] = ()) -> DataFrame:
+    """Percentile intervals of each statistic over replicates in which it is defined; null if fewer than a share of USABLE."""
+    needed = math.ceil(USABLE * replicates)
     wide = reps.unpivot(list(by), names, "statistic", "value") if by else reps.select(F.lit(1).alias("_"), *names).unpivot(["_"], names, "statistic", "value")
     n, v = F.count("value"), F.col("value")
     return wide.groupBy(*by, "statistic").agg(n.alias("usable"), *(F.when(n >= needed, F.percentile(v, F.lit(p))).alias(k) for k, p in (("low", 0.025), ("high", 0.975))))
-

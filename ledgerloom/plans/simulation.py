@@ -7,9 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import distance, resample, simulate
-from ..operators.assoc import pearson
 from ..operators.describe import THRESHOLDS, rounded, totals
-from ..operators.order import average_ranks
 from ..operators.rng import normal, normal_sql, uniform, uniform_sql
 from ..sources.tables import table
 from .base import COHORT_SQL, cohort
@@ -17,7 +15,7 @@ from .modelling import COV_SQL, _cov
 from .registry import query
 from .statistics import _r, totals_sql
 
-SEED, REPS, N = "20261101", 20, 4000
+SEED, REPS, N = "20261101", 2000, 4000
 #: A published bundle's parameters, as a simulation is given them.
 MODEL = simulate.Phases(a1=4.6, b1=-0.15, s1=0.9, a3=5.0, b3=-0.12, s3=0.8, p0=0.9, support=(3, 40, 40, 90, 150, 220, 310, 480), rho=0.35)
 ALTERNATIVE = simulate.Phases(a1=4.6, b1=0.0, s1=0.95, a3=5.0, b3=0.0, s3=0.85, p0=0.9, support=MODEL.support, rho=0.35)
@@ -31,38 +29,43 @@ def hash_uniform(spark, d):
 def _drawn_sql(cluster: str, seed: str) -> str:
     """Rows of the cohort, each as often as a replicate drew its cluster."""
     return f""", cl AS (SELECT {cluster} AS c, row_number() OVER (ORDER BY {cluster}) - 1 AS ordinal, count(*) OVER () AS g FROM (SELECT DISTINCT {cluster} FROM cohort)),
-sl AS (SELECT r.rep, cl.ordinal AS slot, cl.g FROM cl, (SELECT unnest(range({REPS})) AS rep) r),
+sl AS (SELECT r.rep, cl.ordinal AS slot, cl.g FROM cl, (SELECT unnest(range({REPS})) AS rep) r WHERE cl.g >= {resample.MIN_CLUSTERS}),
 dr AS (SELECT rep, CAST(floor({uniform_sql(f"'{seed}'", "rep", "slot")} * g) AS INTEGER) AS ordinal FROM sl),
 b AS (SELECT dr.rep, cohort.* FROM dr JOIN cl USING (ordinal) JOIN cohort ON cohort.{cluster} = cl.c) """
 
 
-_INTERVAL = "count(value) AS usable, round(CASE WHEN count(value) >= 18 THEN quantile_cont(value, 0.025) END, 6) AS low, round(CASE WHEN count(value) >= 18 THEN quantile_cont(value, 0.975) END, 6) AS high"
+_USABLE = math.ceil(resample.USABLE * REPS)
+_INTERVAL = f"count(value) AS usable, round(CASE WHEN count(value) >= {_USABLE} THEN quantile_cont(value, 0.025) END, 6) AS low, round(CASE WHEN count(value) >= {_USABLE} THEN quantile_cont(value, 0.975) END, 6) AS high"
 
 
 @query("cluster_bootstrap_corr", f"{COHORT_SQL}{_drawn_sql('entity', 'corr')}, k AS (SELECT rep, q, total, rank() OVER (PARTITION BY rep ORDER BY q) + (count(*) OVER (PARTITION BY rep, q) - 1) / 2.0 AS rq, rank() OVER (PARTITION BY rep ORDER BY total) + (count(*) OVER (PARTITION BY rep, total) - 1) / 2.0 AS rt FROM b), s AS (SELECT rep, corr(q, total) AS pearson, corr(rq, rt) AS spearman FROM k GROUP BY 1), l AS (SELECT 'pearson' AS statistic, pearson AS value FROM s UNION ALL SELECT 'spearman', spearman FROM s) SELECT statistic, {_INTERVAL} FROM l GROUP BY 1")
 def cluster_bootstrap_corr(spark, d):
-    rows = cohort(spark, d).select("entity", "q", "total")
-    times = resample.draws(rows, "entity", REPS, "corr").groupBy("rep", "entity").agg(F.count(F.lit(1)).alias("_times"))
-    drawn = rows.join(times, "entity").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    ranked = average_ranks(drawn, {"q": "rq", "total": "rt"}, ["rep"])
-    reps = ranked.groupBy("rep").agg(pearson("q", "total").alias("pearson"), pearson("rq", "rt").alias("spearman"))
-    return rounded(resample.intervals(reps, ["pearson", "spearman"], 18).drop("_"))
+    rows = resample.weighted(cohort(spark, d).select("entity", "q", "total"), "entity", REPS, "corr", ["q", "total"])
+    ranked = rows.withColumn("rq", resample.average_rank("q")).withColumn("rt", resample.average_rank("total"))
+    reps = ranked.groupBy("rep").agg(resample.correlation("q", "total").alias("pearson"), resample.correlation("rq", "rt").alias("spearman"))
+    return rounded(resample.intervals(reps, ["pearson", "spearman"], REPS).drop("_"))
 
 
 _STATS = ["mean", "sd", "median", "p90", "p95", *(f"over_{t}" for t in THRESHOLDS)]
 
 
-@query("component_bootstrap_summary", f"{COHORT_SQL}{_drawn_sql('entity', 'components')}, s AS (SELECT rep, scenario, {totals_sql()} FROM b GROUP BY 1, 2), l AS (" + " UNION ALL ".join(f"SELECT scenario, '{s}' AS statistic, {s} AS value FROM s" for s in _STATS) + f") SELECT scenario, statistic, {_INTERVAL} FROM l GROUP BY 1, 2")
+def _plain(e: str, name: str) -> str:
+    """A replicate's statistic as it is: rounded ones would round intervals twice."""
+    return f"{e} AS {name}"
+
+
+@query("component_bootstrap_summary", f"{COHORT_SQL}{_drawn_sql('entity', 'components')}, s AS (SELECT rep, scenario, {totals_sql(_r=_plain)} FROM b GROUP BY 1, 2), l AS (" + " UNION ALL ".join(f"SELECT scenario, '{s}' AS statistic, {s} AS value FROM s" for s in _STATS) + f") SELECT scenario, statistic, {_INTERVAL} FROM l GROUP BY 1, 2")
 def component_bootstrap_summary(spark, d):
-    reps = resample.bootstrap(cohort(spark, d).select("entity", "scenario", "total"), "entity", REPS, "components", totals(), ["scenario"])
-    return rounded(resample.intervals(rounded(reps), _STATS, 18, ["scenario"]))
+    rows = resample.weighted(cohort(spark, d).select("entity", "scenario", "total"), "entity", REPS, "components", ["scenario", "total"])
+    return rounded(resample.intervals(rows.groupBy("rep", "scenario").agg(*resample.totals()), _STATS, REPS, ["scenario"]))
 
 
-@query("bootstrap_sd_ratio", f"{COHORT_SQL}{_drawn_sql('entity', 'ratio')}, s AS (SELECT rep, stddev_samp(total) FILTER (scenario = 'high') / stddev_samp(total) FILTER (scenario = 'low') AS value FROM b GROUP BY 1) SELECT 'sd_ratio' AS statistic, {_INTERVAL} FROM s")
+@query("bootstrap_sd_ratio", f"{COHORT_SQL}{_drawn_sql('entity', 'ratio')}, s AS (SELECT rep, stddev_samp(total) FILTER (scenario = 'high') / stddev_samp(total) FILTER (scenario = 'low') AS value FROM b GROUP BY 1) SELECT 'sd_ratio' AS statistic, {_INTERVAL} FROM s GROUP BY 1")
 def bootstrap_sd_ratio(spark, d):
-    v = lambda s: F.stddev_samp(F.when(F.col("scenario") == s, F.col("total").cast("double")))
-    reps = resample.bootstrap(cohort(spark, d).select("entity", "scenario", "total"), "entity", REPS, "ratio", [(v("high") / F.nullif(v("low"), F.lit(0.0))).alias("sd_ratio")])
-    return rounded(resample.intervals(reps, ["sd_ratio"], 18).drop("_"))
+    rows = resample.weighted(cohort(spark, d).select("entity", "scenario", "total"), "entity", REPS, "ratio", ["scenario", "total"])
+    v = lambda s: resample.sd(F.when(F.col("scenario") == s, F.col("total").cast("double")), F.col("w"))
+    reps = rows.groupBy("rep").agg((v("high") / F.nullif(v("low"), F.lit(0.0))).alias("sd_ratio"))
+    return rounded(resample.intervals(reps, ["sd_ratio"], REPS).drop("_"))
 
 
 def _sim_sql(config: str, m: simulate.Phases, n: int, reps: int = 1, rho: float | None = None) -> str:
@@ -103,7 +106,7 @@ def phase_invariants(spark, d):
     return s.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("t1") < 0) | (F.col("t2") < 0) | (F.col("t3") < 0)).alias("negative"), F.count_if(F.abs(F.col("total") - F.col("t1") - F.col("t2") - F.col("t3")) > 1e-9).alias("unequal"), F.count_if(F.col("t2") == 0).alias("zero_middle"))
 
 
-_PN, _PR = 1000, 5
+_PN, _PR = 50_000, 30
 
 
 def _precision_sql() -> str:
@@ -131,21 +134,21 @@ def precision_metrics(spark, d):
 @query("convergence_decision")
 def convergence_decision(spark, d):
     """Sizes tried, replicates that meet all tolerances, whether a size agrees with all larger ones, is accepted, and is the smallest accepted. A tenth of the replicates may fail."""
-    parts, sizes, reps = None, [500, 2000], 6
+    parts, sizes, reps = None, [1000, 5000, 10_000, 50_000, 100_000], 30
     for n in sizes:
         m = simulate.precision(_simulated(spark, d, f"size{n}", MODEL, n, reps), n).withColumn("size", F.lit(n))
         parts = m if parts is None else parts.unionByName(m)
     return spark.createDataFrame(simulate.decide(parts.persist(), sizes, reps), "size int, passing int, replicates int, stable boolean, accepted boolean, recommended boolean")
 
 
-_PAIRED = _sim_sql("paired", MODEL, 1000, 5)
+_PAIRED = _sim_sql("paired", MODEL, _PN, _PR)
 _FLAT = f"({0.0!r} * z1 + {1.0!r} * z3)"
 
 
 @query("paired_copula_experiment", f"{_PAIRED}, flat AS (SELECT s.rep, s.total, s.t1 + s.t2 + exp({MODEL.a3!r} + {MODEL.b3!r} * s.zq + {MODEL.s3!r} * greatest(-{simulate.CLIP!r}, least({simulate.CLIP!r}, zz.z3))) AS plain FROM sim s JOIN zz ON zz.rep = s.rep AND zz.draw = s.draw) SELECT rep, {_r('avg(total) - avg(plain)', 'mean_change')}, {_r('stddev_samp(total) - stddev_samp(plain)', 'sd_change')}, {_r('quantile_cont(total, 0.95) - quantile_cont(plain, 0.95)', 'p95_change')}, {_r('avg(CASE WHEN total > 180 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN plain > 180 THEN 1.0 ELSE 0.0 END)', 'over_180_change')} FROM flat GROUP BY 1")
 def paired_copula_experiment(spark, d):
     """Both arms share profiles and normals: each row holds its total with and without the phases' dependence."""
-    adjusted = _simulated(spark, d, "paired", MODEL, 1000, 5)
+    adjusted = _simulated(spark, d, "paired", MODEL, _PN, _PR)
     plain = simulate.trajectories(adjusted.select("rep", "draw", "zq", F.col("total").alias("adjusted")), MODEL, SEED, "paired", 0.0)
     over = lambda c: F.avg((F.col(c) > 180).cast("double"))
     p95 = lambda c: F.percentile(c, F.lit(0.95))
@@ -159,7 +162,7 @@ def paired_experiment_bounds(spark, d):
 
     names = ["mean_change", "sd_change", "p95_change", "over_180_change"]
     reps = paired_copula_experiment(spark, d)
-    t = student_quantile(1 - 0.05 / (2 * len(names)), 4)
+    t = student_quantile(1 - 0.05 / (2 * len(names)), _PR - 1)
     wide = reps.unpivot(["rep"], names, "contrast", "value").groupBy("contrast").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     half = t * F.col("sd") / F.sqrt("n")
     return rounded(wide.withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half, "degenerate": F.col("sd") == 0}))

@@ -28,7 +28,7 @@ def _block(x: str = "value") -> str:
     return f"count({x}) AS n, count(*) - count({x}) AS missing, {_r(f'avg({x})', 'mean')}, {_r(f'stddev_samp({x})', 'sd')}, {_r(f'var_samp({x})', 'var')}, {_r(f'CASE WHEN count({x}) >= 2 AND abs(avg({x})) > 1e-8 THEN stddev_samp({x}) / avg({x}) END', 'cv')}, {_r(f'min({x})', 'min')}, {_r(f'max({x})', 'max')}, {q}, {_r(f'quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)', 'iqr')}"
 
 
-def totals_sql(x: str = "total") -> str:
+def totals_sql(x: str = "total", _r=_r) -> str:
     over = ", ".join(_r(f"avg(CASE WHEN {x} > {t} THEN 1.0 ELSE 0.0 END)", f"over_{t}") for t in THRESHOLDS)
     return f"{_r(f'avg({x})', 'mean')}, {_r(f'stddev_samp({x})', 'sd')}, {_r(f'quantile_cont({x}, 0.5)', 'median')}, {_r(f'quantile_cont({x}, 0.9)', 'p90')}, {_r(f'quantile_cont({x}, 0.95)', 'p95')}, {over}"
 
