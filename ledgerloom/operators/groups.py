@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: checkpointed in the folder of spark.checkpoint.dir. Where there is none, as in a session of one process, df as it is."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component: the smallest node reachable over edges (a, b).
 

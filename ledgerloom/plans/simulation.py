@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import distance, resample, simulate
+from ..operators.groups import cut
 from ..operators.describe import THRESHOLDS, rounded, totals
 from ..operators.rng import normal, normal_sql, uniform, uniform_sql
 from ..sources.tables import table
@@ -110,20 +113,22 @@ _PN, _PR = 50_000, 30
 
 
 def _precision_sql() -> str:
-    from ..operators.model import binomial_quantile as bq
-
-    ci = {p: (max(1, bq(0.025, _PN, p)), min(_PN, bq(0.975, _PN, p) + 1)) for p in (0.9, 0.95)}
-    z2 = 1.96**2
-    half = lambda p: f"(max(total) FILTER (rn = {ci[p][1]}) - max(total) FILTER (rn = {ci[p][0]})) / 2"
-    sd, root = "stddev_samp(total)", math.sqrt(_PN)
-    m4 = "(kurtosis_pop(total) + 3) * pow(var_pop(total), 2)"
-    parts = [("mean", "avg(total)", f"1.96 * {sd} / {root!r}", "greatest(0.25, 0.005 * avg(total))"), ("sd", sd, f"1.96 * sqrt(({m4} - pow({sd}, 4)) / (4 * {_PN} * {sd} * {sd}))", f"greatest(0.5, 0.01 * {sd})")]
-    parts += [(n, f"quantile_cont(total, {p})", half(p), f"greatest({floor}, {share} * quantile_cont(total, {p}))") for n, p, floor, share in (("p90", 0.9, 0.5, 0.01), ("p95", 0.95, 1.0, 0.02))]
+    """Order statistics by their row numbers, Wilson's bounds as the roots of their quadratic."""
+    ranks = {p: simulate.quantile_ranks(_PN, p) for p in (0.9, 0.95)}
+    sd, zz = "stddev_samp(total)", simulate.Z95**2
+    far = lambda q, p: f"greatest({q} - max(total) FILTER (rn = {ranks[p][0]}), max(total) FILTER (rn = {ranks[p][1]}) - {q})"
+    parts = [("mean", "avg(total)", f"1.96 * {sd} / sqrt({_PN})", "greatest(0.25, 0.005 * abs(avg(total)))")]
+    parts.append(("sd", sd, f"1.96 * sqrt(greatest(avg(pow(total - centre, 4)) - pow({sd}, 4), 0) / (4 * {_PN} * {sd} * {sd}))", f"greatest(0.5, 0.01 * {sd})"))
+    for name, p, floor, share in (("p90", 0.9, 0.5, 0.01), ("p95", 0.95, 1.0, 0.02)):
+        q = f"quantile_cont(total, {p})"
+        parts.append((name, q, far(q, p), f"greatest({floor}, {share} * abs({q}))"))
     for t in THRESHOLDS:
-        p = f"avg(CASE WHEN total > {t} THEN 1.0 ELSE 0.0 END)"
-        parts.append((f"over_{t}", p, f"{1.96 / (1 + z2 / _PN)!r} * sqrt({p} * (1 - {p}) / {_PN} + {z2 / (4 * _PN * _PN)!r})", "0.005"))
+        k = f"count(*) FILTER (total > {t})"
+        root = f"sqrt({zz!r} * {zz!r} + 4 * {zz!r} * {k} * (1 - {k} / {_PN}))"
+        bound = lambda sign, k=k, root=root: f"(2 * {k} + {zz!r} {sign} {root}) / (2 * ({_PN} + {zz!r}))"
+        parts.append((f"over_{t}", f"{k} / {_PN}", f"greatest({k} / {_PN} - {bound('-')}, {bound('+')} - {k} / {_PN})", "0.005"))
     rows = " UNION ALL ".join(f"SELECT rep, '{n}' AS metric, {_r(e, 'estimate')}, {_r(h, 'halfwidth')}, {_r(t, 'tolerance')}, {h} <= {t} AS passes FROM o GROUP BY 1" for n, e, h, t in parts)
-    return f"{_sim_sql('precision', MODEL, _PN, _PR)}, o AS (SELECT rep, total, row_number() OVER (PARTITION BY rep ORDER BY total) AS rn FROM sim) {rows}"
+    return f"{_sim_sql('precision', MODEL, _PN, _PR)}, o AS (SELECT rep, total, avg(total) OVER (PARTITION BY rep) AS centre, row_number() OVER (PARTITION BY rep ORDER BY total) AS rn FROM sim) {rows}"
 
 
 @query("precision_metrics", _precision_sql())
@@ -131,14 +136,15 @@ def precision_metrics(spark, d):
     return rounded(simulate.precision(_simulated(spark, d, "precision", MODEL, _PN, _PR), _PN))
 
 
+SIZES = (1000, 5000, 10_000, 50_000, 100_000)
+
+
 @query("convergence_decision")
 def convergence_decision(spark, d):
-    """Sizes tried, replicates that meet all tolerances, whether a size agrees with all larger ones, is accepted, and is the smallest accepted. A tenth of the replicates may fail."""
-    parts, sizes, reps = None, [1000, 5000, 10_000, 50_000, 100_000], 30
-    for n in sizes:
-        m = simulate.precision(_simulated(spark, d, f"size{n}", MODEL, n, reps), n).withColumn("size", F.lit(n))
-        parts = m if parts is None else parts.unionByName(m)
-    return spark.createDataFrame(simulate.decide(parts.persist(), sizes, reps), "size int, passing int, replicates int, stable boolean, accepted boolean, recommended boolean")
+    """Sizes tried, replicates that meet all tolerances, and the smallest size that is precise and agrees with all larger ones; see simulate.decide."""
+    sized = [simulate.precision(_simulated(spark, d, f"size{n}", MODEL, n, _PR), n).withColumn("size", F.lit(n)) for n in SIZES]
+    # A few thousand rows, which the decision reads several times.
+    return simulate.decide(cut(reduce(DataFrame.unionByName, sized)), list(SIZES), _PR)
 
 
 _PAIRED = _sim_sql("paired", MODEL, _PN, _PR)
