@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.special import correlation_p
 from ..operators import assoc, describe, distance
 from ..operators.describe import QUANTILES, THRESHOLDS, rounded
 from ..sources.tables import table
@@ -171,9 +172,17 @@ def entity_cluster_profile(spark, d):
     return g.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"), F.count_if(F.col("n") > 1).alias("repeated"))
 
 
-@query("pearson_table", f"{COHORT_SQL}{_long(OUTCOMES, 'q')} SELECT variable, count(*) AS n, {_r('CASE WHEN count(*) >= 3 AND min(value) < max(value) AND min(q) < max(q) THEN corr(q, value) END', 'r')} FROM long GROUP BY 1")
+def _p_sql(inner: str, r: str) -> str:
+    """Adds p by Simpson's rule: Student's tail is an integral of a power of the cosine over the angle atan(t / sqrt(df))."""
+    return f""", c AS ({inner}), th AS (SELECT *, n - 2 AS df, asin(abs({r})) AS a, least(pi() / 2, asin(abs({r})) + 60 / sqrt(n - 2)) AS z FROM c),
+simpson AS (SELECT c2.variable, sum((CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(greatest(cos(a + (z - a) * i / 4000), 0), df - 1)) * (z - a) / 12000 * 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) AS p FROM th c2, (SELECT unnest(range(4001)) AS i) GROUP BY c2.variable, a, z, df)
+SELECT c.variable, c.n, {_r(r, r)}, {_r('simpson.p', 'p')} FROM c LEFT JOIN simpson ON simpson.variable = c.variable"""
+
+
+@query("pearson_table", f"{COHORT_SQL}{_long(OUTCOMES, 'q')}" + _p_sql("SELECT variable, count(*) AS n, CASE WHEN count(*) >= 3 AND min(value) < max(value) AND min(q) < max(q) THEN corr(q, value) END AS r FROM long GROUP BY 1", "r"))
 def pearson_table(spark, d):
-    return rounded(describe.long(cohort(spark, d), ["q"], OUTCOMES).groupBy("variable").agg(F.count(F.lit(1)).alias("n"), assoc.pearson("q", "value").alias("r")))
+    out = describe.long(cohort(spark, d), ["q"], OUTCOMES).groupBy("variable").agg(F.count(F.lit(1)).alias("n"), assoc.pearson("q", "value").alias("r"))
+    return rounded(out.withColumn("p", correlation_p(F.col("r"), F.col("n"))))
 
 
 def _ranks(cols: list[str], by: str = "") -> str:
@@ -181,9 +190,10 @@ def _ranks(cols: list[str], by: str = "") -> str:
     return ", ".join(f"rank() OVER ({part}ORDER BY {c}) + (count(*) OVER (PARTITION BY {by + ', ' if by else ''}{c}) - 1) / 2.0 AS r_{c}" for c in cols)
 
 
-@query("spearman_table", f"{COHORT_SQL}{_long(OUTCOMES, 'q')}, k AS (SELECT variable, {_ranks(['q', 'value'], 'variable')} FROM long) SELECT variable, count(*) AS n, {_r('CASE WHEN min(r_q) < max(r_q) AND min(r_value) < max(r_value) AND count(*) >= 3 THEN corr(r_q, r_value) END', 'rho')} FROM k GROUP BY 1")
+@query("spearman_table", f"{COHORT_SQL}{_long(OUTCOMES, 'q')}, k AS (SELECT variable, {_ranks(['q', 'value'], 'variable')} FROM long)" + _p_sql("SELECT variable, count(*) AS n, CASE WHEN min(r_q) < max(r_q) AND min(r_value) < max(r_value) AND count(*) >= 3 THEN corr(r_q, r_value) END AS rho FROM k GROUP BY 1", "rho"))
 def spearman_table(spark, d):
-    return rounded(assoc.spearman(describe.long(cohort(spark, d), ["q"], OUTCOMES), "q", "value", ["variable"]))
+    out = assoc.spearman(describe.long(cohort(spark, d), ["q"], OUTCOMES), "q", "value", ["variable"])
+    return rounded(out.withColumn("p", correlation_p(F.col("rho"), F.col("n"))))
 
 
 _VARS = ["q", "t1", "t2", "t3", "total"]

@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.ladder import judge
 from ..operators.rules import RULES, classify, evidence
+from ..operators.scope import classify_scope
 from ..sources.tables import table
 from .registry import query
 
-_UP = f"trim(regexp_replace(upper(translate(replace(coalesce({{0}}, ''), 'ß', 'SS'), '{T.MARKED}', '{T.FOLDED}')), '\\s+', ' ', 'g'))"
-_LOW = f"trim(regexp_replace(lower(translate(coalesce({{0}}, ''), '{T.MARKED}', '{T.FOLDED}')), '\\s+', ' ', 'g'))"
+_UP = "trim(regexp_replace(replace(upper(strip_accents(coalesce({0}, ''))), 'ẞ', 'SS'), '\\s+', ' ', 'g'))"
+_LOW = "trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '\\s+', ' ', 'g'))"
 
 
 def _docs(spark, d):
@@ -45,6 +47,42 @@ def classify_documents(spark, d):
     return classify(_docs(spark, d), "doc_id", "text").select("doc_id", "decision", "rules", "hits")
 
 
+#: Descriptions of orders: what is done (by priority), to what (by the part with which the order is largest) and where (by the customer's segment). With each asset goes what its words are evidence of.
+_WORK = {"1-URGENT": "Rehabilitación", "2-HIGH": "Mejoramiento", "3-MEDIUM": "CREACIÓN", "4-NOT SPECIFIED": "construccion", "5-LOW": "Renovación"}
+_ASSETS = [
+    ("carretera", "road", "carretera"), ("paso  a desnivel", "road", "paso a desnivel"), ("pistas y veredas", "road", "pistas"), ("veredas peatonales", "on_foot", ""), ("pista de aterrizaje", "airport", "pista"),
+    ("institución educativa", "other", "institucion educativa"), ("carretera y agua potable", "mixed", "carretera"), ("pista de atletismo", "other", "pista de atletismo"), ("intervención general", "nothing", ""),
+    ("camino vecinal y drenaje pluvial", "road", "camino vecinal"), ("calzada con acceso a la escuela", "road", "calzada"), ("pavimento y colegios", "mixed", "pavimento"), ("trocha carrozable con acceso al colegio", "road", "trocha carrozable"), ("autopista y aeródromo", "airport_and_road", "autopista"),
+]
+_PLACE = {"BUILDING": " del distrito de Puente Carretera", "MACHINERY": " ubicado en la carretera central", "HOUSEHOLD": "", "FURNITURE": " - calle del cementerio", "AUTOMOBILE": " en los distritos de Pistas"}
+
+
+def _descriptions(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    pick = lambda c, values: F.coalesce(*(F.when(F.col(c) == k, F.lit(v)) for k, v in values.items()))
+    asset = F.element_at(F.array(*(F.lit(a) for a, *_ in _ASSETS)), (F.pmod(F.year("o_orderdate") + F.month("o_orderdate"), F.lit(len(_ASSETS))) + 1).cast("int"))
+    return o.select("o_orderkey", F.concat(pick("o_orderpriority", _WORK), F.lit(" de "), asset, pick("c_mktsegment", _PLACE)).alias("procedure"), F.lit(None).cast("string").alias("item"))
+
+
+def _scope_sql() -> str:
+    """The decision follows from the asset. An address on a road (MACHINERY) is no evidence of one, but leaves open whether walkers alone are served."""
+    from ..operators.scope import REASONS as why
+
+    rows = ", ".join(f"({i}, '{a}', '{why[k][0]}', '{why[k][1]}', '{hit.upper()}')" for i, (a, k, hit) in enumerate(_ASSETS))
+    work = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN {len(v) + 4}" for k, v in _WORK.items()) + " END"
+    foot, none = why["on_foot"][1], why["nothing"]
+    seen = f"c_mktsegment = 'MACHINERY' AND reason = '{foot}'"
+    return f"WITH a(i, asset, decision, reason, hit) AS (VALUES {rows}) SELECT o_orderkey, CASE WHEN {seen} THEN '{none[0]}' ELSE decision END AS decision, CASE WHEN {seen} THEN '{none[1]}' ELSE reason END AS reason, CASE WHEN hit <> '' THEN {work} + strpos(upper(strip_accents(replace(asset, '  ', ' '))), hit) END AS first_start, nullif(hit, '') AS first_hit FROM orders JOIN customer ON c_custkey = o_custkey JOIN a ON a.i = (year(o_orderdate) + month(o_orderdate)) % {len(_ASSETS)}"
+
+
+@query("scope_decision", _scope_sql())
+def scope_decision(spark, d):
+    """The decision on each order's description with the evidence that comes first in the text."""
+    out = classify_scope(_descriptions(spark, d), "procedure", "item")
+    first = F.array_min(F.transform("evidence", lambda e: F.struct(e["start"].alias("start"), (-e["stop"]).alias("stop"), e["hit"].alias("hit"))))
+    return out.select("o_orderkey", "decision", "reason", first["start"].alias("first_start"), first["hit"].alias("first_hit"))
+
+
 _CONV = "WITH c AS (SELECT conv_id, turn + 1 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)"
 
 
@@ -66,16 +104,31 @@ def evidence_pages(spark, d):
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.col("no") + 1)), lambda x: x.cast("string")), ",").alias("pages"))
 
 
-_DOC = "WITH s AS (SELECT doc_id, length(text) < 50 AS thin, regexp_matches(lower(text), 'rights reserved|no records') AS zero, len(regexp_extract_all(text, '\\d+')) AS k, regexp_matches(lower(text), 'license') AS typed FROM documents)"
+_KINDS = 9
+#: Documents made of conversations, a page a turn, in the forms that the ladder tells apart: by conv_id % 9 they differ in title, absence statement and numbers.
+_TITLE = {0: "Acta de no formulación de CONSULTAS y/o observaciones", 2: "Pliego de absolución de consultas y observaciones. No se presentaron ninguna consultas ni observaciones", 3: "No se han recibido consultas y observaciones", 4: "Relación de consultas", 7: "x", 8: "Un documento de otra clase, sin registros ni declaración alguna"}
+_LIST = "PLIEGO de absolución de  consultas y observaciones"
+
+
+def _forms(spark, d):
+    """conv_id and pages of each conversation."""
+    k, n = F.col("conv_id") % _KINDS, F.col("turn") + 1
+    number = F.when(k == 5, 2 * n + 1).when(k == 6, n + 100_000).otherwise(n).cast("string")
+    heading = F.when(k == 4, F.concat(F.lit("Consulta: Nro. "), number, F.lit("\n"))).otherwise(F.concat(F.lit("Nro. "), number, F.lit("\n Consulta / OBSERVACIÓN: ")))
+    page = F.when(k.isin(1, 3, 4, 5, 6), F.concat(heading, F.coalesce("text", F.lit("")))).when(k == 8, F.col("text"))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", page.alias("page")))).alias("t"))
+    title = F.coalesce(*(F.when(F.col("conv_id") % _KINDS == i, F.lit(t)) for i, t in _TITLE.items()), F.lit(_LIST))
+    return turns.select("conv_id", F.concat(F.array(title), F.array_compact(F.transform("t", lambda x: x["page"]))).alias("pages"))
+
+
+_DECISION = {0: ("OK", "HIGH", "0"), 1: ("OK", "HIGH", "n"), 2: ("CONTRADICTORY_EVIDENCE", "LOW", "NULL"), 3: ("CONTRADICTORY_EVIDENCE", "LOW", "NULL"), 4: ("DOCUMENT_TYPE_UNCONFIRMED", "LOW", "NULL"), 5: ("NUMBERING_UNRESOLVED", "LOW", "NULL"), 6: ("NUMBERING_UNRESOLVED", "LOW", "NULL"), 7: ("INSUFFICIENT_TEXT", "LOW", "NULL"), 8: ("NO_RECORDS_DETECTED", "LOW", "NULL")}
+_case = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN {v[i] if i == 2 else repr(v[i])}" for k, v in _DECISION.items()) + " END"
 
 
-@query("document_decision", _DOC + " SELECT doc_id, CASE WHEN zero AND k > 0 THEN 'CONTRADICTORY_EVIDENCE' WHEN zero THEN 'OK_ZERO' WHEN thin THEN 'INSUFFICIENT_TEXT' WHEN k > 100 THEN 'NUMBERING_UNRESOLVED' WHEN k > 0 AND NOT typed THEN 'DOCUMENT_TYPE_UNCONFIRMED' WHEN k > 0 THEN 'OK' ELSE 'NO_RECORDS_DETECTED' END AS decision, CASE WHEN k BETWEEN 1 AND 100 AND typed AND NOT zero THEN CAST(k AS INTEGER) WHEN zero AND k = 0 THEN 0 END AS q FROM s")
+@query("document_decision", f"WITH c AS (SELECT conv_id, conv_id % {_KINDS} AS k, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, CAST({_case(2)} AS INTEGER) AS total, {_case(0)} AS status, {_case(1)} AS confidence, CAST(CASE WHEN k IN (1, 3, 4, 5, 6) THEN n ELSE 0 END AS INTEGER) AS headings, CASE k WHEN 1 THEN n WHEN 3 THEN n WHEN 4 THEN n WHEN 5 THEN 2 * n + 1 WHEN 6 THEN 100000 + n END AS largest, coalesce(CASE WHEN k = 5 THEN array_to_string(list_filter(range(1, 2 * n + 1), lambda x: x = 1 OR x % 2 = 0)[1:200], ',') END, '') AS missing, coalesce(CASE WHEN k IN (1, 4, 5, 6) THEN array_to_string(range(2, n + 2), ',') WHEN k = 3 THEN array_to_string(range(1, n + 2), ',') WHEN k IN (0, 2) THEN '1' END, '') AS evidence_pages FROM c")
 def document_decision(spark, d):
-    low = F.lower("text")
-    s = _docs(spark, d).select("doc_id", (F.length("text") < 50).alias("thin"), low.rlike("rights reserved|no records").alias("zero"), F.regexp_count("text", F.lit(r"\d+")).alias("k"), F.contains(low, F.lit("license")).alias("typed"))
-    z, k, typed = F.col("zero"), F.col("k"), F.col("typed")
-    decision = F.when(z & (k > 0), "CONTRADICTORY_EVIDENCE").when(z, "OK_ZERO").when(F.col("thin"), "INSUFFICIENT_TEXT").when(k > 100, "NUMBERING_UNRESOLVED").when((k > 0) & ~typed, "DOCUMENT_TYPE_UNCONFIRMED").when(k > 0, "OK").otherwise("NO_RECORDS_DETECTED")
-    return s.select("doc_id", decision.alias("decision"), F.when(k.between(1, 100) & typed & ~z, k).when(z & (k == 0), F.lit(0)).alias("q"))
+    """Counts of numbered records in documents made of conversations, whose right answer follows from how they are made."""
+    return judge(_forms(spark, d), "pages").select("conv_id", "total", "status", "confidence", "headings", "largest", "missing", "evidence_pages")
 
 
 @query("date_tokens", "WITH t AS (SELECT o_orderkey, 'from ' || strftime(o_orderdate, '%-d/%-m/%Y') || ' 10:30 to ' || strftime(o_orderdate + INTERVAL 9 DAY, '%-d/%-m/%Y') AS s FROM orders) SELECT o_orderkey, len(regexp_extract_all(s, '\\d{1,2}/\\d{1,2}/\\d{4}')) AS dates, CAST(try_strptime(regexp_extract_all(s, '\\d{1,2}/\\d{1,2}/\\d{4}')[1], '%d/%m/%Y') AS DATE) AS first_date, CAST(CAST(try_strptime(regexp_extract_all(s, '\\d{1,2}/\\d{1,2}/\\d{4}')[2], '%d/%m/%Y') AS DATE) - CAST(try_strptime(regexp_extract_all(s, '\\d{1,2}/\\d{1,2}/\\d{4}')[1], '%d/%m/%Y') AS DATE) AS INTEGER) AS days FROM t")

@@ -90,7 +90,7 @@ def test_identifiers_and_dates(spark):
 def test_normal_forms(spark):
     df = spark.createDataFrame([("  Ñandú\n é ",), (None,)], "x string")
     assert [tuple(r) for r in df.select(T.upper_norm(F.col("x")), T.compact(F.col("x"))).collect()] == [("NANDU E", "nandue"), ("", "")]
-    assert df.select(T.fold_any(F.col("x"))).first()[0] == "  Nandu\n e "
+    assert df.select(T.fold(F.col("x"))).first()[0] == "  Nandu\n e "
 
 
 def test_missing_numbers(spark):
