@@ -442,7 +442,9 @@ def similar_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     cells = dissolved(docs, nodes, cells, labels, size, similarity, last)
     pairs = alike(docs, plausible(pairs_across(cells, lambda x, y: meeting(x, y, similarity)), nodes, similarity), size, similarity)
     labels = relabelled(labels, pairs, "simhash-joined").withColumnRenamed("node", "id")
-    return nodes.select("id", "first").join(labels, "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
+    # Sets of nothing are alike and in no cell: they take the empty text's label.
+    own = F.when(F.col("n") == 0, F.xxhash64(F.lit("").cast("binary"))).otherwise(F.col("id"))
+    return nodes.select("id", "first", "n").join(labels, "id", "left").select("id", "first", F.coalesce("label", own).alias("label"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -101,3 +101,10 @@ def test_rows_without_ids_and_repeated_ids(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, id string")
     got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()]
     assert sorted(got, key=str) == sorted([(None, a), (1, b), (1, c), (3, None)], key=str)
+
+
+def test_blank_texts_are_one_group(spark):
+    """Texts without words differ as texts and are alike as sets."""
+    data = [(5, ""), (1, "  "), (2, "\n\t"), (4, None), (None, " "), (3, "one"), (6, "two words"), (7, "one")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [1, 3, 6]
