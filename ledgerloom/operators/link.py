@@ -46,6 +46,33 @@ def one_to_one(df: DataFrame, key: str) -> DataFrame:
     return df.crossJoin(F.broadcast(checked)).filter("_ok").drop("_ok")
 
 
+def join_faults(left: DataFrame, right: DataFrame, keys: list[str], most: tuple[int, int] = (1, 1), covered: bool = True) -> DataFrame:
+    """Keys that break a join's contract, with fault: left_repeated, right_repeated (more rows of the key on that side than allowed; 0: any number), unmatched (a left key that the right side lacks) or null_key (rows without a key)."""
+    sides = [side.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for side, n in ((left, "left_rows"), (right, "right_rows"))]
+    known = sides[0].join(sides[1], keys, "full_outer").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("left_rows", "right_rows")})
+    empty = F.lit(False)
+    for k in keys:
+        empty = empty | F.col(k).isNull()
+    faults = [F.when(empty, F.lit("null_key"))]
+    faults += [F.when(~empty & (F.col(f"{side}_rows") > n), F.lit(f"{side}_repeated")) for side, n in zip(("left", "right"), most, strict=True) if n]
+    if covered:
+        faults.append(F.when(~empty & (F.col("left_rows") > 0) & (F.col("right_rows") == 0), F.lit("unmatched")))
+    return known.withColumn("fault", F.explode(F.array_compact(F.array(*faults)))).select(*keys, "left_rows", "right_rows", "fault")
+
+
+def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: tuple[int, int] = (1, 1), covered: bool = True, told: int = 5) -> DataFrame:
+    """left joined to right; evaluating it fails, naming some of the keys, where the contract of join_faults is broken. The check is part of the plan: one row that every result row has to meet."""
+    faults = join_faults(left, right, keys, most, covered)
+    named = F.concat_ws(",", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys))
+    # The least few names, kept small in every task.
+    worst = faults.select("fault", named.alias("key")).orderBy("fault", "key").limit(told)
+    one = worst.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "fault", "key"))), "; ").alias("what"))
+    fine = one.select(F.assert_true(F.col("n") == 0, F.concat(F.lit("join contract broken: "), F.col("what"))).isNull().alias("_fine"))
+    out = left.join(right, keys, how)
+    # A join without rows would never ask for the check, so an empty side is no excuse for it.
+    return out.join(F.broadcast(fine), F.col("_fine"), "inner").drop("_fine")
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys of one side only, labelled."""
     only = lambda a, b, name: a.select(key).distinct().join(b.select(key), key, "left_anti").withColumn("side", F.lit(name))

@@ -7,6 +7,7 @@ driver has as many rows as the design has columns.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -70,45 +71,131 @@ def linear(columns: list[str], beta) -> Column:
     return out
 
 
-def fit_scaled(df: DataFrame, columns: list[str], scale: list[str], y: str, most: int = 40) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Location and log-scale coefficients, the log likelihood (of ln y) and the steps taken, by Fisher scoring with halving."""
-    ly = F.log(F.col(y))
-    beta, log_sigma = fit_constant(df, columns, y)
-    gamma = np.zeros(len(scale))
-    gamma[0] = log_sigma
-
-    def loglik(b, g) -> float:
-        ls = linear(scale, g)
-        z = (ly - linear(columns, b)) * F.exp(-ls)
-        return float(df.agg(F.sum(-ls - z * z / 2)).first()[0])
-
-    last = loglik(beta, gamma)
-    for step in range(1, most + 1):
-        xx, xy, _, _ = _sums(df, columns, ly, F.exp(-2 * linear(scale, gamma)))
-        new_beta = np.linalg.solve(xx, xy)
-        z2 = F.pow((ly - linear(columns, new_beta)) * F.exp(-linear(scale, gamma)), F.lit(2.0))
-        ww, wr, _, _ = _sums(df, scale, z2 - 1, F.lit(1.0))
-        move = np.linalg.solve(2 * ww, wr)
-        size = 1.0
-        while (now := loglik(new_beta, gamma + size * move)) < last - 1e-9 and size > 1e-4:
-            size /= 2
-        beta, gamma = new_beta, gamma + size * move
-        if abs(now - last) < 1e-9 * max(1.0, abs(last)) and np.abs(move).max() < 1e-7:
-            return beta, gamma, now, step
-        last = now
-    raise RuntimeError("the fit didn't converge")
-
-
-def sandwich(df: DataFrame, columns: list[str], beta, sigma: float, y: str, cluster: str) -> np.ndarray:
-    """Cluster-robust covariance of location coefficients."""
-    xx, _, _, _ = _sums(df, columns, F.lit(0.0), F.lit(1.0))
-    bread = np.linalg.inv(xx / sigma**2)
-    r = (F.log(F.col(y)) - linear(columns, beta)) / sigma**2
-    scores = df.groupBy(cluster).agg(*(F.sum(F.col(c) * r).alias(f"s{i}") for i, c in enumerate(columns)))
-    k = len(columns)
-    one = scores.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(k) for j in range(k)), F.count(F.lit(1))).first()
-    g = one[k * k]
-    return bread @ np.array(one[: k * k], float).reshape(k, k) @ bread * g / (g - 1)
+# Where coefficients may lie (the intercept, then the others), of the location and of the log scale.
+BOUNDS = {"location": ((-20.0, 20.0), (-5.0, 5.0)), "scale": ((-6.0, 4.0), (-3.0, 3.0))}
+#: Shares of a step that a pass tries, how near a bound a maximum may lie, and the gain in log likelihood that counts as none.
+TRIED, INTERIOR, GAIN = (1.0, 0.5, 0.1), 1e-5, 1e-10
+
+
+@dataclass(frozen=True)
+class Fit:
+    """A conditional lognormal model: log y has mean location . beta and log deviation scale . gamma."""
+
+    location: tuple[str, ...]
+    scale: tuple[str, ...]
+    beta: np.ndarray
+    gamma: np.ndarray
+    loglik: float
+    n: int
+    steps: int
+    starts: int
+
+
+def _bounds(k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = [BOUNDS["location"][min(i, 1)] for i in range(k)] + [BOUNDS["scale"][min(i, 1)] for i in range(m)]
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+
+
+def _passed(df: DataFrame, location: list[str], scale: list[str], y: str, points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Minus the log likelihood at each point, its gradient and the expected information, all from one aggregate."""
+    k, m = len(location), len(scale)
+    ly, total, aggs = F.log(F.col(y)), lambda c: F.sum(c), []
+    for theta in points:
+        ls, e = linear(scale, theta[k:]), ly - linear(location, theta[:k])
+        v = F.exp(-2 * ls)
+        aggs += [total(ly + ls + 0.5 * math.log(2 * math.pi) + 0.5 * e * e * v), *(total(-F.col(c) * e * v) for c in location), *(total(F.col(c) * (1 - e * e * v)) for c in scale)]
+        aggs += [total(F.col(location[i]) * F.col(location[j]) * v) for i in range(k) for j in range(i, k)] + [total(2 * F.col(scale[i]) * F.col(scale[j])) for i in range(m) for j in range(i, m)]
+    row, out, each = list(df.agg(*aggs).first()), [], len(aggs) // len(points)
+    for at in range(0, len(row), each):
+        part = iter(row[at : at + each])
+        value, gradient, info = next(part), np.array([next(part) for _ in range(k + m)], float), np.zeros((k + m, k + m))
+        for low, size in ((0, k), (k, m)):
+            for i in range(size):
+                for j in range(i, size):
+                    info[low + i, low + j] = info[low + j, low + i] = next(part)
+        out.append((float(value), gradient, info))
+    return out
+
+
+def fit_scaled(df: DataFrame, location: list[str], scale: list[str], y: str, most: int = 60) -> Fit:
+    """The maximum of the likelihood within BOUNDS, from two starts: least squares, and a location that is the mean alone.
+
+    Each step is one aggregate over the rows, in which both starts try several shares of their
+    scoring step; a step that leaves the box ends at its border. A start counts if its steps
+    gain nothing more and it ends inside; the better of those is the fit. Refused are outcomes
+    that aren't positive, designs that lack rank, and searches that end at a border or not at all.
+    """
+    k, m, ly = len(location), len(scale), F.log(F.col(y))
+    xx, xy, yy, n = _sums(df, location, ly, F.lit(1.0))
+    odd, mean = df.agg(F.count_if(~F.coalesce(F.col(y) > 0, F.lit(False))), F.avg(ly)).first()
+    if odd:
+        raise ValueError("outcomes must be positive")
+    if n <= k + m or np.linalg.matrix_rank(xx) < k:
+        raise ValueError("the design lacks rank")
+    low, high = _bounds(k, m)
+    beta = np.linalg.solve(xx, xy)
+    spread = 0.5 * math.log(max((yy - 2 * beta @ xy + beta @ xx @ beta) / n, 0.05**2))
+    flat = np.r_[mean, np.zeros(k - 1)]
+    held = lambda t: np.clip(t, low + 1e-4, high - 1e-4)
+    at = [held(np.r_[b, spread, np.zeros(m - 1)]) for b in (beta, flat)]
+    # What a scoring step would gain: half of the squared length of the gradient, measured by the information.
+    gain = lambda x: abs(x[1] @ np.linalg.lstsq(x[2], x[1], rcond=None)[0]) / 2
+    now = _passed(df, location, scale, y, at)
+    done, steps = [False, False], 0
+    while not all(done) and steps < most:
+        steps += 1
+        tries = []
+        for i, (_, gradient, info) in enumerate(now):
+            if not done[i]:
+                move = np.linalg.lstsq(info, -gradient, rcond=None)[0]
+                tries += [(i, np.clip(at[i] + share * move, low, high)) for share in TRIED]
+        found = _passed(df, location, scale, y, [t for _, t in tries])
+        for i in range(2):
+            best = min(((f[0], j) for j, ((s, _), f) in enumerate(zip(tries, found, strict=True)) if s == i and math.isfinite(f[0])), default=None)
+            if done[i] or best is None:
+                done[i] = True
+                continue
+            value, j = best
+            # Values are sums over all rows, known to their rounding; the gradient tells when to end.
+            stuck = value > now[i][0] + 1e-12 * abs(value) or np.allclose(tries[j][1], at[i], rtol=0, atol=1e-13)
+            if not stuck:
+                at[i], now[i] = tries[j][1], found[j]
+            done[i] = stuck or gain(now[i]) <= GAIN
+    still = [gain(x) <= 100 * GAIN for x in now]
+    good = [i for i in range(2) if done[i] and still[i] and (at[i] > low + INTERIOR).all() and (at[i] < high - INTERIOR).all()]
+    if not good:
+        raise RuntimeError("no start ends inside the bounds")
+    best = min(good, key=lambda i: now[i][0])
+    return Fit(tuple(location), tuple(scale), at[best][:k], at[best][k:], -now[best][0], n, steps, len(good))
+
+
+def sandwich(df: DataFrame, fit: Fit, y: str, cluster: str) -> tuple[np.ndarray, int]:
+    """Cluster-robust covariance of location and scale coefficients together, and the number of clusters.
+
+    The bread is the observed information, with the terms that join location and scale; the
+    meat is of whole clusters' scores. One aggregate gives the one, a sum by cluster the other.
+    """
+    names = [*fit.location, *fit.scale]
+    k, p = len(fit.location), len(names)
+    ls, e = linear(list(fit.scale), fit.gamma), F.log(F.col(y)) - linear(list(fit.location), fit.beta)
+    v = F.exp(-2 * ls)
+    weight = lambda i, j: v if j < k else 2 * e * v if i < k else 2 * e * e * v
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    info = np.zeros((p, p))
+    for (i, j), x in zip(pairs, df.agg(*(F.sum(F.col(names[i]) * F.col(names[j]) * weight(i, j)) for i, j in pairs)).first(), strict=True):
+        info[i, j] = info[j, i] = x
+    if np.linalg.matrix_rank(info) < p:
+        raise ValueError("the information lacks rank")
+    score = lambda i: F.col(names[i]) * (e * v if i < k else e * e * v - 1)
+    sums = df.groupBy(cluster).agg(*(F.sum(score(i)).alias(f"s{i}") for i in range(p)))
+    row = sums.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i, j in pairs), F.count(F.lit(1))).first()
+    meat, g = np.zeros((p, p)), row[len(pairs)]
+    for (i, j), x in zip(pairs, row, strict=False):
+        meat[i, j] = meat[j, i] = x
+    if g < 2:
+        raise ValueError("one cluster has no spread")
+    bread = np.linalg.inv(info)
+    return bread @ meat @ bread * g / (g - 1), g
 
 
 def forecasts(df: DataFrame, mu: Column, sigma: Column, y: str) -> DataFrame:

@@ -188,26 +188,45 @@ def fold_assignment(spark, d):
     return spark.createDataFrame(sorted(groups.folds(sizes, FOLDS).items()), "entity string, fold int")
 
 
-@query("fisher_scoring_fit")
+#: The same maximum by scoring as a recursion: each turn is a scan that sums what two systems of two equations need.
+_SCORING_SQL = f"""{COV_SQL}, d AS (SELECT zq AS z, ln(total) AS y FROM cov), w AS (SELECT count(*) AS n, sum(z) AS s1, sum(z * z) AS s2, avg(y) AS m, ln(stddev_pop(y)) AS s FROM d),
+it AS (SELECT 0 AS turn, m AS b0, CAST(0 AS DOUBLE) AS b1, s AS g0, CAST(0 AS DOUBLE) AS g1 FROM w UNION ALL
+ SELECT turn + 1, (c2 * t0 - c1 * t1) / (c0 * c2 - c1 * c1), (c0 * t1 - c1 * t0) / (c0 * c2 - c1 * c1), g0 + (w.s2 * r0 - w.s1 * r1) / (2 * (w.n * w.s2 - w.s1 * w.s1)), g1 + (w.n * r1 - w.s1 * r0) / (2 * (w.n * w.s2 - w.s1 * w.s1))
+ FROM (SELECT turn, b0, b1, g0, g1, sum(v) AS c0, sum(v * z) AS c1, sum(v * z * z) AS c2, sum(v * y) AS t0, sum(v * z * y) AS t1, sum(e * e * v - 1) AS r0, sum((e * e * v - 1) * z) AS r1
+  FROM (SELECT it.*, d.z, d.y, exp(-2 * (g0 + g1 * z)) AS v, y - b0 - b1 * z AS e FROM it, d WHERE turn < 60) GROUP BY turn, b0, b1, g0, g1), w)
+SELECT {_r('b0', 'b0')}, {_r('b1', 'b1')}, {_r('g0', 'g0')}, {_r('g1', 'g1')}, round(-sum(y + g0 + g1 * z + 0.5 * ln(2 * pi()) + 0.5 * pow((y - b0 - b1 * z) * exp(-(g0 + g1 * z)), 2)), 3) AS loglik, count(*) AS n FROM it, d WHERE turn = 60 GROUP BY b0, b1, g0, g1"""
+
+
+def _totals_for(spark, d, cols):
+    """The design, read in every pass of a fit: held where it fits, in memory or on disk."""
+    return _cov(spark, d).select(*cols, "entity", F.col("total").cast("double").alias("total")).persist()
+
+
+@query("fisher_scoring_fit", _SCORING_SQL.replace("WITH ", "WITH RECURSIVE ", 1))
 def fisher_scoring_fit(spark, d):
-    """M1 with a scale that depends on zq."""
-    rows = _cov(spark, d).select("one", "zq", F.col("total").cast("double").alias("total")).persist()
-    beta, gamma, loglik, steps = model.fit_scaled(rows, ["one", "zq"], ["one", "zq"], "total")
-    rows.unpersist()
-    return spark.createDataFrame([(*map(float, (*beta, *gamma)), float(loglik), int(steps))], "b0 double, b1 double, g0 double, g1 double, loglik double, steps int")
+    """M1 with a scale that depends on zq, from two starts within bounds."""
+    rows = _totals_for(spark, d, ["one", "zq"])
+    try:
+        fit = model.fit_scaled(rows, ["one", "zq"], ["one", "zq"], "total")
+    finally:
+        rows.unpersist()
+    values = (*(round(float(x), 6) for x in (*fit.beta, *fit.gamma)), round(fit.loglik, 3), fit.n)
+    return spark.createDataFrame([values], "b0 double, b1 double, g0 double, g1 double, loglik double, n long")
 
 
 @query("cluster_sandwich")
 def cluster_sandwich(spark, d):
-    """Standard errors of M4's location coefficients, robust to entities."""
-    import math
-
-    cols = model.DESIGNS["M4"]
-    rows = _cov(spark, d).select(*cols, "entity", F.col("total").cast("double").alias("total")).persist()
-    beta, log_sigma = model.fit_constant(rows, cols, "total")
-    cov = model.sandwich(rows, cols, beta, math.exp(log_sigma), "total", "entity")
-    rows.unpersist()
-    return spark.createDataFrame([(c, float(b), float(math.sqrt(v))) for c, b, v in zip(cols, beta, cov.diagonal(), strict=True)], "term string, estimate double, robust_se double")
+    """M4's location and scale coefficients with standard errors that are robust to entities."""
+    cols, scale = model.DESIGNS["M4"], ["one", "zq"]
+    rows = _totals_for(spark, d, cols)
+    try:
+        fit = model.fit_scaled(rows, cols, scale, "total")
+        cov, g = model.sandwich(rows, fit, "total", "entity")
+    finally:
+        rows.unpersist()
+    names = [("location", c) for c in cols] + [("scale", c) for c in scale]
+    values = zip(names, (*fit.beta, *fit.gamma), cov.diagonal(), strict=True)
+    return spark.createDataFrame([(part, c, float(x), float(v) ** 0.5, g) for (part, c), x, v in values], "part string, term string, estimate double, robust_se double, clusters long")
 
 
 @query("nested_selection")

@@ -186,3 +186,27 @@ def allowed_categories(spark, d):
 def formula_escape(spark, d):
     v = F.when(F.col("doc_id") % 4 == 0, "=1+1").when(F.col("doc_id") % 4 == 1, "@name").when(F.col("doc_id") % 4 == 2, "-5").otherwise("plain")
     return table(spark, d, "documents").select("doc_id", T.escaped(v).alias("v"))
+
+
+_CHECKED = "SELECT o_orderkey, o_custkey, c_mktsegment, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"
+
+
+@query("checked_join", _CHECKED)
+def checked_join(spark, d):
+    """Orders with their customers, many to one, and these with their nations; both joins are checked as they run: no key twice on the right, none on the left without its row."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey")
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    both = link.checked_join(orders, customers, ["o_custkey"], most=(0, 1))
+    return link.checked_join(both, nations, ["c_nationkey"], most=(0, 1)).select("o_orderkey", "o_custkey", "c_mktsegment", "n_name")
+
+
+_FAULTS = "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, count(*) AS a FROM lineitem GROUP BY ALL), o AS (SELECT o_orderkey AS k, 1 AS n, count(*) AS b FROM orders GROUP BY ALL), j AS (SELECT coalesce(l.k, o.k) AS order_key, coalesce(l.n, o.n) AS line, coalesce(a, 0) AS left_rows, coalesce(b, 0) AS right_rows FROM l FULL JOIN o ON l.k = o.k AND l.n = o.n) SELECT *, 'left_repeated' AS fault FROM j WHERE left_rows > 1 UNION ALL SELECT *, 'unmatched' FROM j WHERE left_rows > 0 AND right_rows = 0"
+
+
+@query("join_faults", _FAULTS)
+def join_faults(spark, d):
+    """What a one-to-one join of lines to the first line that each order should have would break: repeated lines, and lines that aren't the first."""
+    lines_ = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"))
+    firsts = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_key"), F.lit(1).alias("line"))
+    return link.join_faults(lines_, firsts, ["order_key", "line"])

@@ -147,8 +147,8 @@ def test_draws_do_not_depend_on_partitions(spark):
 def test_constant_scale_fit_is_least_squares(spark):
     rows = spark.createDataFrame([(1.0, float(z), math.exp(1 + 0.5 * z + e)) for z, e in zip(range(-3, 4), (0.1, -0.1, 0, 0.2, -0.2, 0.1, -0.1), strict=True)], "one double, zq double, y double")
     beta, log_sigma = model.fit_constant(rows, ["one", "zq"], "y")
-    b2, g, _, _ = model.fit_scaled(rows, ["one", "zq"], ["one"], "y")
-    assert beta == pytest.approx(b2, abs=1e-6) and log_sigma == pytest.approx(g[0], abs=1e-5)
+    fit = model.fit_scaled(rows, ["one", "zq"], ["one"], "y")
+    assert beta == pytest.approx(fit.beta, abs=1e-6) and log_sigma == pytest.approx(fit.gamma[0], abs=1e-5)
 
 
 def test_forecast_tails(spark):
