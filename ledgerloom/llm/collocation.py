@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches, lean, pin, read, utf8
 
-#: Words after which a shard ends, and bytes of the filter between levels.
-SHARD, BLOOM = 2_000_000, 8 << 20
+#: Words after which a shard ends, bytes of the filter between levels, and of a page of it.
+SHARD, BLOOM, PAGE = 1_000_000, 8 << 20, 16 << 10
 #: Bits of the filter that a phrase sets.
 PROBES = 4
 #: Rows of an Arrow batch of counts.
@@ -134,15 +134,18 @@ def phrase_hashes(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def places(hashes: np.ndarray) -> np.ndarray:
-    """The bits of the filter, PROBES for each hash."""
+def places(hashes: np.ndarray, probe: int) -> np.ndarray:
+    """A bit of the filter for each hash; there are PROBES."""
     step = _mixed(hashes) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) % np.uint64(8 * BLOOM) for i in range(PROBES)])
+    return (hashes + np.uint64(probe) * step) % np.uint64(8 * BLOOM)
 
 
 def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = places(hashes)
-    return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+    out = np.ones(len(hashes), bool)
+    for probe in range(PROBES):
+        at = places(hashes, probe)
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def shards(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -213,18 +216,39 @@ def counted(parts: DataFrame, length: int, bits: bytes | None) -> DataFrame:
 
 
 def bloom(phrases: DataFrame) -> bytes:
-    """A filter of (lang, phrase). Its pieces come to the driver as one row for each 64 bits that aren't zero, BLOOM / 8 at most."""
+    """A filter of (lang, phrase). A task sends the pages in which it has set bits, packed; they are united page by page, and BLOOM / PAGE pages come to the driver."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        bits = np.zeros(8 * BLOOM, bool)
         for b in batches:
-            if b.num_rows:
-                found = [word_hashes(lang, p.encode().split(b" ")) for lang, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-                at = np.unique(places(phrase_hashes(list(np.stack(found).T))))
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["at", "bits"])
-
-    found = phrases.select("lang", "phrase").mapInArrow(lean(put), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(BLOOM // 8, np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+            by: dict[int, list[np.ndarray]] = {}
+            for lang, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = word_hashes(lang, p.encode().split(b" "))
+                by.setdefault(len(words), []).append(words)
+            for found in by.values():
+                hashes = phrase_hashes(list(np.stack(found).T))
+                for probe in range(PROBES):
+                    bits[places(hashes, probe)] = True
+        pages = bits.reshape(-1, 8 * PAGE)
+        met = np.flatnonzero(pages.any(axis=1))
+        packed = [zstandard.compress(np.packbits(pages[i], bitorder="little").tobytes()) for i in met]
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(packed, pa.binary())], ["page", "bits"])
+
+    def unite(t: pa.Table) -> pa.Table:
+        import zstandard
+
+        out = np.zeros(PAGE, np.uint8)
+        for x in t["bits"]:
+            out |= np.frombuffer(zstandard.decompress(x.as_py()), np.uint8)
+        return pa.table({"page": t["page"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    schema = "page long, bits binary"
+    pages = phrases.select("lang", "phrase").mapInArrow(lean(put), schema).groupBy("page").applyInArrow(unite, schema).collect()
+    out = np.zeros((BLOOM // PAGE, PAGE), np.uint8)
+    for r in pages:
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
     return out.tobytes()
 
 
