@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,10 +39,54 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
-    """Groups by size, largest first (ties by name), each to the fold with the fewest rows so far (ties: the first). A running state: for some thousands of groups, on the driver."""
-    load, out = [0] * k, {}
-    for name, n in sorted(sizes, key=lambda g: (-g[1], g[0])):
-        at = min(range(k), key=lambda f: (load[f], f))
-        out[name], load[at] = at, load[at] + n
-    return out
+def _turns(loads: list[int], size: int, n: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """How n groups of one size go to the least loaded folds, one after another, and the loads after that.
+
+    A fold takes its j-th group at load + j * size, so the groups go through all folds' loads in
+    ascending order. These are levels of `size` above the smallest load: a fold takes part from
+    the level that its load has reached, and within a level folds come in the order of what
+    their load is above it. So between two such levels folds take turns, and a turn's order is
+    told by its first group's rank.
+    """
+    low = min(loads)
+    since, over = [(x - low) // size for x in loads], [(x - low) % size for x in loads]
+    levels, start, turns, out = sorted(set(since)), 0, [], loads[:]
+    for i, level in enumerate(levels):
+        if start >= n:
+            break
+        order = sorted((f for f in range(len(loads)) if since[f] <= level), key=lambda f: (over[f], f))
+        left = n - start
+        here = min(left, len(order) * (levels[i + 1] - level)) if i + 1 < len(levels) else left
+        turns.append((start, order))
+        for place, f in enumerate(order):
+            out[f] += size * (here // len(order) + (place < here % len(order)))
+        start += here
+    return turns, out
+
+
+def balanced_folds(sizes: DataFrame, k: int) -> DataFrame:
+    """fold of each group (name, size): groups by size, largest first (ties by name), each to the fold with the fewest rows so far (ties: the first).
+
+    Equal to placing groups one by one, but the running state goes over sizes: the driver holds a
+    row for each different size, of which n rows in groups have at most sqrt(2 n). A group's
+    rank is that of its range, sorted, and its place there.
+    """
+    spark = sizes.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = (F.desc("size"), F.asc("name"))
+    near = sizes.select("name", F.col("size").cast("long").alias("size")).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # Ranges are those of one run: what is counted and what is joined must be the same.
+    near = cut(near.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = near.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    loads, first, rows = [0] * k, 0, []
+    for r in near.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect():
+        turns, loads = _turns(loads, r["size"], r["n"])
+        rows.append((r["size"], first, turns))
+        first += r["n"]
+    classes = spark.createDataFrame(rows, "size long, _first long, _turns array<struct<start:long,folds:array<int>>>")
+    # A row for each range, as many as there are partitions.
+    ranked = near.join(F.broadcast(offsets), "_range").join(classes, "size").withColumn("_rank", F.col("_before") + F.col("_at") - F.col("_first"))
+    turn = F.element_at(F.filter("_turns", lambda t: t["start"] <= F.col("_rank")), -1)
+    at = (F.col("_rank") - turn["start"]) % F.size(turn["folds"])
+    return ranked.select("name", "size", F.element_at(turn["folds"], (at + 1).cast("int")).alias("fold"))

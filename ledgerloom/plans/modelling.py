@@ -181,11 +181,19 @@ def component_sizes(spark, d):
     return z.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("fold_assignment")
+#: One group after another, as a recursion over their order.
+_FOLDS_SQL = COHORT_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT CAST(entity AS VARCHAR) AS entity, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(entity AS VARCHAR)) AS r FROM cohort GROUP BY 1),
+s(r, a, b, c, entity, n, fold) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(NULL AS INTEGER) UNION ALL
+ SELECT r, a + CASE WHEN f = 0 THEN n ELSE 0 END, b + CASE WHEN f = 1 THEN n ELSE 0 END, c + CASE WHEN f = 2 THEN n ELSE 0 END, entity, n, f
+ FROM (SELECT g.r, s.a, s.b, s.c, g.entity, g.n, CASE WHEN s.a <= s.b AND s.a <= s.c THEN 0 WHEN s.b <= s.c THEN 1 ELSE 2 END AS f FROM s JOIN g ON g.r = s.r + 1))
+SELECT entity, fold FROM s WHERE r > 0"""
+
+
+@query("fold_assignment", _FOLDS_SQL)
 def fold_assignment(spark, d):
-    """Entities to three folds, larger entities first; a greedy running state over some thousands of groups."""
-    sizes = [(str(r["entity"]), r["n"]) for r in cohort(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n")).collect()]
-    return spark.createDataFrame(sorted(groups.folds(sizes, FOLDS).items()), "entity string, fold int")
+    """Entities to three folds, larger entities first, each to the fold with the fewest rows."""
+    sizes = cohort(spark, d).groupBy(F.col("entity").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("size"))
+    return groups.balanced_folds(sizes, FOLDS).select(F.col("name").alias("entity"), "fold")
 
 
 #: The same maximum by scoring as a recursion: each turn is a scan that sums what two systems of two equations need.

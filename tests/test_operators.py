@@ -105,9 +105,24 @@ def test_components(spark):
     assert groups.components(edges.limit(0)).count() == 0
 
 
-def test_folds_are_balanced_and_whole():
-    got = groups.folds([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2)
-    assert got == {"a": 0, "b": 1, "c": 1, "d": 0}
+def in_turn(sizes, k):
+    """Groups one by one, as the definition has it."""
+    load, out = [0] * k, {}
+    for name, n in sorted(sizes, key=lambda g: (-g[1], g[0])):
+        at = min(range(k), key=lambda f: (load[f], f))
+        out[name], load[at] = at, load[at] + n
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7])
+def test_folds_are_those_of_one_group_after_another(spark, k):
+    import random
+
+    rng = random.Random(k)
+    for sizes in ([("a", 5), ("b", 4), ("c", 3), ("d", 3)], [(f"g{i}", rng.choice([1, 1, 1, 2, 3, 50, 1000])) for i in range(300)], [(f"é{i}", 1 + i % 5) for i in range(64)]):
+        df = spark.createDataFrame(sizes, "name string, size int").repartition(5)
+        assert {r["name"]: r["fold"] for r in groups.balanced_folds(df, k).collect()} == in_turn(sizes, k)
+    assert groups.balanced_folds(df.limit(0), k).count() == 0
 
 
 def test_quantiles_of_distributions():
