@@ -94,6 +94,7 @@ def record_completeness(spark, d):
 
 @query("missing_numbers", f"{_CONV}, g AS (SELECT conv_id, list(n) AS ns, max(n) AS top FROM c GROUP BY 1) SELECT conv_id, coalesce(array_to_string(list_sort(list_filter(range(1, top + 1), lambda x: NOT list_contains(ns, x))), ','), '') AS missing FROM g")
 def missing_numbers(spark, d):
+    """Numbers that a conversation lacks below its largest; as the rule has it, the first 200 of them and none where the largest is over 100,000."""
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set((F.col("turn") + 1).cast("int")).alias("found"))
     return c.select("conv_id", F.array_join(T.missing_numbers(F.col("found")), ",").alias("missing"))
 
