@@ -117,13 +117,64 @@ def _passed(df: DataFrame, location: list[str], scale: list[str], y: str, points
     return out
 
 
+class Search:
+    """One start's way to a maximum of the likelihood within a box: each turn tries several shares of a scoring step."""
+
+    def __init__(self, start: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.low, self.high = low, high
+        self.at, self.now, self.done = np.clip(start, low + 1e-4, high - 1e-4), None, False
+
+    def gain(self) -> float:
+        """What a scoring step would gain: half of the squared length of the gradient, measured by the information."""
+        _, gradient, info = self.now
+        return abs(gradient @ np.linalg.lstsq(info, gradient, rcond=None)[0]) / 2
+
+    def tries(self) -> list[np.ndarray]:
+        if self.done or self.now is None:
+            return [] if self.done else [self.at]
+        _, gradient, info = self.now
+        move = np.linalg.lstsq(info, -gradient, rcond=None)[0]
+        return [np.clip(self.at + share * move, self.low, self.high) for share in TRIED]
+
+    def take(self, tried: list[np.ndarray], found: list[tuple[float, np.ndarray, np.ndarray]]) -> None:
+        sound = [j for j, f in enumerate(found) if all(np.isfinite(x).all() for x in f)]
+        if not sound:
+            self.done = True
+            return
+        j = min(sound, key=lambda j: found[j][0])
+        first, value = self.now is None, found[j][0]
+        # Values are sums over all rows, known to their rounding; the gradient tells when to end.
+        stuck = not first and (value > self.now[0] + 1e-12 * abs(value) or np.allclose(tried[j], self.at, rtol=0, atol=1e-13))
+        if not stuck:
+            self.at, self.now = tried[j], found[j]
+        self.done = stuck or self.gain() <= GAIN
+
+    def good(self) -> bool:
+        inside = (self.at > self.low + INTERIOR).all() and (self.at < self.high - INTERIOR).all()
+        return self.done and self.now is not None and bool(inside) and self.gain() <= 100 * GAIN
+
+
+def starts(beta: np.ndarray, rss: float, n: int, mean: float, scales: int) -> list[Search]:
+    """Two starts: least squares, and a location that is the mean alone."""
+    k, spread = len(beta), 0.5 * math.log(max(rss / n, 0.05**2))
+    low, high = _bounds(k, scales)
+    return [Search(np.r_[b, spread, np.zeros(scales - 1)], low, high) for b in (beta, np.r_[mean, np.zeros(k - 1)])]
+
+
+def best_of(searches: list[Search]) -> tuple[Search, int]:
+    """The better of the starts that gain nothing more and end inside the box, and how many do."""
+    good = [s for s in searches if s.good()]
+    if not good:
+        raise RuntimeError("no start ends inside the bounds")
+    return min(good, key=lambda s: s.now[0]), len(good)
+
+
 def fit_scaled(df: DataFrame, location: list[str], scale: list[str], y: str, most: int = 60) -> Fit:
-    """The maximum of the likelihood within BOUNDS, from two starts: least squares, and a location that is the mean alone.
+    """The maximum of the likelihood within BOUNDS, from two starts.
 
     Each step is one aggregate over the rows, in which both starts try several shares of their
-    scoring step; a step that leaves the box ends at its border. A start counts if its steps
-    gain nothing more and it ends inside; the better of those is the fit. Refused are outcomes
-    that aren't positive, designs that lack rank, and searches that end at a border or not at all.
+    scoring step; a step that leaves the box ends at its border. Refused are outcomes that
+    aren't positive, designs that lack rank, and searches that end at a border or not at all.
     """
     k, m, ly = len(location), len(scale), F.log(F.col(y))
     xx, xy, yy, n = _sums(df, location, ly, F.lit(1.0))
@@ -132,41 +183,16 @@ def fit_scaled(df: DataFrame, location: list[str], scale: list[str], y: str, mos
         raise ValueError("outcomes must be positive")
     if n <= k + m or np.linalg.matrix_rank(xx) < k:
         raise ValueError("the design lacks rank")
-    low, high = _bounds(k, m)
     beta = np.linalg.solve(xx, xy)
-    spread = 0.5 * math.log(max((yy - 2 * beta @ xy + beta @ xx @ beta) / n, 0.05**2))
-    flat = np.r_[mean, np.zeros(k - 1)]
-    held = lambda t: np.clip(t, low + 1e-4, high - 1e-4)
-    at = [held(np.r_[b, spread, np.zeros(m - 1)]) for b in (beta, flat)]
-    # What a scoring step would gain: half of the squared length of the gradient, measured by the information.
-    gain = lambda x: abs(x[1] @ np.linalg.lstsq(x[2], x[1], rcond=None)[0]) / 2
-    now = _passed(df, location, scale, y, at)
-    done, steps = [False, False], 0
-    while not all(done) and steps < most:
+    searches, steps = starts(beta, yy - 2 * beta @ xy + beta @ xx @ beta, n, mean, m), -1
+    while steps < most and any(tries := [s.tries() for s in searches]):
         steps += 1
-        tries = []
-        for i, (_, gradient, info) in enumerate(now):
-            if not done[i]:
-                move = np.linalg.lstsq(info, -gradient, rcond=None)[0]
-                tries += [(i, np.clip(at[i] + share * move, low, high)) for share in TRIED]
-        found = _passed(df, location, scale, y, [t for _, t in tries])
-        for i in range(2):
-            best = min(((f[0], j) for j, ((s, _), f) in enumerate(zip(tries, found, strict=True)) if s == i and math.isfinite(f[0])), default=None)
-            if done[i] or best is None:
-                done[i] = True
-                continue
-            value, j = best
-            # Values are sums over all rows, known to their rounding; the gradient tells when to end.
-            stuck = value > now[i][0] + 1e-12 * abs(value) or np.allclose(tries[j][1], at[i], rtol=0, atol=1e-13)
-            if not stuck:
-                at[i], now[i] = tries[j][1], found[j]
-            done[i] = stuck or gain(now[i]) <= GAIN
-    still = [gain(x) <= 100 * GAIN for x in now]
-    good = [i for i in range(2) if done[i] and still[i] and (at[i] > low + INTERIOR).all() and (at[i] < high - INTERIOR).all()]
-    if not good:
-        raise RuntimeError("no start ends inside the bounds")
-    best = min(good, key=lambda i: now[i][0])
-    return Fit(tuple(location), tuple(scale), at[best][:k], at[best][k:], -now[best][0], n, steps, len(good))
+        found = iter(_passed(df, location, scale, y, [t for ts in tries for t in ts]))
+        for s, ts in zip(searches, tries, strict=True):
+            if ts:
+                s.take(ts, [next(found) for _ in ts])
+    best, good = best_of(searches)
+    return Fit(tuple(location), tuple(scale), best.at[:k], best.at[k:], -best.now[0], n, steps, good)
 
 
 def sandwich(df: DataFrame, fit: Fit, y: str, cluster: str) -> tuple[np.ndarray, int]:

@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from ..operators import groups, model
+from ..operators import groups, model, nested
 from ..operators.assoc import pearson
 from ..operators.describe import rounded
 from ..sources.tables import table
@@ -237,36 +237,30 @@ def cluster_sandwich(spark, d):
     return spark.createDataFrame([(part, c, float(x), float(v) ** 0.5, g) for (part, c), x, v in values], "part string, term string, estimate double, robust_se double, clusters long")
 
 
+def _selected(spark, d) -> nested.Selection:
+    """Outer and inner folds by entity; what comes out has a row for each context and model."""
+    folds = {"outer": (F.col("entity") % FOLDS).cast("int"), "inner": (F.floor(F.col("entity") / FOLDS) % FOLDS).cast("int")}
+    return nested.select(cohort(spark, d).withColumns(folds), "outer", "inner", "entity", "total", FOLDS)
+
+
+def _frame(spark, rows: list[dict], schema: str):
+    return spark.createDataFrame([tuple(round(x, 6) if isinstance(x, float) else x for x in r.values()) for r in rows], schema)
+
+
 @query("nested_selection")
 def nested_selection(spark, d):
-    """Outer folds by entity; inside each, inner folds compare M1 to M4 by mean log score. The simplest model within one paired cluster standard error of the best is taken."""
-    import math
-
-    base = cohort(spark, d).withColumn("outer", (F.col("entity") % FOLDS).cast("int")).withColumn("inner", (F.floor(F.col("entity") / FOLDS) % FOLDS).cast("int")).persist()
-    out = []
-    for o in range(FOLDS):
-        train = base.filter(F.col("outer") != o)
-        parts = []
-        for i in range(FOLDS):
-            rows = model.covariates(train, F.col("inner") != i)
-            held = rows.filter(F.col("inner") == i)
-            for name in ("M1", "M2", "M3", "M4"):
-                beta, log_sigma = model.fit_constant(rows.filter(F.col("inner") != i), model.DESIGNS[name], "total")
-                scored = model.forecasts(held, model.linear(model.DESIGNS[name], beta), F.lit(math.exp(log_sigma)), "total")
-                parts.append(scored.select(F.lit(name).alias("model"), "procedure_code", "entity", "log_score"))
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        wide = every.groupBy("procedure_code", "entity").pivot("model", ["M1", "M2", "M3", "M4"]).agg(F.first("log_score")).persist()
-        means = wide.agg(*(F.avg(m).alias(m) for m in ("M1", "M2", "M3", "M4"))).first().asDict()
-        best = max(means, key=lambda m: (means[m], m))
-        chosen = best
-        for name in sorted(means, key=lambda m: (len(model.DESIGNS[m]), -means[m], m)):
-            gap = model.cluster_difference(wide.select("entity", (F.col(best) - F.col(name)).alias("gap")), "gap", "entity").first()
-            if name == best or means[best] - means[name] <= (gap["se"] or 0.0):
-                chosen = name
-                break
-        wide.unpersist()
-        out.append((o, best, chosen, *(float(means[m]) for m in ("M1", "M2", "M3", "M4"))))
-    base.unpersist()
-    return spark.createDataFrame(out, "outer int, best string, chosen string, m1 double, m2 double, m3 double, m4 double")
+    """The trail of selections: of each outer fold's training rows, and of all rows for application."""
+    return _frame(spark, _selected(spark, d).audit, "context string, model string, best string, log_score double, tolerance double, competitive boolean, guarded boolean, parameters int, selected boolean, fallback boolean")
+
+
+@query("model_contrasts")
+def model_contrasts(spark, d):
+    """Paired gains in log score on outer held-out rows: covariates added one by one, and models without q."""
+    return _frame(spark, _selected(spark, d).contrasts, "left string, right string, gain double, cluster_se double, low double, high double, n long, clusters long")
+
+
+@query("nested_metrics")
+def nested_metrics(spark, d):
+    """Scores of all models, ablations and the selected ones on outer held-out rows."""
+    columns = ("log_score", "mae", "macro_mae", "observed", "predicted", "bias_pct", "coverage", "below", "above")
+    return _frame(spark, _selected(spark, d).metrics, "model string, n long, clusters long, " + ", ".join(f"{c} double" for c in columns))
