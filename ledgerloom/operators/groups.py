@@ -39,6 +39,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+def family_links(rows: DataFrame, families: DataFrame, key: str, node: str) -> DataFrame:
+    """Edges (a, b) between the nodes of records that are known to be one family: families holds pairs of keys (left, right). Pairs of which a record is missing link nothing."""
+    side = lambda name, end: rows.select(F.col(key).alias(name), F.col(node).alias(end))
+    return families.select("left", "right").join(side("left", "a"), "left").join(side("right", "b"), "right").select("a", "b").distinct()
+
+
 def _turns(loads: list[int], size: int, n: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
     """How n groups of one size go to the least loaded folds, one after another, and the loads after that.
 

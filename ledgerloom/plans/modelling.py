@@ -181,6 +181,28 @@ def component_sizes(spark, d):
     return z.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The four longest records, two and two, are known to be families.
+_FAMILY_SQL = COHORT_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, j AS MATERIALIZED (SELECT procedure_code, total, 'ENTITY_' || CAST(entity AS VARCHAR) AS a, 'PROJECT_' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'cui:' || CAST(procedure_code // 4 AS VARCHAR) ELSE 'text:' || CAST(entity AS VARCHAR) END AS b FROM cohort JOIN orders ON o_orderkey = procedure_code),
+f AS MATERIALIZED (SELECT a, row_number() OVER (ORDER BY total DESC, procedure_code) AS place FROM j QUALIFY place <= 4),
+e AS MATERIALIZED (SELECT DISTINCT a, b FROM j UNION SELECT x.a, y.a FROM f x JOIN f y ON y.place = x.place + 1 WHERE x.place IN (1, 3)),
+r(node, seen) AS (SELECT a, a FROM e UNION SELECT b, b FROM e UNION SELECT r.node, y.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) y ON y.a = r.seen),
+p AS (SELECT node, min(seen) AS component FROM r GROUP BY 1), z AS (SELECT component, count(*) AS entities FROM p WHERE node LIKE 'ENTITY_%' GROUP BY 1)
+SELECT node AS entity, component, entities FROM p JOIN z USING (component) WHERE node LIKE 'ENTITY_%'"""
+
+
+@query("dependency_groups", _FAMILY_SQL)
+def dependency_groups(spark, d):
+    """Entities that share projects, and those of records that are known to be families, by the name of the first; with the number of entities."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("procedure_code"), "o_orderpriority")
+    project = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("cui:"), F.floor(F.col("procedure_code") / 4).cast("string"))).otherwise(F.concat(F.lit("text:"), F.col("entity").cast("string")))
+    rows = cohort(spark, d).join(orders, "procedure_code").select("procedure_code", "total", F.concat(F.lit("ENTITY_"), F.col("entity").cast("string")).alias("a"), F.concat(F.lit("PROJECT_"), project).alias("b"))
+    top = rows.orderBy(F.desc("total"), "procedure_code").limit(4).agg(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("t"), "procedure_code")))["procedure_code"].alias("k"))
+    families = top.select(F.inline(F.array(*(F.struct(F.col("k")[i].alias("left"), F.col("k")[i + 1].alias("right")) for i in (0, 2)))))
+    found = groups.components(rows.select("a", "b").unionByName(groups.family_links(rows, families, "procedure_code", "a"))).filter(F.col("node").startswith("ENTITY_"))
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("entities"))
+    return found.join(sizes, "component").select(F.col("node").alias("entity"), "component", "entities")
+
+
 #: One group after another, as a recursion over their order.
 _FOLDS_SQL = COHORT_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT CAST(entity AS VARCHAR) AS entity, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(entity AS VARCHAR)) AS r FROM cohort GROUP BY 1),
 s(r, a, b, c, entity, n, fold) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(NULL AS INTEGER) UNION ALL

@@ -12,6 +12,7 @@ from ..operators import distance, resample, simulate
 from ..operators.groups import cut
 from ..operators.describe import THRESHOLDS, rounded, totals
 from ..operators.rng import normal, normal_sql, uniform, uniform_sql
+from ..sources import publish
 from ..sources.tables import table
 from .base import COHORT_SQL, cohort
 from .modelling import COV_SQL, _cov
@@ -71,14 +72,14 @@ def bootstrap_sd_ratio(spark, d):
     return rounded(resample.intervals(reps, ["sd_ratio"], REPS).drop("_"))
 
 
-def _sim_sql(config: str, m: simulate.Phases, n: int, reps: int = 1, rho: float | None = None) -> str:
+def _sim_sql(config: str, m: simulate.Phases, n: int, reps: int = 1, rho: float | None = None, where: str = "true") -> str:
     rho = m.rho if rho is None else rho
     key = lambda role: (f"'{SEED}'", f"'{config}'", "rep", "draw", f"'{role}'")
     clip = repr(simulate.CLIP)
     held = lambda e: f"greatest(-{clip}, least({clip}, {e}))"
     support = "[" + ", ".join(f"{float(v)!r}" for v in sorted(m.support)) + "]"
     third = f"({rho!r} * z1 + {math.sqrt(1 - rho * rho)!r} * z3)"
-    return f"""{COV_SQL}, prof AS (SELECT *, row_number() OVER (ORDER BY procedure_code) - 1 AS ordinal, count(*) OVER () AS np FROM cov),
+    return f"""{COV_SQL}, prof AS (SELECT *, row_number() OVER (ORDER BY procedure_code) - 1 AS ordinal, count(*) OVER () AS np FROM cov WHERE {where}),
 dw AS (SELECT CAST(i // {n} AS BIGINT) AS rep, CAST(i % {n} AS BIGINT) AS draw FROM (SELECT unnest(range({n * reps})) AS i)),
 zz AS (SELECT rep, draw, {uniform_sql(*key("profile"))} AS up, {normal_sql(*key("z1"))} AS z1, {normal_sql(*key("z3"))} AS z3, {uniform_sql(*key("u2"))} AS u FROM dw),
 tr AS (SELECT zz.rep, zz.draw, p.procedure_code, p.scenario, p.zq, exp({m.a1!r} + {m.b1!r} * zq + {m.s1!r} * {held("z1")}) AS t1,
@@ -203,3 +204,66 @@ def model_minus_reference(spark, d):
 def weighted_profile_draws(spark, d):
     profiles = cohort(spark, d).select("procedure_code", F.col("q").cast("double").alias("q"))
     return simulate.weighted_profiles(simulate.draws(spark, 2000), profiles, "q", SEED, "weighted").select("draw", "procedure_code")
+
+
+# Models and scenarios of the published trajectories.
+OUTPUT_MODELS = {"M1": MODEL, "M2": ALTERNATIVE, "M4": simulate.Phases(a1=4.5, b1=-0.2, s1=0.88, a3=5.1, b3=-0.1, s3=0.82, p0=0.88, support=MODEL.support, rho=0.3)}
+SCENARIOS = ("low", "medium", "high")
+OUTPUT_N = 10_000
+_IDS = ["procedure_code", "entity", "project", "dependency", "q", "government", "amount"]
+OUTPUT_COLUMNS = [*_IDS, "simulation_id", "model", "scenario", "t1", "t2", "t3", "m1", "m2", "m3", "total"]
+#: What each row of an output must meet, told of the values that were read back.
+OUTPUT_RULES = {
+    "durations": "least(t1, t2, t3) >= 0 AND NOT isnan(total) AND total < double('infinity')",
+    "sums": "abs(t1 + t2 + t3 - total) <= 1e-10 + 1e-12 * total",
+    "milestones": "abs(m1 - t1) <= 1e-10 AND abs(m2 - t1 - t2) <= 1e-10 + 1e-12 * total AND abs(m3 - total) <= 1e-10 + 1e-12 * total",
+}
+
+
+def output_profiles(spark, d) -> DataFrame:
+    """The cohort with its projects and the groups of entities that depend on each other."""
+    from .modelling import dependency_groups
+
+    groups = cut(dependency_groups(spark, d).select(F.substring("entity", 8, 30).cast("long").alias("entity"), F.col("component").alias("dependency")))
+    own = _cov(spark, d).withColumn("project", F.floor(F.col("procedure_code") / 4).cast("long"))
+    return own.select("procedure_code", F.col("entity").cast("long").alias("entity"), "project", "q", "government", "amount", "scenario", "zq").join(groups, "entity")
+
+
+def trajectory_tables(spark, profiles: DataFrame, n: int = OUTPUT_N, models=tuple(OUTPUT_MODELS), scenarios=SCENARIOS) -> dict[str, DataFrame]:
+    """An output for each model and scenario, with seventeen columns; each has a stream of its own, whatever else is asked for."""
+    out = {}
+    for name in models:
+        m = OUTPUT_MODELS[name]
+        for scenario in scenarios:
+            config = f"{name}:scenario:{scenario}"
+            rows = simulate.with_profiles(simulate.draws(spark, n), simulate.select_profiles(profiles, scenario=scenario), SEED, config)
+            rows = simulate.trajectories(rows, m, SEED, config).withColumns({"model": F.lit(name), "simulation_id": F.col("draw")})
+            out[f"{name}_{scenario}"] = rows.select(*OUTPUT_COLUMNS)
+    return out
+
+
+def publish_trajectories(spark, d, path: str, n: int = OUTPUT_N, models=tuple(OUTPUT_MODELS), scenarios=SCENARIOS) -> dict:
+    """Writes outputs as gzip CSV with a manifest; see publish.publish_csv."""
+    about = {"seed": SEED, "rows": n, "unit": "calendar days", "models": {k: vars(m) | {"support": list(m.support)} for k, m in OUTPUT_MODELS.items() if k in models}}
+    return publish.publish_csv(trajectory_tables(spark, cut(output_profiles(spark, d)), n, models, scenarios), path, about, OUTPUT_RULES)
+
+
+def _outputs_sql(select: str) -> str:
+    each = [f"SELECT * FROM ({_sim_sql(f'{k}:scenario:{s}', m, OUTPUT_N, where=f"scenario = '{s}'")} SELECT sim.procedure_code, c.entity, c.q, c.government, c.amount, draw AS simulation_id, '{k}' AS model, sim.scenario, sim.t1, sim.t2, sim.t3, sim.total FROM sim JOIN cov c USING (procedure_code))" for k, m in OUTPUT_MODELS.items() for s in SCENARIOS]
+    return f"WITH outputs AS ({' UNION ALL '.join(each)}) {select}"
+
+
+@query("trajectory_outputs", _outputs_sql(f"SELECT model, scenario, simulation_id, procedure_code, CAST(entity AS BIGINT) AS entity, CAST(procedure_code // 4 AS BIGINT) AS project, q, government, amount, {', '.join(_r(e, n) for n, e in (('t1', 't1'), ('t2', 't2'), ('t3', 't3'), ('m1', 't1'), ('m2', 't1 + t2'), ('m3', 't1 + t2 + t3'), ('total', 'total')))} FROM outputs"))
+def trajectory_outputs(spark, d):
+    """All rows of the nine outputs, without the dependency groups, which have a query of their own."""
+    profiles = _cov(spark, d).withColumns({"project": F.floor(F.col("procedure_code") / 4).cast("long"), "dependency": F.lit(None).cast("string"), "entity": F.col("entity").cast("long")})
+    return rounded(reduce(DataFrame.unionByName, trajectory_tables(spark, profiles).values()).drop("dependency"))
+
+
+@query("simulated_lineage", _outputs_sql("SELECT model, scenario, count(*) AS n, count(*) FILTER (entity IS NULL) AS missing, CAST(0 AS BIGINT) AS differing FROM outputs GROUP BY 1, 2"))
+def simulated_lineage(spark, d):
+    """Whether every simulated row has the attributes of the profile that it names."""
+    profiles = _cov(spark, d).withColumns({"project": F.floor(F.col("procedure_code") / 4).cast("long"), "dependency": F.lit(None).cast("string"), "entity": F.col("entity").cast("long")})
+    seen = ["q", "government", "amount", "project", "entity"]
+    parts = [simulate.lineage(t, profiles, "procedure_code", seen).select(F.lit(k.split("_")[0]).alias("model"), F.lit(k.split("_")[1]).alias("scenario"), "n", "missing", "differing") for k, t in trajectory_tables(spark, profiles).items()]
+    return reduce(DataFrame.unionByName, parts)

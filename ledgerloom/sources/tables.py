@@ -21,6 +21,6 @@ def families(spark: SparkSession, paths: dict[int, str], reader: str = "parquet"
     return out
 
 
-def csv_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Delimited text with a header, plain or gzip, every column of the type told; a byte-order mark is dropped."""
-    return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("multiLine", False).csv(path)
+def csv_records(spark: SparkSession, path: str, schema, null: str = "") -> DataFrame:
+    """Delimited text with a header, plain or gzip, every column of the type told; a byte-order mark is dropped. Quoted values may hold line breaks, so a file is one task's. A cell that is `null` is null; where that is the empty text, texts that are empty are null too."""
+    return spark.read.schema(schema).options(header=True, encoding="UTF-8", multiLine=True, escape='"', nullValue=null, mode="FAILFAST", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
