@@ -1,45 +1,258 @@
 """Bootstrap of whole clusters: clusters are drawn with replacement, rows count as often as their cluster was drawn.
 
-Copies are never made: equal rows of a cluster are one row with a weight, and each replicate
-sums weights by value, so its statistics are those of a weighted table.
+Copies are never made. Clusters are numbered and lie in blocks; a replicate's draws are places in blocks, two bytes each, dealt
+to tasks by block and run of replicates. There draws become weights of the block's clusters, and what goes on is a
+replicate's sums, or its weights by value. The random numbers are those of rng.uniform, in arrays.
 """
 
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .describe import THRESHOLDS
+from .groups import cut
 from .order import numbered
-from .rng import uniform
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
 
 #: Fewest clusters that may be resampled, and the share of replicates that an interval needs.
 MIN_CLUSTERS, USABLE = 20, 0.9
+#: Clusters in a block, replicates in a group of a task, and slots that are hashed at once.
+BLOCK, RUN, SLOTS = 1 << 16, 50, 1 << 14
+
+
+def _md5(prefix: bytes, digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first two words of the MD5 of a prefix and decimal digits (the same number of them in each row, the first digit first), in one block of 64 bytes."""
+    size = len(prefix) + len(digits)
+    if size > 55:
+        raise ValueError("a key has 55 bytes at most")
+    fixed = bytearray(64)
+    fixed[: len(prefix)], fixed[size], fixed[56:64] = prefix, 0x80, (8 * size).to_bytes(8, "little")
+    words: list = [int.from_bytes(fixed[i : i + 4], "little") for i in range(0, 64, 4)]
+    for at, d in enumerate(digits, len(prefix)):
+        words[at // 4] = (d << np.uint32(8 * (at % 4))) + np.asarray(words[at // 4], np.uint32)
+    first = [np.full(len(digits[0]), v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = first
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        step = int(abs(math.sin(i + 1)) * (1 << 32))
+        if isinstance(words[g], int):
+            f += np.uint32((step + words[g]) & 0xFFFFFFFF)
+        else:
+            f += words[g]
+            f += np.uint32(step)
+        f += a
+        turn = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[i // 16][i % 4]
+        top = f << np.uint32(turn)
+        f >>= np.uint32(32 - turn)
+        top |= f
+        top += b
+        a, b, c, d = d, top, b, c
+    return first[0] + a, first[1] + b
+
+
+def _hits(seed: str, rep: int, start: int, stop: int, g: int) -> np.ndarray:
+    """The ordinals that a replicate draws in slots from start to before stop: floor(g * rng.uniform(seed, rep, slot))."""
+    out, prefix = [], f"{seed}|{rep}|".encode()
+    while start < stop:
+        width = len(str(start))
+        end = min(stop, 10**width, start + SLOTS)
+        slots = np.arange(start, end)
+        x, y = _md5(prefix, [(slots // 10**k % 10 + 48).astype(np.uint32) for k in reversed(range(width))])
+        top = (x.byteswap().astype(np.uint64) << np.uint64(16)) | (y.byteswap() >> np.uint32(16))
+        out.append(((top.astype(float) + 0.5) / float(1 << 48) * g).astype(np.int64))
+        start = end
+    return np.concatenate(out)
+
+
+def drawn(spark: SparkSession, g: int, reps: int, seed: str) -> DataFrame:
+    """The draws of all replicates, as many each as there are clusters (g): block and places in it (two bytes each) of drawn ordinals. No rows for fewer than MIN_CLUSTERS."""
+    each = max(1, min(g, 4 * SLOTS))
+    n = reps * -(-g // each) if g >= MIN_CLUSTERS else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i in (i for b in batches for i in b.column(0).to_pylist()):
+            rep, start = i % reps, i // reps * each
+            hits = np.sort(_hits(seed, rep, start, min(g, start + each), g))
+            blocks = range(int(hits[0]) // BLOCK, int(hits[-1]) // BLOCK + 1)
+            at = np.searchsorted(hits, [k * BLOCK for k in (*blocks, blocks[-1] + 1)]).tolist()
+            parts = [(hits[i:j] % BLOCK).astype("<u2").tobytes() for i, j in zip(at, at[1:], strict=False)]
+            ints = lambda v: pa.array([v] * len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), ints(rep // RUN), ints(rep), pa.array(parts, pa.binary())], ["block", "run", "rep", "hits"])
+
+    tasks = min(max(n, 1), max(4 * spark.sparkContext.defaultParallelism, n * each >> 24))
+    return spark.range(0, n, 1, tasks).mapInArrow(run, "block long, run long, rep long, hits binary")
+
+
+def numbered_rows(df: DataFrame, cluster: str, columns: list[str]) -> tuple[DataFrame, int]:
+    """Rows in blocks of clusters: block, and Arrow streams of _at (the place in the block of the cluster), the columns and _n, equal rows being one; and the number of clusters."""
+    clusters = cut(numbered(df.select(cluster).distinct(), cluster, "_ordinal"))
+    g = clusters.count()
+    rows = df.groupBy(cluster, *columns).agg(F.count(F.lit(1)).alias("_n")).join(clusters, cluster)
+    rows = rows.select(F.floor(F.col("_ordinal") / BLOCK).cast("long").alias("block"), (F.col("_ordinal") % BLOCK).cast("int").alias("_at"), *columns, "_n")
 
+    def pack(t: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.drop_columns(["block"]).schema) as out:
+            out.write_table(t.drop_columns(["block"]))
+        return pa.table({"block": t["block"][:1], "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-def drawn(df: DataFrame, cluster: str, reps: int, seed: str) -> DataFrame:
-    """rep, the cluster and _times, how often the replicate drew it: as many draws a replicate as there are clusters. No rows for fewer than MIN_CLUSTERS."""
-    clusters = numbered(df.select(cluster).distinct(), cluster, "ordinal")
-    size = clusters.agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") >= MIN_CLUSTERS)
-    slots = clusters.select(F.col("ordinal").alias("slot")).crossJoin(F.broadcast(size))
-    # The replicates are a fixed short list, not a table.
-    slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    hit = slots.select("rep", F.floor(uniform(seed, F.col("rep"), F.col("slot")) * F.col("g")).cast("long").alias("ordinal"))
-    return hit.groupBy("rep", "ordinal").agg(F.count(F.lit(1)).alias("_times")).join(clusters, "ordinal").select("rep", cluster, "_times")
+    return cut(rows.groupBy("block").applyInArrow(pack, "block long, rows binary")), g
+
+
+def replicates(rows: DataFrame, hits: DataFrame, reps: int, prepare: Callable, schema: str, told: DataFrame | None = None) -> DataFrame:
+    """What prepare(rows of a block, as a pandas frame) makes of (how often a replicate drew each of the block's clusters, what is told of the replicate): rows (rep, ...) of the schema, for each replicate and block.
+
+    A task's group is a block and RUN replicates, so rows go to reps / RUN groups and each draw to one. told: rep and a binary column told.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((reps - 1) // RUN).cast("long")))
+    left = hits.withColumn("told", F.lit(None).cast("binary"))
+    if told is not None:
+        left = left.unionByName(told.select("rep", "told", F.floor(F.col("rep") / RUN).cast("long").alias("run"), F.lit(None).cast("binary").alias("hits")).join(rows.select("block"), how="cross"))
+    left, right = left.repartition(n, "block", "run"), rows.withColumn("run", runs).repartition(n, "block", "run")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(draws: pa.Table, held: pa.Table) -> pa.Table:
+        parts: dict[int, list] = {}
+        known: dict[int, bytes] = {}
+        for rep, h, t in zip(draws["rep"].to_pylist(), draws["hits"].to_pylist(), draws["told"].to_pylist(), strict=True):
+            if t is not None:
+                known[rep] = t
+            else:
+                parts.setdefault(rep, []).append(h)
+        out: list[dict] = []
+        for data in held["rows"].to_pylist():
+            apply = prepare(pa.ipc.open_stream(data).read_all().to_pandas())
+            for rep, some in parts.items():
+                times = np.bincount(np.frombuffer(b"".join(some), "<u2"), minlength=BLOCK).astype(float)
+                found = apply(times, known.get(rep))
+                out.append({"rep": np.full(len(next(iter(found.values()))), rep, np.int64), **found})
+        kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+        whole = lambda c: pa.array([x for o in out for x in o[c]] if out and isinstance(out[0][c], list) else np.concatenate([o[c] for o in out] or [np.zeros(0)]))
+        return pa.table({c: whole(c).cast(kinds[k]) for c, k in (x.split() for x in schema.split(", "))}).select(names)
+
+    return left.groupBy("block", "run").cogroup(right.groupBy("block", "run")).applyInArrow(run, schema)
 
 
 def weighted(df: DataFrame, cluster: str, reps: int, seed: str, columns: list[str]) -> DataFrame:
     """rep, the columns and w, how many rows of the replicate have these values."""
-    rows = df.groupBy(cluster, *columns).agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(drawn(df, cluster, reps, seed), cluster).groupBy("rep", *columns).agg(F.sum(F.col("_n") * F.col("_times")).alias("w"))
+    rows, g = numbered_rows(df, cluster, columns)
+    kinds = dict(df.select(*columns).dtypes)
+    plain = {c: "string" if k == "string" else "double" if k in ("double", "float") else "long" for c, k in kinds.items()}
+
+    def prepare(held):
+        code = held.groupby(columns, dropna=False, sort=False).ngroup().to_numpy()
+        first = np.unique(code, return_index=True)[1]
+        values = {c: held[c].to_numpy()[first] for c in columns}
+        at, n = held["_at"].to_numpy(), held["_n"].to_numpy().astype(float)
+
+        def apply(times, _):
+            w = np.bincount(code, times[at] * n, len(first))
+            some = np.flatnonzero(w)
+            return {**{c: list(v[some]) if plain[c] == "string" else v[some] for c, v in values.items()}, "w": w[some].astype(np.int64)}
+
+        return apply
+
+    schema = "rep long, " + ", ".join(f"{c} {k}" for c, k in plain.items()) + ", w long"
+    found = replicates(rows, drawn(df.sparkSession, g, reps, seed), reps, prepare, schema)
+    return found.groupBy("rep", *columns).agg(F.sum("w").alias("w"))
+
 
+def moments(df: DataFrame, cluster: str, reps: int, seed: str, terms: dict[str, Column]) -> DataFrame:
+    """rep and the sum of each term over the replicate's rows. Sums are linear in draws, so rows count as their cluster's sums."""
+    sums = df.groupBy(cluster).agg(*(F.coalesce(F.sum(t.cast("double")), F.lit(0.0)).alias(k) for k, t in terms.items()))
+    names = [*terms]
+    rows, g = numbered_rows(sums, cluster, names)
 
-def sd(c: Column, w: Column) -> Column:
-    """Sample standard deviation; null for weights of one or none."""
-    n, s = F.sum(F.when(c.isNotNull(), w)), F.sum(w * c)
-    return F.when(n > 1, F.sqrt(F.greatest(F.sum(w * c * c) - s * s / n, F.lit(0.0)) / (n - 1)))
+    def prepare(held):
+        at, m = held["_at"].to_numpy(), held[names].to_numpy(float)
+        return lambda times, _: {k: v for k, v in zip(names, (times[at] @ m).reshape(-1, 1), strict=True)}
+
+    schema = "rep long, " + ", ".join(f"{k} double" for k in names)
+    found = replicates(rows, drawn(df.sparkSession, g, reps, seed), reps, prepare, schema)
+    return found.groupBy("rep").agg(*(F.sum(k).alias(k) for k in names))
+
+
+def correlations(df: DataFrame, cluster: str, reps: int, seed: str, x: str, y: str) -> DataFrame:
+    """rep, pearson and spearman (ties share the mean of their places) of each replicate's rows, which have no nulls; null for fewer than three rows or a constant side.
+
+    The first pass counts each side's values, which tells a replicate's ranks; the second sums the products of ranks.
+    """
+    spark, sides = df.sparkSession, (x, y)
+    rows, g = numbered_rows(df.select(cluster, *(F.col(c).cast("double").alias(c) for c in sides)), cluster, [x, y])
+    hits = drawn(spark, g, reps, seed)
+
+    def coded(held):
+        return held["_at"].to_numpy(), held["_n"].to_numpy().astype(float), [np.unique(held[c].to_numpy(), return_inverse=True) for c in sides]
+
+    def count(held):
+        at, n, codes = coded(held)
+        p, q = (held[c].to_numpy() for c in sides)
+
+        def apply(times, _):
+            w = times[at] * n
+            both = [np.stack([v, np.bincount(c, w, len(v))]).tobytes() for v, c in codes]
+            return {"xs": [both[0]], "ys": [both[1]], "xy": np.array([(w * p) @ q])}
+
+        return apply
+
+    def ranks(t: pa.Table) -> pa.Table:
+        held, spread, varies = [], [], True
+        for c in ("xs", "ys"):
+            v, w = np.concatenate([np.frombuffer(b).reshape(2, -1) for b in t[c].to_pylist()], axis=1)
+            v, code = np.unique(v[w > 0], return_inverse=True)
+            w = np.bincount(code, w[w > 0], len(v))
+            rank = np.cumsum(w) - (w - 1) / 2 - (w.sum() + 1) / 2  # from the mean rank
+            varies = varies and len(v) > 1 and w.sum() >= 3
+            held.append(np.stack([v, rank]))
+            spread.append((w.sum(), w @ v, w @ (v * v), w @ (rank * rank)))
+        (n, s1, q1, r1), (_, s2, q2, r2) = spread
+        co = lambda pq, p, q: pq / n - p / n * (q / n)
+        both = float(np.sqrt(co(q1, s1, s1) * co(q2, s2, s2))) if varies else 0.0
+        pearson = co(sum(t["xy"].to_pylist()), s1, s2) / both if both else None
+        told = np.array([held[0].shape[1]], "<i8").tobytes() + b"".join(h.tobytes() for h in held)
+        return pa.table({"rep": t["rep"][:1], "pearson": pa.array([pearson], pa.float64()), "spread": pa.array([float(np.sqrt(r1 * r2)) if varies else None], pa.float64()), "told": pa.array([told], pa.binary())})
+
+    found = replicates(rows, hits, reps, count, "rep long, xs binary, ys binary, xy double")
+    each = cut(found.groupBy("rep").applyInArrow(ranks, "rep long, pearson double, spread double, told binary"))
+
+    def cross(held):
+        at, n, codes = coded(held)
+
+        def apply(times, told):
+            k = int(np.frombuffer(told, "<i8", 1)[0])
+            flat = np.frombuffer(told, float, offset=8)
+            sides_ = flat[: 2 * k].reshape(2, -1), flat[2 * k :].reshape(2, -1)
+            # Values that the replicate lacks have weight 0, so any rank does.
+            p, q = (r[np.minimum(np.searchsorted(v, own), len(v) - 1)][c] for (v, r), (own, c) in zip(sides_, codes, strict=True))
+            return {"xy": np.array([(times[at] * n * p) @ q])}
+
+        return apply
+
+    sums = replicates(rows, hits, reps, cross, "rep long, xy double", each).groupBy("rep").agg(F.sum("xy").alias("xy"))
+    return each.join(sums, "rep").select("rep", "pearson", (F.col("xy") / F.nullif(F.col("spread"), F.lit(0.0))).alias("spearman"))
+
+
+def sd(n: Column, s: Column, ss: Column) -> Column:
+    """Sample standard deviation, of the number of values, their sum and their squares' sum; null for one or none."""
+    return F.when(n > 1, F.sqrt(F.greatest(ss - s * s / n, F.lit(0.0)) / (n - 1)))
 
 
 def totals(x: str = "total") -> list[Column]:
@@ -48,22 +261,7 @@ def totals(x: str = "total") -> list[Column]:
     n = F.sum(w)
     over = [(F.sum(F.when(c > t, w).otherwise(0)) / n).alias(f"over_{t}") for t in THRESHOLDS]
     order = [F.percentile(c, F.lit(p), w).alias(k) for k, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95))]
-    return [(F.sum(w * c) / n).alias("mean"), sd(c, w).alias("sd"), *order, *over]
-
-
-def correlation(x: str, y: str) -> Column:
-    """Of weighted rows without nulls; null for fewer than three or a constant side."""
-    a, b, w = F.col(x).cast("double"), F.col(y).cast("double"), F.col("w")
-    n = F.sum(w)
-    co = lambda p, q: F.sum(w * p * q) / n - F.sum(w * p) / n * (F.sum(w * q) / n)
-    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)) & (n >= 3)
-    return F.when(varies, co(a, b) / F.nullif(F.sqrt(co(a, a) * co(b, b)), F.lit(0.0)))
-
-
-def average_rank(x: str) -> Column:
-    """A weighted row's rank in its replicate, ties sharing the mean of their places."""
-    upto = F.sum("w").over(Window.partitionBy("rep").orderBy(x).rangeBetween(Window.unboundedPreceding, 0))
-    return upto - (F.sum("w").over(Window.partitionBy("rep", x)) - 1) / 2
+    return [(F.sum(w * c) / n).alias("mean"), sd(n, F.sum(w * c), F.sum(w * c * c)).alias("sd"), *order, *over]
 
 
 def intervals(reps: DataFrame, names: list[str], replicates: int, by: list[str] = ()) -> DataFrame:

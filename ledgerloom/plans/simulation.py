@@ -44,9 +44,7 @@ _INTERVAL = f"count(value) AS usable, round(CASE WHEN count(value) >= {_USABLE}
 
 @query("cluster_bootstrap_corr", f"{COHORT_SQL}{_drawn_sql('entity', 'corr')}, k AS (SELECT rep, q, total, rank() OVER (PARTITION BY rep ORDER BY q) + (count(*) OVER (PARTITION BY rep, q) - 1) / 2.0 AS rq, rank() OVER (PARTITION BY rep ORDER BY total) + (count(*) OVER (PARTITION BY rep, total) - 1) / 2.0 AS rt FROM b), s AS (SELECT rep, corr(q, total) AS pearson, corr(rq, rt) AS spearman FROM k GROUP BY 1), l AS (SELECT 'pearson' AS statistic, pearson AS value FROM s UNION ALL SELECT 'spearman', spearman FROM s) SELECT statistic, {_INTERVAL} FROM l GROUP BY 1")
 def cluster_bootstrap_corr(spark, d):
-    rows = resample.weighted(cohort(spark, d).select("entity", "q", "total"), "entity", REPS, "corr", ["q", "total"])
-    ranked = rows.withColumn("rq", resample.average_rank("q")).withColumn("rt", resample.average_rank("total"))
-    reps = ranked.groupBy("rep").agg(resample.correlation("q", "total").alias("pearson"), resample.correlation("rq", "rt").alias("spearman"))
+    reps = resample.correlations(cohort(spark, d).select("entity", "q", "total"), "entity", REPS, "corr", "q", "total")
     return rounded(resample.intervals(reps, ["pearson", "spearman"], REPS).drop("_"))
 
 
@@ -66,9 +64,13 @@ def component_bootstrap_summary(spark, d):
 
 @query("bootstrap_sd_ratio", f"{COHORT_SQL}{_drawn_sql('entity', 'ratio')}, s AS (SELECT rep, stddev_samp(total) FILTER (scenario = 'high') / stddev_samp(total) FILTER (scenario = 'low') AS value FROM b GROUP BY 1) SELECT 'sd_ratio' AS statistic, {_INTERVAL} FROM s GROUP BY 1")
 def bootstrap_sd_ratio(spark, d):
-    rows = resample.weighted(cohort(spark, d).select("entity", "scenario", "total"), "entity", REPS, "ratio", ["scenario", "total"])
-    v = lambda s: resample.sd(F.when(F.col("scenario") == s, F.col("total").cast("double")), F.col("w"))
-    reps = rows.groupBy("rep").agg((v("high") / F.nullif(v("low"), F.lit(0.0))).alias("sd_ratio"))
+    x, terms = F.col("total").cast("double"), {}
+    for side in ("high", "low"):
+        own = F.col("scenario") == side
+        terms |= {f"{side}_n": own.cast("double"), f"{side}_s": F.when(own, x), f"{side}_ss": F.when(own, x * x)}
+    sums = resample.moments(cohort(spark, d).select("entity", "scenario", "total"), "entity", REPS, "ratio", terms)
+    v = lambda side: resample.sd(*(F.col(f"{side}_{k}") for k in ("n", "s", "ss")))
+    reps = sums.select((v("high") / F.nullif(v("low"), F.lit(0.0))).alias("sd_ratio"))
     return rounded(resample.intervals(reps, ["sd_ratio"], REPS).drop("_"))
 
 
