@@ -55,3 +55,16 @@ def test_draws_are_the_named_stream(spark, small):
     assert resample.drawn(spark, 19, REPS, "seed").count() == 0
 
 
+def test_correlations_of_replicates(spark, df, rows, small):
+    def ranks(v):
+        return [sum(w < x for w in v) + (sum(w == x for w in v) + 1) / 2 for x in v]
+
+    got = {r["rep"]: (r["pearson"], r["spearman"]) for r in resample.correlations(df, "c", REPS, "r", "x", "y").collect()}
+    for k in range(REPS):
+        x, y = zip(*((r[1], r[2]) for r in copies(rows, "r", k)), strict=True)
+        assert got.pop(k) == pytest.approx((np.corrcoef(x, y)[0, 1], np.corrcoef(ranks(x), ranks(y))[0, 1]))
+    assert not got
+    flat = resample.correlations(df.withColumn("y", F.lit(4)), "c", REPS, "r", "x", "y").collect()
+    assert [(r["pearson"], r["spearman"]) for r in flat] == [(None, None)] * REPS
+
+
