@@ -68,3 +68,11 @@ def test_correlations_of_replicates(spark, df, rows, small):
     assert [(r["pearson"], r["spearman"]) for r in flat] == [(None, None)] * REPS
 
 
+def test_weights_of_replicates(spark, df, rows, small):
+    got = {(r["rep"], r["s"], r["y"]): r["w"] for r in resample.weighted(df, "c", REPS, "w", ["s", "y"]).collect()}
+    want = {}
+    for k in range(REPS):
+        for _, _, y, s in copies(rows, "w", k):
+            want[k, s, y] = want.get((k, s, y), 0) + 1
+    assert got == want
+    assert resample.weighted(df.limit(0), "c", REPS, "w", ["s", "y"]).count() == 0
