@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running_counts
+
 # The quantiles and the thresholds in days that reports name.
 QUANTILES = {"p05": 0.05, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 THRESHOLDS = (30, 45, 60, 75, 90, 120, 150, 180)
@@ -19,13 +21,29 @@ def long(df: DataFrame, ids: list[str], variables: list[str]) -> DataFrame:
     return df.select(*ids, *(F.col(v).cast("double").alias(v) for v in variables)).unpivot(ids, variables, "variable", "value")
 
 
+def _moments(c: Column) -> list[Column]:
+    n, mean, sd = F.count(c), F.avg(c), F.stddev_samp(c)
+    cv = F.when((n >= 2) & (F.abs(mean) > 1e-8), sd / mean)
+    return [n.alias("n"), F.count_if(c.isNull()).alias("missing"), mean.alias("mean"), sd.alias("sd"), F.var_samp(c).alias("var"), cv.alias("cv"), F.min(c).alias("min"), F.max(c).alias("max")]
+
+
 def block(x: str = "value") -> list[Column]:
-    """n, missing, mean, sd, var, cv, extremes, quantiles (linear) and IQR."""
+    """n, missing, mean, sd, var, cv, extremes, quantiles (linear) and IQR. A group's different values are held in a task for each quantile."""
     c = F.col(x)
-    n, mean, sd = F.count(c), F.avg(c), F.stddev_samp(c)
     q = {k: F.percentile(c, F.lit(p)) for k, p in QUANTILES.items()}
-    cv = F.when((n >= 2) & (F.abs(mean) > 1e-8), sd / mean)
-    return [n.alias("n"), F.count_if(c.isNull()).alias("missing"), mean.alias("mean"), sd.alias("sd"), F.var_samp(c).alias("var"), cv.alias("cv"), F.min(c).alias("min"), F.max(c).alias("max"), *(v.alias(k) for k, v in q.items()), (q["p75"] - q["p25"]).alias("iqr")]
+    return [*_moments(c), *(v.alias(k) for k, v in q.items()), (q["p75"] - q["p25"]).alias("iqr")]
+
+
+def blocks(df: DataFrame, by: str, x: str = "value") -> DataFrame:
+    """block() of few groups (by, without nulls) of any number of different values: quantiles are the values at their places among running counts."""
+    one = df.groupBy(by).agg(*_moments(F.col(x)))
+    counts = running_counts(df, x, [by]).join(F.broadcast(one.select(by, F.col("n").alias("_all"))), by)
+    at = {k: (F.col("_all") - 1) * F.lit(p) for k, p in QUANTILES.items()}
+    side = lambda place: F.min(F.when(F.col("upto") > place, F.col(x)))
+    found = counts.groupBy(by).agg(F.max("_all").alias("_all"), *(side(f(v)).alias(f"_{name}_{k}") for k, v in at.items() for name, f in (("lo", F.floor), ("hi", F.ceil))))
+    part = {k: v - F.floor(v) for k, v in at.items()}
+    linear = [((1 - part[k]) * F.col(f"_lo_{k}") + part[k] * F.col(f"_hi_{k}")).alias(k) for k in QUANTILES]
+    return one.join(found.select(by, *linear), by, "left").withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
 def shape(x: str = "value") -> list[Column]:

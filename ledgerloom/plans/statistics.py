@@ -9,7 +9,7 @@ from ..functions.special import correlation_p
 from ..operators import assoc, describe, distance
 from ..operators.describe import QUANTILES, THRESHOLDS, rounded
 from ..sources.tables import table
-from .base import COHORT_SQL, cohort, lines
+from .base import COHORT_SQL, cohort, lines, positive
 from .registry import query
 
 OUTCOMES = ["t1", "t2", "t3", "total"]
@@ -91,8 +91,8 @@ def cumulative_milestones(spark, d):
 # Amounts are described in thousands: six decimals of a variance then are within a double's digits.
 @query("descriptive_block", f"{COHORT_SQL}, cohort_k AS (SELECT *, amount / 1000 AS amount_k FROM cohort){_long([*OUTCOMES, 'q', 'amount_k']).replace('FROM cohort', 'FROM cohort_k')} SELECT variable, {_block()} FROM long GROUP BY 1")
 def descriptive_block(spark, d):
-    c = cohort(spark, d).withColumn("amount_k", F.col("amount") / 1000)
-    return rounded(describe.long(c, [], [*OUTCOMES, "q", "amount_k"]).groupBy("variable").agg(*describe.block()))
+    c = positive(spark, d).withColumn("amount_k", F.col("amount") / 1000)
+    return rounded(describe.blocks(describe.long(c, [], [*OUTCOMES, "q", "amount_k"]), "variable"))
 
 
 @query("skew_kurtosis", f"{COHORT_SQL}{_long([*OUTCOMES, 'q'])} SELECT variable, count(value) AS n, {_r('skewness(value)', 'skewness')}, {_r('kurtosis(value)', 'excess_kurtosis')} FROM long GROUP BY 1")

@@ -27,6 +27,15 @@ def test_describes_a_short_vector(spark):
     assert got == pytest.approx((1.5, 1.5, math.sqrt(5 / 3), 2.7, 4, 0))
 
 
+def test_blocks_are_those_of_one_aggregate(spark):
+    rows = [("a", i * 7919 % 1009 / 8) for i in range(700)] + [("b", float(i % 3)) for i in range(50)] + [("b", None), ("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "variable string, value double").repartition(5)
+    got, want = (df_.orderBy("variable").collect() for df_ in (describe.blocks(df, "variable"), df.groupBy("variable").agg(*describe.block())))
+    assert [{k: v if isinstance(v, str) or v is None else pytest.approx(v) for k, v in r.asDict().items()} for r in want] == [r.asDict() for r in got]
+    plan = describe.blocks(df, "variable")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan  # which holds all values of a group in one task
+
+
 def test_constants_and_short_columns_have_no_shape(spark):
     assert one(values(spark, [2.0, 2.0, 2.0, 2.0], "value").agg(*describe.shape()), "skewness", "excess_kurtosis") == (None, None)
     assert one(values(spark, [1.0, 2.0], "value").agg(*describe.shape()), "skewness", "excess_kurtosis") == (None, None)
