@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,24 +22,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _folder(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share; in a session of one process that has none, one of our own."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local["):
+        base = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component: the smallest node reachable over edges (a, b).
 
     The smallest label spreads over edges and then jumps to its own label's label, so the
-    rounds are about the logarithm of the longest path. Each round is checkpointed in the
-    folder of spark.checkpoint.dir, if there is one.
+    rounds are about the logarithm of the longest path. Each round is a table in the shared
+    folder: a checkpoint would keep its plan's estimate of size, a product over joins whose
+    digits grow fourfold a round. Joins are by sorting, as files say little of rows in memory.
     """
     spark = edges.sparkSession
-    safe = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    base = _folder(spark)
+
+    def safe(df: DataFrame) -> DataFrame:
+        if not base:
+            return df.persist()
+        path = f"{base}/components-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def gone(df: DataFrame) -> None:
+        if not base:
+            return
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     both = safe(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = safe(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    held = safe(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    labels = held
     for _ in range(most):
-        heard = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("m"))
-        spread = labels.join(heard, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
+        heard = both.join(labels.withColumnRenamed("node", "a").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("m"))
+        spread = labels.join(heard.hint("merge"), "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
         far = spread.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        moved = safe(spread.join(far, "component").select("node", "was", F.col("far").alias("component")))
-        labels = moved.select("node", "component")
+        moved = safe(spread.join(far.hint("merge"), "component").select("node", "was", F.col("far").alias("component")))
+        gone(held)
+        held, labels = moved, moved.select("node", "component")
         if not moved.filter("component <> was").limit(1).count():
+            gone(both)
             return labels
     raise RuntimeError("components didn't settle")
 

@@ -200,7 +200,7 @@ def dependency_groups(spark, d):
     families = top.select(F.inline(F.array(*(F.struct(F.col("k")[i].alias("left"), F.col("k")[i + 1].alias("right")) for i in (0, 2)))))
     found = groups.components(rows.select("a", "b").unionByName(groups.family_links(rows, families, "procedure_code", "a"))).filter(F.col("node").startswith("ENTITY_"))
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("entities"))
-    return found.join(sizes, "component").select(F.col("node").alias("entity"), "component", "entities")
+    return found.join(sizes.hint("merge"), "component").select(F.col("node").alias("entity"), "component", "entities")
 
 
 #: One group after another, as a recursion over their order.

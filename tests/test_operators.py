@@ -114,6 +114,13 @@ def test_components(spark):
     assert groups.components(edges.limit(0)).count() == 0
 
 
+def test_estimates_of_components_do_not_grow_with_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 300)], "a long, b long")
+    found = groups.components(edges)
+    assert found.filter("component = 1").count() == 300
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 30
+
+
 def in_turn(sizes, k):
     """Groups one by one, as the definition has it."""
     load, out = [0] * k, {}
