@@ -58,14 +58,14 @@ def from_planes(n: int, ends: list[int], data: bytes, planes: str = "bit") -> np
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
-    rows = [np.frombuffer(unpack.decompress(data[a:b]), np.uint8) for a, b in zip([0, *ends], ends, strict=False)]
-    out = np.zeros((n, 4), np.uint8)
-    if planes == "bit":
-        bits = np.unpackbits(np.stack(rows), axis=1, bitorder="little")[:, :n]
-        packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-        out[:, : packed.shape[1]] = packed
-    else:
-        out[:, : len(rows)] = np.stack(rows).T
+    rows = (np.frombuffer(unpack.decompress(data[a:b]), np.uint8) for a, b in zip([0, *ends], ends, strict=False))
+    out = np.zeros((4, n), np.uint8)
+    for k, row in enumerate(rows):
+        if planes == "bit":
+            out[k // 8] |= np.unpackbits(row, count=n, bitorder="little") << (k % 8)
+        else:
+            out[k] = row
+    out = np.ascontiguousarray(out.T)
     return out.reshape(-1).view("<u4")
 
 

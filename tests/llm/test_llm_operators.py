@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import timeit
 import zlib
 from collections import Counter, defaultdict
 
@@ -371,6 +372,13 @@ def test_planes_keep_ids(planes, n):
     assert (tokenfile.from_planes(n, *tokenfile.to_planes(ids, planes), planes) == ids).all()
 
 
+def test_bit_planes_read_back_about_as_fast_as_they_are_written():
+    ids = np.random.default_rng(5).integers(0, 49408, tokenfile.CHUNK, dtype=np.uint32)
+    stored = tokenfile.to_planes(ids)
+    took = lambda f: min(timeit.repeat(f, number=5, repeat=5))
+    assert took(lambda: tokenfile.from_planes(len(ids), *stored)) < 2 * took(lambda: tokenfile.to_planes(ids))
+
+
 def test_crc_of_joined_strings():
     a, b = random.Random(1).randbytes(1000), random.Random(2).randbytes(200_000)
     assert tokenfile.join_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
