@@ -3,7 +3,7 @@
 Texts are split once into words, which the tokenizer encodes independently. Documents
 are gathered in blocks; a block numbers its different words, and keeps of its documents
 the word's number at each position. These, and the blocks' words dealt by a hash into
-buckets, are written to the shared folder. In a bucket each distinct word is encoded once,
+buckets, are written to the shared folder, as a table in buckets by block. In a bucket each distinct word is encoded once,
 however many blocks ask for it (a task keeps CACHE words at a time), and the word table's
 part that a block needs goes back to it, where ids are joined to positions by the words'
 numbers. So what is shuffled is each block's different words, their ids and numbers, and no
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import bound_batches, lean, packed, pin, read, trim, utf8
+from .shared import bound_batches, lean, packed, pin_buckets, read, trim, utf8
 from .words import Encoded, splitter
 
 #: Bytes of text and different words after which a block ends.
@@ -148,7 +148,10 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", column: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([data], pa.binary())], ["block", "ids"])
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Joins ids back by the words' numbers, in the order of positions."""
+        """Joins ids back by the words' numbers, in the order of positions. The worker's tokenizer has no more to do."""
+        if splitter.cache_info().currsize:
+            splitter.cache_clear()
+            trim()
         parts = [_unpacked(d.as_py(), 3) for d in right["ids"]]
         empty = [np.zeros(0, "<u4")]
         numbers, many, flat = (np.concatenate([p[i] for p in parts] or empty).astype(np.int64) for i in range(3))
@@ -169,7 +172,8 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", column: str = "text")
         trim()
         return pa.table({key: pa.array(keys, pa.int64()), "ids": ids})
 
-    split_once = pin(rows.mapInArrow(lean(split), MADE), "bpe-blocks")
+    # In buckets by block: documents' positions are stored once, and not shuffled.
+    split_once = pin_buckets(rows.mapInArrow(lean(split), MADE), "bpe-blocks", "block", buckets)
     asked = split_once.filter("bucket IS NOT NULL").select("block", "data", "words", "bucket").repartition(buckets, "bucket")
     parts = asked.select("block", "data", "words").mapInArrow(lean(table), "block long, ids binary")
     texts = split_once.filter("bucket IS NULL").select("block", "keys", "data")

@@ -43,6 +43,14 @@ def pin(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """The same in buckets by a column, as a table of the session, so that grouping by it moves no rows."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, column).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_pinned(df: DataFrame) -> None:
     """Removes a pinned table that no later step reads."""
     spark = df.sparkSession

@@ -332,6 +332,12 @@ def test_ids_are_the_librarys(spark, odd, folder):
     assert Counter(listed(bpe.document_ids(spark, folder(documents=odd)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) == want
 
 
+def test_positions_of_documents_are_not_shuffled(spark, odd):
+    coded = bpe.encode(odd, bpe.tokenizer_path("byte_bpe_50k.json"))
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1, plan  # the word table's parts alone
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_splitter_on_random_texts(name):
     from ledgerloom.llm.words import Encoded, splitter
