@@ -31,6 +31,16 @@ def _folder(spark: SparkSession) -> str | None:
     return base
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once, as a table in the shared folder, and read back; where there is no such folder, kept by the executors."""
+    spark, base = df.sparkSession, _folder(df.sparkSession)
+    if not base:
+        return df.persist()
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component: the smallest node reachable over edges (a, b).
 
@@ -43,11 +53,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     base = _folder(spark)
 
     def safe(df: DataFrame) -> DataFrame:
-        if not base:
-            return df.persist()
-        path = f"{base}/components-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return stored(df, "components")
 
     def gone(df: DataFrame) -> None:
         if not base:

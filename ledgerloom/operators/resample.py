@@ -2,7 +2,9 @@
 
 Copies are never made. Clusters are numbered and lie in blocks; a replicate's draws are places in blocks, two bytes each, dealt
 to tasks by block and run of replicates. There draws become weights of the block's clusters, and what goes on is a
-replicate's sums, or its weights by value. The random numbers are those of rng.uniform, in arrays.
+replicate's sums, or a run's weights by value, a row of numbers for each replicate. The random numbers are those of rng.uniform,
+in arrays. Rows and, where they are read twice, draws are stored once. Ranks and quantiles hold a side's different values of a
+run of replicates in a task.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .describe import THRESHOLDS
-from .groups import cut
+from .groups import stored
 from .order import numbered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
@@ -26,57 +29,82 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 #: Fewest clusters that may be resampled, and the share of replicates that an interval needs.
 MIN_CLUSTERS, USABLE = 20, 0.9
 #: Clusters in a block, replicates in a group of a task, and slots that are hashed at once.
-BLOCK, RUN, SLOTS = 1 << 16, 50, 1 << 14
+BLOCK, RUN, SLOTS = 1 << 16, 50, 1 << 15
 
 
-def _md5(prefix: bytes, digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The first two words of the MD5 of a prefix and decimal digits (the same number of them in each row, the first digit first), in one block of 64 bytes."""
-    size = len(prefix) + len(digits)
-    if size > 55:
+_TURNS = [[(np.array(t, np.uint32), np.array(32 - t, np.uint32)) for t in turns] for turns in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))]
+
+
+def _tails(at: int, start: int, end: int) -> dict[int, np.ndarray]:
+    """What slots put into MD5's block of 64 bytes after a key's first `at` bytes, by the place of the word: decimal digits, the mark after them and the length. All replicates share it."""
+    slots = np.arange(start, end)
+    width = np.ones(len(slots), np.int64)
+    for k in range(1, len(str(end))):
+        width += slots >= 10**k
+    if at + width.max() > 55:
         raise ValueError("a key has 55 bytes at most")
-    fixed = bytearray(64)
-    fixed[: len(prefix)], fixed[size], fixed[56:64] = prefix, 0x80, (8 * size).to_bytes(8, "little")
-    words: list = [int.from_bytes(fixed[i : i + 4], "little") for i in range(0, 64, 4)]
-    for at, d in enumerate(digits, len(prefix)):
-        words[at // 4] = (d << np.uint32(8 * (at % 4))) + np.asarray(words[at // 4], np.uint32)
-    first = [np.full(len(digits[0]), v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
-    a, b, c, d = first
+    block = np.zeros((len(slots), 64), np.uint8)
+    for k in range(int(width.max())):
+        some = np.flatnonzero(width > k)
+        block[some, at + width[some] - 1 - k] = slots[some] // 10**k % 10 + 48
+    block[np.arange(len(slots)), at + width] = 0x80
+    block[:, 56:58] = (8 * (at + width)).astype("<u2").view(np.uint8).reshape(-1, 2)
+    words = block.view("<u4")
+    return {i: np.ascontiguousarray(words[:, i]) for i in range(16) if words[:, i].any()}
+
+
+def _md5(prefix: bytes, start: int, end: int, tails: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """The first two words of the MD5 of a prefix and each slot's decimal digits, in one block of 64 bytes."""
+    words: list = [int.from_bytes(prefix[i : i + 4], "little") for i in range(0, 64, 4)]
+    for i, w in tails(len(prefix), start, end).items():
+        words[i] = w + np.uint32(words[i])
+    first = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(end - start, v) for v in first)
+    f = np.empty_like(a)
+    # Arrays are changed in place: the time is that of passes over memory.
     for i in range(64):
         if i < 16:
-            f, g = d ^ (b & (c ^ d)), i
+            np.bitwise_xor(c, d, f)
+            f &= b
+            f ^= d
+            g = i
         elif i < 32:
-            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            np.bitwise_xor(b, c, f)
+            f &= d
+            f ^= c
+            g = (5 * i + 1) % 16
         elif i < 48:
-            f, g = b ^ c ^ d, (3 * i + 5) % 16
+            np.bitwise_xor(b, c, f)
+            f ^= d
+            g = (3 * i + 5) % 16
         else:
-            f, g = c ^ (b | ~d), 7 * i % 16
+            np.invert(d, f)
+            f |= b
+            f ^= c
+            g = 7 * i % 16
         step = int(abs(math.sin(i + 1)) * (1 << 32))
         if isinstance(words[g], int):
-            f += np.uint32((step + words[g]) & 0xFFFFFFFF)
+            f += np.array((step + words[g]) & 0xFFFFFFFF, np.uint32)
         else:
             f += words[g]
-            f += np.uint32(step)
-        f += a
-        turn = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[i // 16][i % 4]
-        top = f << np.uint32(turn)
-        f >>= np.uint32(32 - turn)
-        top |= f
-        top += b
-        a, b, c, d = d, top, b, c
+            f += np.array(step, np.uint32)
+        a += f
+        turn, rest = _TURNS[i // 16][i % 4]
+        np.right_shift(a, rest, f)
+        a <<= turn
+        a |= f
+        a += b
+        a, b, c, d = d, a, b, c
     return first[0] + a, first[1] + b
 
 
-def _hits(seed: str, rep: int, start: int, stop: int, g: int) -> np.ndarray:
+def _hits(seed: str, rep: int, start: int, stop: int, g: int, tails: Callable = _tails) -> np.ndarray:
     """The ordinals that a replicate draws in slots from start to before stop: floor(g * rng.uniform(seed, rep, slot))."""
     out, prefix = [], f"{seed}|{rep}|".encode()
-    while start < stop:
-        width = len(str(start))
-        end = min(stop, 10**width, start + SLOTS)
-        slots = np.arange(start, end)
-        x, y = _md5(prefix, [(slots // 10**k % 10 + 48).astype(np.uint32) for k in reversed(range(width))])
+    for at in range(start, stop, SLOTS):
+        x, y = _md5(prefix, at, min(stop, at + SLOTS), tails)
         top = (x.byteswap().astype(np.uint64) << np.uint64(16)) | (y.byteswap() >> np.uint32(16))
         out.append(((top.astype(float) + 0.5) / float(1 << 48) * g).astype(np.int64))
-        start = end
     return np.concatenate(out)
 
 
@@ -86,9 +114,11 @@ def drawn(spark: SparkSession, g: int, reps: int, seed: str) -> DataFrame:
     n = reps * -(-g // each) if g >= MIN_CLUSTERS else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tails = lru_cache(maxsize=32)(_tails)  # here, as it goes to workers by reference
         for i in (i for b in batches for i in b.column(0).to_pylist()):
             rep, start = i % reps, i // reps * each
-            hits = np.sort(_hits(seed, rep, start, min(g, start + each), g))
+            hits = _hits(seed, rep, start, min(g, start + each), g, tails)
+            hits = np.sort(hits.astype(np.int32) if g < 1 << 31 else hits)
             blocks = range(int(hits[0]) // BLOCK, int(hits[-1]) // BLOCK + 1)
             at = np.searchsorted(hits, [k * BLOCK for k in (*blocks, blocks[-1] + 1)]).tolist()
             parts = [(hits[i:j] % BLOCK).astype("<u2").tobytes() for i, j in zip(at, at[1:], strict=False)]
@@ -101,10 +131,10 @@ def drawn(spark: SparkSession, g: int, reps: int, seed: str) -> DataFrame:
 
 def numbered_rows(df: DataFrame, cluster: str, columns: list[str]) -> tuple[DataFrame, int]:
     """Rows in blocks of clusters: block, and Arrow streams of _at (the place in the block of the cluster), the columns and _n, equal rows being one; and the number of clusters."""
-    clusters = cut(numbered(df.select(cluster).distinct(), cluster, "_ordinal"))
+    counts = stored(df.groupBy(cluster, *columns).agg(F.count(F.lit(1)).alias("_n")), "resample-rows")
+    clusters = stored(numbered(counts.select(cluster).distinct(), cluster, "_ordinal"), "resample-clusters")
     g = clusters.count()
-    rows = df.groupBy(cluster, *columns).agg(F.count(F.lit(1)).alias("_n")).join(clusters, cluster)
-    rows = rows.select(F.floor(F.col("_ordinal") / BLOCK).cast("long").alias("block"), (F.col("_ordinal") % BLOCK).cast("int").alias("_at"), *columns, "_n")
+    rows = counts.join(clusters, cluster).select(F.floor(F.col("_ordinal") / BLOCK).cast("long").alias("block"), (F.col("_ordinal") % BLOCK).cast("int").alias("_at"), *columns, "_n")
 
     def pack(t: pa.Table) -> pa.Table:
         sink = pa.BufferOutputStream()
@@ -112,41 +142,48 @@ def numbered_rows(df: DataFrame, cluster: str, columns: list[str]) -> tuple[Data
             out.write_table(t.drop_columns(["block"]))
         return pa.table({"block": t["block"][:1], "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    return cut(rows.groupBy("block").applyInArrow(pack, "block long, rows binary")), g
+    return stored(rows.groupBy("block").applyInArrow(pack, "block long, rows binary"), "resample-blocks"), g
+
+
+_KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 
 
-def replicates(rows: DataFrame, hits: DataFrame, reps: int, prepare: Callable, schema: str, told: DataFrame | None = None) -> DataFrame:
-    """What prepare(rows of a block, as a pandas frame) makes of (how often a replicate drew each of the block's clusters, what is told of the replicate): rows (rep, ...) of the schema, for each replicate and block.
+def replicates(rows: DataFrame, hits: DataFrame, reps: int, make: Callable, schema: str, told: DataFrame | None = None) -> DataFrame:
+    """What make(rows of a block as a pandas frame, draws, run, told) yields: columns of the schema, for each block and run of RUN replicates.
 
-    A task's group is a block and RUN replicates, so rows go to reps / RUN groups and each draw to one. told: rep and a binary column told.
+    draws() goes through the run's replicates that draw from the block: rep, and how often it drew each of the block's clusters. Rows go to reps / RUN groups and
+    each draw to one. told: run and a binary column told, what make is told of the run.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((reps - 1) // RUN).cast("long")))
     left = hits.withColumn("told", F.lit(None).cast("binary"))
     if told is not None:
-        left = left.unionByName(told.select("rep", "told", F.floor(F.col("rep") / RUN).cast("long").alias("run"), F.lit(None).cast("binary").alias("hits")).join(rows.select("block"), how="cross"))
+        none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+        left = left.unionByName(told.select("run", none("rep", "long"), none("hits", "binary"), "told").join(rows.select("block"), how="cross"))
     left, right = left.repartition(n, "block", "run"), rows.withColumn("run", runs).repartition(n, "block", "run")
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [c.split() for c in schema.split(", ")]
 
     def run(draws: pa.Table, held: pa.Table) -> pa.Table:
         parts: dict[int, list] = {}
-        known: dict[int, bytes] = {}
+        known = None
         for rep, h, t in zip(draws["rep"].to_pylist(), draws["hits"].to_pylist(), draws["told"].to_pylist(), strict=True):
             if t is not None:
-                known[rep] = t
+                known = t
             else:
                 parts.setdefault(rep, []).append(h)
+
+        def weights() -> Iterator[tuple[int, np.ndarray]]:
+            for rep in sorted(parts):
+                yield rep, np.bincount(np.frombuffer(b"".join(parts[rep]), "<u2"), minlength=BLOCK).astype(float)
+
         out: list[dict] = []
-        for data in held["rows"].to_pylist():
-            apply = prepare(pa.ipc.open_stream(data).read_all().to_pandas())
-            for rep, some in parts.items():
-                times = np.bincount(np.frombuffer(b"".join(some), "<u2"), minlength=BLOCK).astype(float)
-                found = apply(times, known.get(rep))
-                out.append({"rep": np.full(len(next(iter(found.values()))), rep, np.int64), **found})
-        kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
-        whole = lambda c: pa.array([x for o in out for x in o[c]] if out and isinstance(out[0][c], list) else np.concatenate([o[c] for o in out] or [np.zeros(0)]))
-        return pa.table({c: whole(c).cast(kinds[k]) for c, k in (x.split() for x in schema.split(", "))}).select(names)
+        for data, k in zip(held["rows"].to_pylist() if parts else [], held["run"].to_pylist(), strict=False):
+            out += make(pa.ipc.open_stream(data).read_all().to_pandas(), weights, k, known)
+        if not out:
+            return pa.table({c: pa.array([], _KINDS[k]) for c, k in kinds})
+        whole = lambda c: pa.array([x for o in out for x in o[c]] if isinstance(out[0][c], list) else np.concatenate([o[c] for o in out]))
+        return pa.table({c: whole(c).cast(_KINDS[k]) for c, k in kinds})
 
     return left.groupBy("block", "run").cogroup(right.groupBy("block", "run")).applyInArrow(run, schema)
 
@@ -157,21 +194,18 @@ def weighted(df: DataFrame, cluster: str, reps: int, seed: str, columns: list[st
     kinds = dict(df.select(*columns).dtypes)
     plain = {c: "string" if k == "string" else "double" if k in ("double", "float") else "long" for c, k in kinds.items()}
 
-    def prepare(held):
+    def make(held, draws, *_):
         code = held.groupby(columns, dropna=False, sort=False).ngroup().to_numpy()
         first = np.unique(code, return_index=True)[1]
         values = {c: held[c].to_numpy()[first] for c in columns}
         at, n = held["_at"].to_numpy(), held["_n"].to_numpy().astype(float)
-
-        def apply(times, _):
+        for rep, times in draws():
             w = np.bincount(code, times[at] * n, len(first))
             some = np.flatnonzero(w)
-            return {**{c: list(v[some]) if plain[c] == "string" else v[some] for c, v in values.items()}, "w": w[some].astype(np.int64)}
-
-        return apply
+            yield {"rep": np.full(len(some), rep, np.int64), **{c: list(v[some]) if plain[c] == "string" else v[some] for c, v in values.items()}, "w": w[some].astype(np.int64)}
 
     schema = "rep long, " + ", ".join(f"{c} {k}" for c, k in plain.items()) + ", w long"
-    found = replicates(rows, drawn(df.sparkSession, g, reps, seed), reps, prepare, schema)
+    found = replicates(rows, drawn(df.sparkSession, g, reps, seed), reps, make, schema)
     return found.groupBy("rep", *columns).agg(F.sum("w").alias("w"))
 
 
@@ -181,72 +215,93 @@ def moments(df: DataFrame, cluster: str, reps: int, seed: str, terms: dict[str,
     names = [*terms]
     rows, g = numbered_rows(sums, cluster, names)
 
-    def prepare(held):
+    def make(held, draws, *_):
         at, m = held["_at"].to_numpy(), held[names].to_numpy(float)
-        return lambda times, _: {k: v for k, v in zip(names, (times[at] @ m).reshape(-1, 1), strict=True)}
+        for rep, times in draws():
+            yield {"rep": np.array([rep]), **dict(zip(names, (times[at] @ m).reshape(-1, 1), strict=True))}
 
     schema = "rep long, " + ", ".join(f"{k} double" for k in names)
-    found = replicates(rows, drawn(df.sparkSession, g, reps, seed), reps, prepare, schema)
+    found = replicates(rows, drawn(df.sparkSession, g, reps, seed), reps, make, schema)
     return found.groupBy("rep").agg(*(F.sum(k).alias(k) for k in names))
 
 
+def _rows(values: np.ndarray, weights: np.ndarray) -> tuple[bytes, bytes]:
+    """A run's weights by value, a row for each of its replicates, as bytes: values, and weights in four bytes if they fit."""
+    return values.tobytes(), weights.astype("<u4" if weights.max(initial=0) < 1 << 32 else "<i8").tobytes()
+
+
+def _united(values: list[bytes], weights: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """_rows of several blocks as one: the values in order and the sums of their weights."""
+    own = [np.frombuffer(v) for v in values]
+    x = np.unique(np.concatenate(own))
+    w = np.zeros((RUN, len(x)), np.int64)
+    for v, data in zip(own, weights, strict=True):
+        w[:, np.searchsorted(x, v)] += np.frombuffer(data, "<u4" if len(data) == 4 * RUN * len(v) else "<i8").reshape(RUN, -1)
+    return x, w
+
+
 def correlations(df: DataFrame, cluster: str, reps: int, seed: str, x: str, y: str) -> DataFrame:
     """rep, pearson and spearman (ties share the mean of their places) of each replicate's rows, which have no nulls; null for fewer than three rows or a constant side.
 
-    The first pass counts each side's values, which tells a replicate's ranks; the second sums the products of ranks.
+    The first pass counts each side's values, which tells a replicate's ranks; the second sums the products of ranks. Both read the same stored draws.
     """
     spark, sides = df.sparkSession, (x, y)
     rows, g = numbered_rows(df.select(cluster, *(F.col(c).cast("double").alias(c) for c in sides)), cluster, [x, y])
-    hits = drawn(spark, g, reps, seed)
+    hits = stored(drawn(spark, g, reps, seed), "resample-draws")
 
     def coded(held):
-        return held["_at"].to_numpy(), held["_n"].to_numpy().astype(float), [np.unique(held[c].to_numpy(), return_inverse=True) for c in sides]
-
-    def count(held):
-        at, n, codes = coded(held)
-        p, q = (held[c].to_numpy() for c in sides)
-
-        def apply(times, _):
-            w = times[at] * n
-            both = [np.stack([v, np.bincount(c, w, len(v))]).tobytes() for v, c in codes]
-            return {"xs": [both[0]], "ys": [both[1]], "xy": np.array([(w * p) @ q])}
-
-        return apply
+        """Rows in the order of the first side: places, how many they are, and both sides' values and codes."""
+        held = held.sort_values(x, kind="stable")
+        return held["_at"].to_numpy(), held["_n"].to_numpy().astype(float), *(np.unique(held[c].to_numpy(), return_inverse=True) for c in sides)
+
+    def count(held, draws, run, _):
+        at, n, (xv, xc), (yv, yc) = coded(held)
+        xw, yw, xy = np.zeros((RUN, len(xv)), np.int64), np.zeros((RUN, len(yv)), np.int64), np.zeros(RUN)
+        starts = np.searchsorted(xc, np.arange(len(xv)))
+        products = np.bincount(at, n * xv[xc] * yv[yc], BLOCK)
+        for rep, times in draws():
+            k, w = rep - run * RUN, times[at] * n
+            xw[k], yw[k], xy[k] = np.add.reduceat(w, starts), np.bincount(yc, w, len(yv)), times @ products
+        (xs, xws), (ys, yws) = _rows(xv, xw), _rows(yv, yw)
+        yield {"run": np.array([run]), "xs": [xs], "xws": [xws], "ys": [ys], "yws": [yws], "xy": [xy.tobytes()]}
 
     def ranks(t: pa.Table) -> pa.Table:
-        held, spread, varies = [], [], True
-        for c in ("xs", "ys"):
-            v, w = np.concatenate([np.frombuffer(b).reshape(2, -1) for b in t[c].to_pylist()], axis=1)
-            v, code = np.unique(v[w > 0], return_inverse=True)
-            w = np.bincount(code, w[w > 0], len(v))
-            rank = np.cumsum(w) - (w - 1) / 2 - (w.sum() + 1) / 2  # from the mean rank
-            varies = varies and len(v) > 1 and w.sum() >= 3
-            held.append(np.stack([v, rank]))
-            spread.append((w.sum(), w @ v, w @ (v * v), w @ (rank * rank)))
-        (n, s1, q1, r1), (_, s2, q2, r2) = spread
-        co = lambda pq, p, q: pq / n - p / n * (q / n)
-        both = float(np.sqrt(co(q1, s1, s1) * co(q2, s2, s2))) if varies else 0.0
-        pearson = co(sum(t["xy"].to_pylist()), s1, s2) / both if both else None
-        told = np.array([held[0].shape[1]], "<i8").tobytes() + b"".join(h.tobytes() for h in held)
-        return pa.table({"rep": t["rep"][:1], "pearson": pa.array([pearson], pa.float64()), "spread": pa.array([float(np.sqrt(r1 * r2)) if varies else None], pa.float64()), "told": pa.array([told], pa.binary())})
-
-    found = replicates(rows, hits, reps, count, "rep long, xs binary, ys binary, xy double")
-    each = cut(found.groupBy("rep").applyInArrow(ranks, "rep long, pearson double, spread double, told binary"))
-
-    def cross(held):
-        at, n, codes = coded(held)
-
-        def apply(times, told):
-            k = int(np.frombuffer(told, "<i8", 1)[0])
-            flat = np.frombuffer(told, float, offset=8)
-            sides_ = flat[: 2 * k].reshape(2, -1), flat[2 * k :].reshape(2, -1)
-            # Values that the replicate lacks have weight 0, so any rank does.
-            p, q = (r[np.minimum(np.searchsorted(v, own), len(v) - 1)][c] for (v, r), (own, c) in zip(sides_, codes, strict=True))
-            return {"xy": np.array([(times[at] * n * p) @ q])}
-
-        return apply
-
-    sums = replicates(rows, hits, reps, cross, "rep long, xy double", each).groupBy("rep").agg(F.sum("xy").alias("xy"))
+        run, held, out = t["run"][0].as_py(), [_united(t[c].to_pylist(), t[f"{c[0]}ws"].to_pylist()) for c in ("xs", "ys")], []
+        xy = sum(np.frombuffer(b) for b in t["xy"].to_pylist())
+        total = held[0][1].sum(1)
+        own = [np.cumsum(w, 1) - (w - 1) / 2 - (total[:, None] + 1) / 2 for _, w in held]  # from the mean rank
+        co = lambda n, pq, p, q: pq / n - p / n * (q / n)
+        for k in range(min(RUN, reps - run * RUN)):
+            n, sums, squares, spread = float(total[k]), [], [], []
+            for (v, w), r in zip(held, own, strict=True):
+                sums.append(float(w[k] @ v))
+                squares.append(float(w[k] @ (v * v)))
+                spread.append(float(w[k] @ (r[k] * r[k])))
+            varies = n >= 3 and all(np.count_nonzero(w[k]) > 1 for _, w in held)
+            both = math.sqrt(co(n, squares[0], sums[0], sums[0]) * co(n, squares[1], sums[1], sums[1])) if varies else 0.0
+            out.append((run * RUN + k, co(n, xy[k], *sums) / both if both else None, math.sqrt(spread[0] * spread[1]) if varies else None))
+        # What the run's second pass is told lies in its first row.
+        told = np.array([len(v) for v, _ in held], "<i8").tobytes() + b"".join(v.tobytes() for v, _ in held) + b"".join(r.tobytes() for r in own)
+        rep, pearson, spread = zip(*out, strict=True)
+        told_ = pa.array([told] + [None] * (len(rep) - 1), pa.binary())
+        return pa.table({"rep": pa.array(rep, pa.int64()), "pearson": pa.array(pearson, pa.float64()), "spread": pa.array(spread, pa.float64()), "run": pa.array([run] * len(rep), pa.int64()), "told": told_})
+
+    found = replicates(rows, hits, reps, count, "run long, xs binary, xws binary, ys binary, yws binary, xy binary")
+    each = stored(found.groupBy("run").applyInArrow(ranks, "rep long, pearson double, spread double, run long, told binary"), "resample-ranks")
+
+    def cross(held, draws, run, told):
+        at, n, (xv, xc), (yv, yc) = coded(held)
+        a, b = np.frombuffer(told, "<i8", 2).tolist()
+        flat = np.frombuffer(told, float, offset=16)
+        xs, ys, xr, yr = np.split(flat, np.cumsum([a, b, RUN * a]))
+        xr, yr = xr.reshape(RUN, a)[:, np.searchsorted(xs, xv)], yr.reshape(RUN, b)[:, np.searchsorted(ys, yv)]
+        starts = np.searchsorted(xc, np.arange(len(xv)))
+        for rep, times in draws():
+            k, w = rep - run * RUN, times[at] * n
+            w *= yr[k][yc]
+            yield {"rep": np.array([rep]), "xy": np.array([np.add.reduceat(w, starts) @ xr[k]])}
+
+    sums = replicates(rows, hits, reps, cross, "rep long, xy double", each.filter("told IS NOT NULL").select("run", "told")).groupBy("rep").agg(F.sum("xy").alias("xy"))
     return each.join(sums, "rep").select("rep", "pearson", (F.col("xy") / F.nullif(F.col("spread"), F.lit(0.0))).alias("spearman"))
 
 

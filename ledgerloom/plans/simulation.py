@@ -14,7 +14,7 @@ from ..operators.describe import THRESHOLDS, rounded, totals
 from ..operators.rng import normal, normal_sql, uniform, uniform_sql
 from ..sources import publish
 from ..sources.tables import table
-from .base import COHORT_SQL, cohort
+from .base import COHORT_SQL, cohort, positive
 from .modelling import COV_SQL, _cov
 from .registry import query
 from .statistics import _r, totals_sql
@@ -44,7 +44,7 @@ _INTERVAL = f"count(value) AS usable, round(CASE WHEN count(value) >= {_USABLE}
 
 @query("cluster_bootstrap_corr", f"{COHORT_SQL}{_drawn_sql('entity', 'corr')}, k AS (SELECT rep, q, total, rank() OVER (PARTITION BY rep ORDER BY q) + (count(*) OVER (PARTITION BY rep, q) - 1) / 2.0 AS rq, rank() OVER (PARTITION BY rep ORDER BY total) + (count(*) OVER (PARTITION BY rep, total) - 1) / 2.0 AS rt FROM b), s AS (SELECT rep, corr(q, total) AS pearson, corr(rq, rt) AS spearman FROM k GROUP BY 1), l AS (SELECT 'pearson' AS statistic, pearson AS value FROM s UNION ALL SELECT 'spearman', spearman FROM s) SELECT statistic, {_INTERVAL} FROM l GROUP BY 1")
 def cluster_bootstrap_corr(spark, d):
-    reps = resample.correlations(cohort(spark, d).select("entity", "q", "total"), "entity", REPS, "corr", "q", "total")
+    reps = resample.correlations(positive(spark, d).select("entity", "q", "total"), "entity", REPS, "corr", "q", "total")
     return rounded(resample.intervals(reps, ["pearson", "spearman"], REPS).drop("_"))
 
 

@@ -76,3 +76,16 @@ def test_weights_of_replicates(spark, df, rows, small):
             want[k, s, y] = want.get((k, s, y), 0) + 1
     assert got == want
     assert resample.weighted(df.limit(0), "c", REPS, "w", ["s", "y"]).count() == 0
+
+
+def test_draws_of_correlations_are_hashed_once(spark, df, small):
+    """The result reads stored draws: no step of its plan makes them again."""
+    got = resample.correlations(df, "c", REPS, "r", "x", "y")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan.replace("FlatMapGroupsInArrow", "").replace("FlatMapCoGroupsInArrow", "")
+    assert resample.correlations(df.limit(0), "c", REPS, "r", "x", "y").count() == 0
+
+
+def test_long_and_short_slots_share_a_call():
+    assert resample._hits("seed", 12, 0, 12_000, 12_000).tolist() == hits("seed", 12, 12_000)
+    assert resample._hits("s", 3, 995, 1005, 1005).tolist() == hits("s", 3, 1005)[995:]
