@@ -240,6 +240,46 @@ def _united(values: list[bytes], weights: list[bytes]) -> tuple[np.ndarray, np.n
     return x, w
 
 
+def summaries(df: DataFrame, cluster: str, reps: int, seed: str, by: str, x: str) -> DataFrame:
+    """rep, by and describe.totals() of x over each replicate's rows of a group; neither column has nulls, groups are few."""
+    rows, g = numbered_rows(df.select(cluster, by, F.col(x).cast("double").alias(x)), cluster, [by, x])
+    quantiles = {"median": 0.5, "p90": 0.9, "p95": 0.95}
+    names = ["mean", "sd", *quantiles, *(f"over_{t}" for t in THRESHOLDS)]
+
+    def make(held, draws, run, _):
+        at, n = held["_at"].to_numpy(), held["_n"].to_numpy().astype(float)
+        sides = []
+        for group, rows_ in held.groupby(by).indices.items():
+            values, code = np.unique(held[x].to_numpy()[rows_], return_inverse=True)
+            sides.append((group, at[rows_], n[rows_], values, code, np.zeros((RUN, len(values)), np.int64)))
+        for rep, times in draws():
+            for _, own, many, values, code, w in sides:
+                w[rep - run * RUN] = np.bincount(code, times[own] * many, len(values))
+        for group, _, _, values, _, w in sides:
+            v, data = _rows(values, w)
+            yield {"run": np.array([run]), "by": [group], "xs": [v], "ws": [data]}
+
+    def told(t: pa.Table) -> pa.Table:
+        values, weights = _united(t["xs"].to_pylist(), t["ws"].to_pylist())
+        mid = values.mean()
+        off, found = values - mid, []
+        for k, w in enumerate(weights):
+            n = int(w.sum())
+            if n:
+                s, ss, upto = float(w @ off), float(w @ (off * off)), np.cumsum(w)
+                row = {"rep": t["run"][0].as_py() * RUN + k, "mean": mid + s / n, "sd": math.sqrt(max(ss - s * s / n, 0.0) / (n - 1)) if n > 1 else None}
+                for name, p in quantiles.items():
+                    place = p * (n - 1)
+                    low, high = values[np.searchsorted(upto, [math.floor(place), math.ceil(place)], "right")].tolist()
+                    row[name] = low + (high - low) * (place - math.floor(place))
+                found.append(row | {f"over_{c}": int(w[values > c].sum()) / n for c in THRESHOLDS})
+        some = {c: pa.array([r[c] for r in found], pa.int64() if c == "rep" else pa.float64()) for c in ("rep", *names)}
+        return pa.table({"rep": some.pop("rep"), by: pa.array([t["by"][0].as_py()] * len(found), pa.string()), **some})
+
+    found = replicates(rows, drawn(df.sparkSession, g, reps, seed), reps, make, "run long, by string, xs binary, ws binary")
+    return found.groupBy("run", "by").applyInArrow(told, f"rep long, {by} string, " + ", ".join(f"{c} double" for c in names))
+
+
 def correlations(df: DataFrame, cluster: str, reps: int, seed: str, x: str, y: str) -> DataFrame:
     """rep, pearson and spearman (ties share the mean of their places) of each replicate's rows, which have no nulls; null for fewer than three rows or a constant side.
 
@@ -310,15 +350,6 @@ def sd(n: Column, s: Column, ss: Column) -> Column:
     return F.when(n > 1, F.sqrt(F.greatest(ss - s * s / n, F.lit(0.0)) / (n - 1)))
 
 
-def totals(x: str = "total") -> list[Column]:
-    """describe.totals() of weighted rows."""
-    c, w = F.col(x).cast("double"), F.col("w")
-    n = F.sum(w)
-    over = [(F.sum(F.when(c > t, w).otherwise(0)) / n).alias(f"over_{t}") for t in THRESHOLDS]
-    order = [F.percentile(c, F.lit(p), w).alias(k) for k, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95))]
-    return [(F.sum(w * c) / n).alias("mean"), sd(n, F.sum(w * c), F.sum(w * c * c)).alias("sd"), *order, *over]
-
-
 def intervals(reps: DataFrame, names: list[str], replicates: int, by: list[str] = ()) -> DataFrame:
     """Percentile intervals of each statistic over replicates in which it is defined; null if fewer than a share of USABLE."""
     needed = math.ceil(USABLE * replicates)

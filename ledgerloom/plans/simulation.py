@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import distance, resample, simulate
-from ..operators.groups import cut
+from ..operators.groups import cut, stored
 from ..operators.describe import THRESHOLDS, rounded, totals
 from ..operators.rng import normal, normal_sql, uniform, uniform_sql
 from ..sources import publish
 from ..sources.tables import table
-from .base import COHORT_SQL, cohort, positive
+from .base import COHORT_SQL, cohort, positive, with_scenario
 from .modelling import COV_SQL, _cov
 from .registry import query
 from .statistics import _r, totals_sql
@@ -58,8 +58,9 @@ def _plain(e: str, name: str) -> str:
 
 @query("component_bootstrap_summary", f"{COHORT_SQL}{_drawn_sql('entity', 'components')}, s AS (SELECT rep, scenario, {totals_sql(_r=_plain)} FROM b GROUP BY 1, 2), l AS (" + " UNION ALL ".join(f"SELECT scenario, '{s}' AS statistic, {s} AS value FROM s" for s in _STATS) + f") SELECT scenario, statistic, {_INTERVAL} FROM l GROUP BY 1, 2")
 def component_bootstrap_summary(spark, d):
-    rows = resample.weighted(cohort(spark, d).select("entity", "scenario", "total"), "entity", REPS, "components", ["scenario", "total"])
-    return rounded(resample.intervals(rows.groupBy("rep", "scenario").agg(*resample.totals()), _STATS, REPS, ["scenario"]))
+    rows = with_scenario(stored(positive(spark, d), "cohort")).select("entity", "scenario", "total")
+    reps = resample.summaries(rows, "entity", REPS, "components", "scenario", "total")
+    return rounded(resample.intervals(reps, _STATS, REPS, ["scenario"]))
 
 
 @query("bootstrap_sd_ratio", f"{COHORT_SQL}{_drawn_sql('entity', 'ratio')}, s AS (SELECT rep, stddev_samp(total) FILTER (scenario = 'high') / stddev_samp(total) FILTER (scenario = 'low') AS value FROM b GROUP BY 1) SELECT 'sd_ratio' AS statistic, {_INTERVAL} FROM s GROUP BY 1")

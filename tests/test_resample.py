@@ -86,6 +86,20 @@ def test_draws_of_correlations_are_hashed_once(spark, df, small):
     assert resample.correlations(df.limit(0), "c", REPS, "r", "x", "y").count() == 0
 
 
+def test_summaries_of_replicates(spark, df, rows, small):
+    """A row for each run, group and block goes on, not one for each replicate and value; what comes of it is that of copies."""
+    got = {(r["rep"], r["s"]): r for r in resample.summaries(df, "c", REPS, "w", "s", "y").collect()}
+    for k in range(REPS):
+        for s in "ab":
+            y = np.array([r[2] for r in copies(rows, "w", k) if r[3] == s], float)
+            r = got.pop((k, s))
+            assert (r["mean"], r["sd"]) == pytest.approx((y.mean(), y.std(ddof=1)))
+            assert (r["median"], r["p90"], r["p95"]) == pytest.approx(tuple(np.quantile(y, (0.5, 0.9, 0.95))))
+            assert r["over_30"] == pytest.approx((y > 30).mean()) and r["over_45"] == 0
+    assert not got
+    assert resample.summaries(df.filter("c < 1050"), "c", REPS, "w", "s", "y").count() == 0
+
+
 def test_long_and_short_slots_share_a_call():
     assert resample._hits("seed", 12, 0, 12_000, 12_000).tolist() == hits("seed", 12, 12_000)
     assert resample._hits("s", 3, 995, 1005, 1005).tolist() == hits("s", 3, 1005)[995:]
