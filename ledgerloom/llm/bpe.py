@@ -86,6 +86,31 @@ def _strings(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def placed(left: pa.Table, right: pa.Table, key: str) -> pa.Table:
+    """Joins ids back by the words' numbers, in the order of positions. left: a block's documents, right: its words' ids. A batch goes on for each row of documents, so that neither the worker nor the JVM holds a block's ids as one piece. The worker's tokenizer has no more to do."""
+    if splitter.cache_info().currsize:
+        splitter.cache_clear()
+        trim()
+    parts = [_unpacked(d.as_py(), 3) for d in right["ids"]]
+    empty = [np.zeros(0, "<u4")]
+    numbers, many, flat = (np.concatenate([p[i] for p in parts] or empty) for i in range(3))
+    del parts
+    many, flat = many.astype(np.int64), flat.view(np.int32)
+    start, length = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    start[numbers], length[numbers] = np.cumsum(many) - many, many
+    schema, out = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32()))]), []
+    for keys, data in zip(left["keys"], left["data"], strict=True):
+        words, at = _unpacked(data.as_py(), 2) if len(keys) else empty * 2
+        n = length[at]
+        after = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(start[at] - after[:-1], n) + np.arange(after[-1])]
+        # Lists of 32-bit offsets hold up to 2^31 ids; a row has fewer.
+        ends = after[np.concatenate([[0], np.cumsum(words, dtype=np.int64)])]
+        out.append(pa.record_batch([keys.values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], schema=schema))
+    trim()
+    return pa.Table.from_batches(out, schema)
+
+
 MADE = "block long, bucket int, keys array<long>, data binary, words binary"
 
 
@@ -147,42 +172,18 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", column: str = "text")
                 data = _packed(*_unpacked(numbers.as_py(), 1), np.array([len(x) // 4 for x in ids]), flat)
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([data], pa.binary())], ["block", "ids"])
 
-    def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Joins ids back by the words' numbers, in the order of positions. The worker's tokenizer has no more to do."""
-        if splitter.cache_info().currsize:
-            splitter.cache_clear()
-            trim()
-        parts = [_unpacked(d.as_py(), 3) for d in right["ids"]]
-        empty = [np.zeros(0, "<u4")]
-        numbers, many, flat = (np.concatenate([p[i] for p in parts] or empty).astype(np.int64) for i in range(3))
-        start, length = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-        start[numbers], length[numbers] = np.cumsum(many) - many, many
-        keys, ends, out = [], [np.zeros(1, np.int64)], empty[:]
-        for some, data in zip(left["keys"], left["data"], strict=True):
-            keys += some.as_py()
-            words, at = _unpacked(data.as_py(), 2) if len(some) else empty * 2
-            n = length[at]
-            after = np.concatenate([[0], np.cumsum(n)])
-            out.append(flat[np.repeat(start[at] - after[:-1], n) + np.arange(after[-1])])
-            ends.append(ends[-1][-1] + after[np.cumsum(words, dtype=np.int64)])
-        # Lists of 32-bit offsets hold up to 2^31 ids; a block has fewer.
-        flat = np.concatenate(out).astype(np.int32)
-        del parts, out, numbers, many, start, length
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(flat))
-        trim()
-        return pa.table({key: pa.array(keys, pa.int64()), "ids": ids})
-
     # In buckets by block: documents' positions are stored once, and not shuffled.
     split_once = pin_buckets(rows.mapInArrow(lean(split), MADE), "bpe-blocks", "block", buckets)
     asked = split_once.filter("bucket IS NOT NULL").select("block", "data", "words", "bucket").repartition(buckets, "bucket")
     parts = asked.select("block", "data", "words").mapInArrow(lean(table), "block long, ids binary")
     texts = split_once.filter("bucket IS NULL").select("block", "keys", "data")
-    return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(place, f"{key} long, ids array<int>")
+    return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(lambda left, right: placed(left, right, key), f"{key} long, ids array<int>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """One row: the pieces' bytes in hexadecimal digits, in the order of ids. Its size is the vocabulary's."""
-    return spark.createDataFrame([(True, [p.hex() for p in splitter(path).pieces()])], "_known boolean, _pieces array<string>")
+    # From Arrow, which Spark keeps in the plan: of Python rows, workers on all executors would make it.
+    return spark.createDataFrame(pa.table({"_known": [True], "_pieces": [[p.hex() for p in splitter(path).pieces()]]}))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:

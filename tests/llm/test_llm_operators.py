@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -562,3 +563,15 @@ def test_blocks_by_bounds_and_by_all_products_agree():
     for n, o in enumerate(own):
         s = (x @ q[n]).astype(int)
         assert found[n] == sorted(((v, i) for v, i in zip(s.tolist(), ids.tolist(), strict=True) if i != o), key=lambda t: (-t[0], t[1]))[:5]
+
+
+def test_bpe_hands_ids_on_by_row_of_documents(spark):
+    """A block's ids don't come as one piece, and the table of pieces needs no Python worker."""
+    row = lambda counts, at: bpe._packed(np.array(counts), np.array(at))
+    left = pa.table({"block": [0, 0, 0], "keys": [[5, None], [], [7]], "data": [row([2, 0], [1, 0]), row([], []), row([3], [0, 0, 1])]}, pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("data", pa.binary())]))
+    right = pa.table({"ids": [bpe._packed(np.array([1]), np.array([2]), np.array([8, 9])), bpe._packed(np.array([0]), np.array([1]), np.array([4]))]})
+    got = bpe.placed(left, right, "k")
+    assert got.to_pydict() == {"k": [5, None, 7], "ids": [[8, 9, 4], [], [4, 4, 8, 9]]}
+    assert [len(b) for b in got.to_batches() if len(b)] == [2, 1]
+    plan = bpe.pieces(spark, bpe.tokenizer_path("byte_bpe_50k.json"))._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan
