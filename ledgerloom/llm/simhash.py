@@ -24,7 +24,11 @@ members are held against the smallest of their cell, and components made of that
 in cells that still hold several components, members outside the cell's largest are held
 against members of other components. Before that, `similar_sets` holds the members of
 crowded cells against a few hubs, some turns over, since a crowd of near copies need not
-be near its smallest. Two sets meet only at places of the order that leave enough
+be near its smallest. What is still a crowd is held by centres: each member x by one centre
+c at most, with its difference D(x), the shingles that only one of x and c has. Of two
+members held by c, either both are linked to c, if |D(x)| + |D(y)| is no more than a linked
+pair's sets differ by, or a link needs D(x) and D(y) to share shingles. So such pairs meet
+in cells of the differences' prefixes and nowhere else. Two sets meet only at places of the order that leave enough
 shingles for the overlap that the similarity asks for. A link can only be left out if both ends are known
 to be connected already, so components are whole.
 
@@ -145,18 +149,24 @@ def star_pairs(cells: DataFrame, near: Column) -> DataFrame:
     return cells.filter((F.col("id") != F.col("h")) & near).groupBy(F.col("id").alias("b")).agg(F.min("h").alias("a")).select("a", "b")
 
 
-def labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    return cells.drop("h").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+def labelled(cells: DataFrame, labels: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """The cells' rows with label and g, the group whose members needn't meet: the label, or the centre that holds (held: a, b) a member."""
+    known = cells.drop("h").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    if held is None:
+        return known.withColumn("g", F.col("label"))
+    centre = held.select(F.col("b").alias("id"), F.xxhash64(F.lit("centre"), "a").alias("g"))
+    return known.join(centre, "id", "left").withColumn("g", F.coalesce("g", "label"))
 
 
 def pairs_across(cells: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
-    """(a, b, la, lb): near members of a cell (k, id, label, ...) that have different labels. Pairs inside a cell's largest label aside, all pairs of unlike labels meet."""
-    held = cells.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = held.groupBy("k").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("k", F.col("top.label").alias("top"))
+    """(a, b, la, lb): near members of a cell (k, id, label, g, ...) that have different labels and groups. Pairs inside a cell's largest group aside, all pairs of unlike groups meet."""
+    held = cells.groupBy("k", "g").agg(F.count(F.lit(1)).alias("n"))
+    mixed = held.groupBy("k").agg(F.max(F.struct("n", "g")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("k", F.col("top.g").alias("top"))
     inside = cells.join(mixed, "k").select("k", "top", F.struct(*(c for c in cells.columns if c != "k")).alias("m"))
     x, y = (inside.select("k", F.col("top").alias(f"{c}top"), F.col("m").alias(c)) for c in "xy")
-    once = (F.col("y.label") == F.col("ytop")) | (F.col("x.id") < F.col("y.id"))
-    pairs = x.filter(F.col("x.label") != F.col("xtop")).join(y, "k").filter((F.col("x.label") != F.col("y.label")) & once & near(F.col("x"), F.col("y")))
+    once = (F.col("y.g") == F.col("ytop")) | (F.col("x.id") < F.col("y.id"))
+    unlike = (F.col("x.g") != F.col("y.g")) & (F.col("x.label") != F.col("y.label"))
+    pairs = x.filter(F.col("x.g") != F.col("xtop")).join(y, "k").filter(unlike & once & near(F.col("x"), F.col("y")))
     side = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.label").alias("label"))
     return pairs.select(F.least(side("x"), side("y")).alias("p"), F.greatest(side("x"), side("y")).alias("q")).distinct().select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.label").alias("la"), F.col("q.label").alias("lb"))
 
@@ -246,12 +256,14 @@ def document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words of a fingerprint of a set, standard deviations that its radius has more than the similarity's angle, and shingles under which it decides nothing.
 WIDE, SIGMAS, FEW = 4, 7, 64
-#: Documents whose shingles are counted to tell frequent ones, and how many of these are told at most.
-SAMPLE, FREQUENT = 8000, 100_000
+#: Share of the documents whose shingles are counted to tell frequent ones, and how many of these (8 bytes each) are told at most. A share, so that what is frequent doesn't depend on the corpus's size.
+SAMPLE, FREQUENT = 0.2, 1 << 20
 #: Unlike sets that a cell may hold before it is dissolved, and how many times that is done.
-UNLIKE, DISSOLVE = 500, 2
+UNLIKE, DISSOLVE = 100, 2
 #: Unlike sets beyond which a cell's members are first held against hubs, how many of its members are hubs, and how often that is done.
 CROWD, HUBS, ROUNDS = 32, 8, 3
+#: Similarity with a centre from which it holds a set.
+HELD = 0.5
 #: Ids that may be broadcast (8 bytes each).
 MOST_IDS = 1 << 18
 
@@ -281,12 +293,19 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.first("_bytes").alias("_bytes"))
 
 
+def both_texts(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b, ...) of ids with their texts _x and _y, and the table of texts."""
+    pairs = pin(pairs, "simhash-pairs")
+    texts = pin(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "simhash-texts")
+    x, y = (texts.select(F.col("id").alias(c), F.col("_bytes").alias(n)) for c, n in (("a", "_x"), ("b", "_y")))
+    return pairs.join(y, "b").join(x, "a").select(*pairs.columns, "_x", "_y"), texts
+
+
 def alike(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b, ...) of ids whose sets of shingles have the Jaccard similarity, counted from their texts."""
     bound_batches(docs.sparkSession)
     names, schema = pairs.columns, pairs.schema
-    pairs = pin(pairs, "simhash-pairs")
-    texts = pin(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "simhash-texts")
+    found, texts = both_texts(docs, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, x = None, None
@@ -298,8 +317,7 @@ def alike(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> Da
                 keep.append(jaccard(x, hashes(q.as_buffer().to_pybytes(), size, True)) >= similarity)
             yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
 
-    x, y = (texts.select(F.col("id").alias(c), F.col("_bytes").alias(n)) for c, n in (("a", "_x"), ("b", "_y")))
-    found = pin(pairs.join(y, "b").join(x, "a").select(*names, "_x", "_y").mapInArrow(lean(run), schema), "simhash-alike")
+    found = pin(found.mapInArrow(lean(run), schema), "simhash-alike")
     drop_pinned(texts)
     return found
 
@@ -313,7 +331,7 @@ def frequent(docs: DataFrame, size: int) -> np.ndarray:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes(t.as_buffer().to_pybytes(), size, True).view(np.int64))], names=["k"])
 
-    some = docs.select(utf8("text").alias("_bytes")).sample(min(1.0, SAMPLE / max(1, docs.count())), SEED)
+    some = docs.select(utf8("text").alias("_bytes")).sample(float(SAMPLE), SEED)
     counts = some.mapInArrow(lean(run), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
     top = counts.orderBy(F.desc("n"), "k").limit(FREQUENT).select("k").toArrow().column(0).to_numpy()
     return np.sort(top.view(np.uint64))
@@ -367,11 +385,15 @@ def placed(prefix: Column) -> Column:
     return F.posexplode(prefix).alias("p", "k")
 
 
+def crowds(cells: DataFrame) -> DataFrame:
+    """k of cells with over CROWD labels."""
+    return cells.select("k", "label").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CROWD).select("k")
+
+
 def hub_pairs(cells: DataFrame, turn: int, similarity: float) -> DataFrame:
     """(a, b, la, lb): members b of crowded cells and the cell's hubs a of another label. Hubs are members that a hash of the turn favours, so that cells of the same sets mostly have the same ones."""
     order = F.xxhash64(F.lit(turn), "id")
-    crowded = cells.select("k", "label").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CROWD).select("k")
-    hubs = cells.join(crowded, "k").groupBy("k", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "id", "label", "n", "p")).alias("x")).select("k", "x")
+    hubs = cells.join(crowds(cells), "k").groupBy("k", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "id", "label", "n", "p")).alias("x")).select("k", "x")
     members = cells.select("k", F.struct("id", "label", "n", "p").alias("y"))
     met = members.join(hubs, "k").filter((F.col("x.label") != F.col("y.label")) & meeting(F.col("x"), F.col("y"), similarity))
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
@@ -389,6 +411,71 @@ def by_hubs(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataFra
     return labels
 
 
+def centre_pairs(cells: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each member b of crowded cells, with the centre a that its fingerprint is nearest to. A cell has a centre for each class of sizes, open to the next classes: the member with the fewest shingles before the cell's own, so the fewest rare ones."""
+    kind = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity)).cast("int")
+    inside = pin(cells.join(crowds(cells), "k").select("k", "id", "p", kind.alias("c")), "simhash-crowd")
+    centres = inside.groupBy("k", "c").agg(F.min(F.struct("p", "id")).alias("x")).select("k", F.col("x.id").alias("a"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
+    met = inside.join(centres, ["k", "c"]).select("a", F.col("id").alias("b")).distinct()
+    x, y = (nodes.select(F.col("id").alias(c), F.col("fp").alias(f"_{c}")) for c in "ab")
+    far = distance(*([F.col(f"_{c}")[w] for w in range(WIDE)] for c in "ab"))
+    return met.join(x, "a").join(y, "b").groupBy("b").agg(F.min(F.struct(far.alias("d"), "a")).alias("m")).select("m.a", "b")
+
+
+def differences(docs: DataFrame, pairs: DataFrame, size: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """Of each pair (a, b) with the similarity HELD: n and r, the sizes of b and of its difference to a, whether it is linked to a, and the difference's prefix.
+
+    Linked sets of t's sizes differ by (1 - t) / t * n shingles at most, so a linked set's difference to a shares all but so many of r. Shingles that a lacks come first, rare ones before the others: those of a would meet all that lost them.
+    """
+    bound_batches(docs.sparkSession)
+    schema = "a long, b long, n int, r int, linked boolean, prefix array<long>"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+    found, texts = both_texts(docs, pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, x = None, None
+        for batch in batches:
+            made = []
+            for a, b, p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != name:  # pairs come in the order of a
+                    name, x = a, hashes(p.as_buffer().to_pybytes(), size, True)
+                y = hashes(q.as_buffer().to_pybytes(), size, True)
+                if (near := jaccard(x, y)) >= HELD:
+                    more, less = np.sort(np.setdiff1d(y, x, True)), np.sort(np.setdiff1d(x, y, True))
+                    late, r = among(more, last), len(more) + len(less)
+                    first = r - max(1, math.ceil(r - (1 - similarity) / similarity * len(y) - 1e-9)) + 1
+                    made.append((a, b, len(y), r, near >= similarity, np.concatenate([more[~late], more[late], less])[:first].view(np.int64)))
+            columns = zip(*made, strict=True) if made else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "n", "r", "linked", "prefix"])
+
+    found = pin(found.select("a", "b", "_x", "_y").mapInArrow(lean(run), schema), "simhash-differences")
+    drop_pinned(texts)
+    return found
+
+
+def by_centres(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataFrame, size: int, similarity: float, last: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The differences of what centres hold, and the labels, once links to centres join them."""
+    cells = pin(labelled(cells, labels), "simhash-held")
+    held = differences(docs, centre_pairs(cells, nodes, similarity), size, similarity, last)
+    drop_pinned(cells)
+    links = held.filter("linked and a <> b")
+    for c in "ab":
+        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"_{c}", c))
+    return held, relabelled(labels, links.select("la", "lb"), "simhash-centres")
+
+
+def pairs_held(held: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, la, lb): sets held by one centre, with different labels, whose differences share a shingle of their prefixes and have enough left for a link."""
+    spread = held.select("a", F.col("b").alias("id"), "n", "r", F.posexplode("prefix").alias("p", "e"))
+    cells = shared_cells(spread.select(F.xxhash64("a", "e").alias("k"), "id", "n", "r", "p"), "simhash-spread")
+
+    def near(x: Column, y: Column) -> Column:
+        shared = (x["r"] + y["r"] - (1 - similarity) / (1 + similarity) * (x["n"] + y["n"])) / 2 - 1e-9
+        return sized(x, y, similarity) & (F.least(x["r"] - x["p"], y["r"] - y["p"]) >= shared)
+
+    return pairs_across(labelled(cells, labels), near)
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b, ...) that sizes, pivots and fingerprints leave. Pivots and fingerprints leave all pairs of small sets."""
     x, y = (nodes.select(F.col("id").alias(c), F.struct("n", "fp", "t").alias(f"_{c}")) for c in "ab")
@@ -399,10 +486,10 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return pairs.join(x, "a").join(y, "b").filter(sized(p, q, similarity) & ((F.least(p["n"], q["n"]) < FEW) | close)).select(pairs.columns)
 
 
-def dissolved(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataFrame, size: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """Cells (k, id, n, p, label) in which no more unlike sets meet than need be. Shingles of cells with over UNLIKE labels go to the end of the order; sets that have one in their prefix get the next shingles instead. Other sets keep theirs, which the new order doesn't change."""
-    crowds = lambda c: c.groupBy("k").agg(F.approx_count_distinct("label").alias("m")).filter(F.col("m") > UNLIKE).select("k")
-    cells = pin(labelled(cells, labels), "simhash-labelled")
+def dissolved(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataFrame, held: DataFrame, size: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """Cells (k, id, n, p, label, g) in which no more unlike sets meet than need be. Shingles of cells with over UNLIKE groups go to the end of the order; sets that have one in their prefix get the next shingles instead. Other sets keep theirs, which the new order doesn't change."""
+    unlike = lambda c: c.groupBy("k").agg(F.approx_count_distinct("g").alias("m")).filter(F.col("m") > UNLIKE).select("k")
+    cells = pin(labelled(cells, labels, held), "simhash-labelled")
     crowded, hit = None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +500,7 @@ def dissolved(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataF
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), i)), *map(pa.array, part)], names=["id", "k", "late"])
 
     for _ in range(DISSOLVE):
-        more = crowds(cells)
+        more = unlike(cells)
         more = pin(more.join(crowded, "k", "left_anti") if crowded else more, "simhash-crowds")
         if not more.limit(1).count():
             break
@@ -427,7 +514,7 @@ def dissolved(docs: DataFrame, nodes: DataFrame, cells: DataFrame, labels: DataF
         first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
         again = whole.select("id", "n", placed(F.transform(F.slice("all", F.lit(1), first), lambda s: s["k"])))
         rest = nodes.join(hit, "id", "left_anti").select("id", "n", placed(F.col("prefix")))
-        cells = pin(labelled(shared_cells(rest.unionByName(again), "simhash-refined"), labels), "simhash-labelled")
+        cells = pin(labelled(shared_cells(rest.unionByName(again), "simhash-refined"), labels, held), "simhash-labelled")
     return cells
 
 
@@ -439,8 +526,10 @@ def similar_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     stars = alike(docs, plausible(star_pairs(cells, F.lit(True)), nodes, similarity), size, similarity)
     labels = components(stars, "simhash-stars")
     labels = by_hubs(docs, nodes, cells, labels, size, similarity)
-    cells = dissolved(docs, nodes, cells, labels, size, similarity, last)
-    pairs = alike(docs, plausible(pairs_across(cells, lambda x, y: meeting(x, y, similarity)), nodes, similarity), size, similarity)
+    held, labels = by_centres(docs, nodes, cells, labels, size, similarity, last)
+    cells = dissolved(docs, nodes, cells, labels, held, size, similarity, last)
+    met = pairs_across(cells, lambda x, y: meeting(x, y, similarity)).unionByName(pairs_held(held, labels, similarity))
+    pairs = alike(docs, plausible(met, nodes, similarity), size, similarity)
     labels = relabelled(labels, pairs, "simhash-joined").withColumnRenamed("node", "id")
     # Sets of nothing are alike and in no cell: they take the empty text's label.
     own = F.when(F.col("n") == 0, F.xxhash64(F.lit("").cast("binary"))).otherwise(F.col("id"))

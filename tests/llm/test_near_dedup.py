@@ -94,6 +94,25 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch):
     assert kept(spark, texts) == first_of_groups(texts)
 
 
+def test_a_crowd_of_near_copies_meets_its_centre(spark, monkeypatch):
+    """Pairs to be verified grow with the copies, not with their square, and no link is lost."""
+    rng = random.Random(11)
+    base, texts = fresh(rng, 150), []
+    spare = [fresh(rng, 3) for _ in base]  # so that some copies share what they changed
+    for _ in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 4, 5, 5, 6])):
+            words[at] = rng.choice(spare[at]) if rng.random() < 0.5 else fresh(rng, 1)[0]
+        texts.append(" ".join(words))
+        if rng.random() < 0.2:  # a copy of the copy, near it and hardly the base
+            words[rng.randrange(150)] = fresh(rng, 1)[0]
+            texts.append(" ".join(words))
+    seen, alike = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda docs, pairs, *a: (seen.append(pairs.count()), alike(docs, pairs, *a))[1])
+    assert kept(spark, texts) == first_of_groups(texts)
+    assert sum(seen) < 30 * len(texts)
+
+
 def test_rows_without_ids_and_repeated_ids(spark):
     rng = random.Random(10)
     a, b, c = (" ".join(fresh(rng, 30)) for _ in range(3))
