@@ -7,6 +7,7 @@ planes="byte"); each plane is compressed with zstandard on its own. A chunk's ro
 the planes one after another, an index of where each ends, and which documents have ids
 in it: their number in the part, doc_id, start, length, and the run of ids here. Parts
 are ranges of doc_id, so part by part and chunk by chunk the files hold all ids in order.
+Texts are encoded by BLOCK bytes, each different piece between white space once.
 
 `read_documents` decodes chunks where they lie, in any order, and takes the CRC-32 of each
 run; runs of one document are put together by the CRC of joined strings.
@@ -31,6 +32,8 @@ from .shared import bound_batches, lean, new_path, read, utf8
 from .words import Encoded, splitter
 
 CHUNK = 1 << 16
+#: Bytes of text whose words are looked up together; a longer text goes by itself.
+BLOCK = 8 << 20
 END = 2
 INDEX = ("number", "doc_id", "start", "n", "run")
 CHUNKS = "part int, chunk int, n_ids int, planes string, ends array<int>, data binary, " + ", ".join(f"{c} array<long>" for c in INDEX)
@@ -79,7 +82,7 @@ def join_crc(first: int, second: int, n: int) -> int:
     return first ^ zero ^ second
 
 
-def write(df: DataFrame, folder: str, path: str, planes: str = "bit") -> None:
+def write(df: DataFrame, folder: str, path: str, planes: str = "bit", block_bytes: int = BLOCK) -> None:
     """df: doc_id, text."""
     spark = df.sparkSession
     bound_batches(spark)
@@ -87,12 +90,25 @@ def write(df: DataFrame, folder: str, path: str, planes: str = "bit") -> None:
     rows = rows.repartitionByRange("doc_id", "_crc").sortWithinPartitions("doc_id", "_crc", "_bytes")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
-        s = splitter(path)
-        known = Encoded(s)
-        end = np.array([END], "<u4").tobytes()
+        known = Encoded(splitter(path))
+        end = np.array([END], "<u4")
+        keys, texts, held = [], [], 0
+
+        def block() -> Iterator[tuple[int | None, np.ndarray]]:
+            for key, ids in zip(keys, known.texts(texts), strict=True):
+                yield key, np.concatenate((ids, end))
+
         for b in batches:
             for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                yield key, np.frombuffer(known.ids(s.words(t.as_buffer().to_pybytes().decode())) + end, "<u4")
+                size = t.as_buffer().size
+                if texts and held + size > block_bytes:
+                    yield from block()
+                    keys, texts, held = [], [], 0
+                keys.append(key)
+                texts.append(t.as_buffer().to_pybytes().decode())
+                held += size
+        if texts:
+            yield from block()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, chunk, number, total = TaskContext.get().partitionId(), 0, 0, 0
@@ -139,14 +155,17 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     offsets = spark.createDataFrame(before, "part int, before long")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "chunk", "number", "doc_id", "start", "n", "run", "crc"]
         for b in batches:
+            cols = [[] for _ in names]
             for r in b.to_pylist():
                 ids = from_planes(r["n_ids"], r["ends"], r["data"], r["planes"])
                 at = np.cumsum([0, *r["run"]]).tolist()
-                crcs = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(at, at[1:], strict=False)]
+                crcs = [zlib.crc32(ids[i:j]) for i, j in zip(at, at[1:], strict=False)]
                 k = len(crcs)
-                cols = [[r["part"]] * k, [r["chunk"]] * k, r["number"], r["doc_id"], r["start"], r["n"], r["run"], crcs]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["part", "chunk", "number", "doc_id", "start", "n", "run", "crc"])
+                for c, own in zip(cols, [[r["part"]] * k, [r["chunk"]] * k, r["number"], r["doc_id"], r["start"], r["n"], r["run"], crcs], strict=True):
+                    c += own
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
     found = stored.mapInArrow(lean(runs), "part long, chunk long, number long, doc_id long, start long, n long, run long, crc long")
     # A document's runs are as many as the chunks that it reaches over.

@@ -4,6 +4,10 @@ A splitter gives exactly the pre-tokens of the tokenizers library. ASCII texts a
 of Latin letters and common punctuation are split by patterns of our own; texts with any
 other character, whose classes may depend on a Unicode version, by the library itself.
 Strings of special tokens are words of their own, as the library has it.
+
+Where no word holds white space, texts are cut there first: `Encoded.texts` lets Arrow
+number the different pieces of many texts, looks each of them up once and puts the ids of
+the texts together by number.
 """
 
 from __future__ import annotations
@@ -13,6 +17,10 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -34,7 +42,7 @@ class Splitter:
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.marks = specials
         self.special_ids = {w: [self.tokenizer.token_to_id(w)] for w in specials}
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.shown = dict(enumerate(_byte_chars()))
         self.normal = self.tokenizer.normalizer
         self.pre = self.tokenizer.pre_tokenizer
@@ -63,10 +71,18 @@ class Splitter:
             text = self.normal.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
 
+    def lowered(self, text: str) -> str | None:
+        """A text whose words are those of its pieces between white space, one after the other; None if that doesn't hold for it."""
+        if self.normal is None or any(m in text for m in self.marks) or not PLAIN.fullmatch(text):
+            return None
+        return text.lower()
+
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word: of a special token its own, else the model's for the word's bytes, written as the vocabulary writes them."""
-        tokenize, own = self.model.tokenize, self.special_ids
-        return [own[w] if w in own else [t.id for t in tokenize(self._shown(w))] for w in words]
+        return list(map(self.word, words))
+
+    def word(self, word: str) -> list[int]:
+        return self.special_ids.get(word) or [t.id for t in self.tokenize(self._shown(word))]
 
     def _shown(self, word: str) -> str:
         if word.isascii() and word.isprintable() and " " not in word:
@@ -103,11 +119,33 @@ class Encoded(dict):
         self.split, self.most = split, most
 
     def __missing__(self, word: str) -> bytes:
-        (ids,) = self.split.encode([word])
-        self[word] = out = array("I", ids).tobytes()
+        self[word] = out = array("I", self.split.word(word)).tobytes()
         return out
 
     def ids(self, words: list[str]) -> bytes:
         if len(self) > self.most:
             self.clear()
         return b"".join(map(self.__getitem__, words))
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        lowered = [self.split.lowered(t) for t in texts]
+        # Other white space than ASCII's stays in pieces; no word holds it.
+        cut = pc.ascii_split_whitespace(pa.array([t or "" for t in lowered], pa.large_string()))
+        coded = cut.values.dictionary_encode()
+        if len(self) > self.most:
+            self.clear()
+        own, plain, latin, join = self.__getitem__, self.split.ascii, self.split.latin, b"".join
+        each = [own(p) if p.isalpha() else join(map(own, plain(p) if p.isascii() else latin(p))) for p in coded.dictionary.to_numpy(zero_copy_only=False)]
+        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        number = coded.indices.to_numpy()
+        run = n[number]
+        ends = np.cumsum(run)
+        at = np.repeat((np.cumsum(n) - n)[number] - (ends - run), run)
+        at += np.arange(len(at))
+        flat = np.frombuffer(b"".join(each), "<u4")[at]
+        cuts = np.concatenate(([0], ends))[cut.offsets.to_numpy()].tolist()
+        return [
+            flat[a:b] if low is not None else np.frombuffer(self.ids(self.split.words(t)), "<u4")
+            for t, low, a, b in zip(texts, lowered, cuts, cuts[1:], strict=False)
+        ]

@@ -372,6 +372,36 @@ def test_token_file(spark, odd, folder):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_token_file_does_not_depend_on_blocks(spark, odd, folder, tmp_path):
+    want = listed(tokenfile.document_file(spark, folder(documents=odd)), "doc_id", "start", "n_tokens", "ids_crc32")
+    tokenfile.write(odd.select("doc_id", "text"), f"{tmp_path}/file", bpe.tokenizer_path("word_bpe_49k.json"), block_bytes=100)
+    got = listed(tokenfile.read_documents(spark, f"{tmp_path}/file"), "doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(got, key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_together_have_the_librarys_ids(name):
+    from ledgerloom.llm.words import Encoded, splitter
+
+    t, known, rng = tokenizer(name), Encoded(splitter(bpe.tokenizer_path(name)), 50), random.Random(12)
+    alphabet = ["a", "B", "'s", "'", "’", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "1", "²", "½", "é", "ß", "İ", "Ⱥ", "ª", "ǅ", "!", "...", "<|endoftext|>", "<|ENDOFTEXT|>", "\x00", "Ω", "日", "🙂", "\u0301", "ﬁ"]
+    texts = ["".join(rng.choice(alphabet[: rng.randint(5, len(alphabet))]) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    for part in (texts, texts[:1], [""], []):
+        assert [ids.tolist() for ids in known.texts(part)] == [t.encode(x, add_special_tokens=False).ids for x in part]
+
+
+def test_texts_together_look_each_piece_up_once(monkeypatch):
+    from ledgerloom.llm.words import Encoded, splitter
+
+    s = splitter(bpe.tokenizer_path("word_bpe_49k.json"))
+    known, cut = Encoded(s), []
+    ascii_words = s.ascii
+    monkeypatch.setattr(s, "ascii", lambda piece: cut.append(piece) or ascii_words(piece))
+    texts = ["Über den Fluss, and over the river.\n" * 50, "the river, the river", "and OVER den fluss,"] * 20
+    assert len(known.texts(texts)) == 60
+    assert sorted(cut) == ["", "fluss,", "river,", "river."]
+
+
 @pytest.mark.parametrize("planes", ["bit", "byte"])
 @pytest.mark.parametrize("n", [1, 7, 8, 1000, tokenfile.CHUNK])
 def test_planes_keep_ids(planes, n):
